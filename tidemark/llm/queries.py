@@ -15,6 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(k: int):
+    """crc32 of doc_id as text, modulo k; a null doc_id counts as remainder 0."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(k)), F.lit(0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones outside the held-out fold."""
+    from tidemark.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    learned = documents.select("doc_id", "text").where(_fold(5) != 0).join(labels, "doc_id")
+    scored = toxicity.score(documents, toxicity.fit(learned), ["doc_id"])
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    from tidemark.llm import langid
+
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents.select("doc_id", "text", "lang").where(_fold(3) != 1))
+    return langid.predict(documents, model, ["doc_id"]).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged against the listed rules; unlisted urls are allowed."""
     from tidemark.llm.urlfilter import judge

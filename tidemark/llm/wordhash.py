@@ -110,7 +110,15 @@ class Words:
         power, inverse = _powers(_BYTE_BASE, len(data))
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
-        self.hash = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
+        self._sums, self._inverse = sums, inverse
+        self.hash = self._between(start, end)
+
+    def _between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(_U))
+
+    def beginnings(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of the words `at`, unlike those of whole words."""
+        return mix(self._between(self.start[at], self.start[at] + k) + _U(k))
 
     @property
     def counts(self) -> np.ndarray:
