@@ -40,6 +40,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model, ["doc_id"]).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every vector whose id is divisible by 20."""
+    from tidemark.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged against the listed rules; unlisted urls are allowed."""
     from tidemark.llm.urlfilter import judge
