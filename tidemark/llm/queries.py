@@ -68,6 +68,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the winning paths of its host."""
+    from tidemark.llm.htmlmain import extract
+
+    found = extract(table(spark, sf_dir, "pages"), ("page_id", "url"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 _ORACLES: dict[str, str] = {
     "op5_url_filter": r"""
         WITH p AS (
