@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import shared_dir
+
 
 @dataclass
 class Index:
@@ -163,6 +165,7 @@ def search(
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select(F.xxhash64("v").alias("p"), "v", "ids")
     )
+    shared_dir(spark)
     points = points.checkpoint()
     sample = points.orderBy("p", "v").select("v").limit(sample_rows).toArrow()
     fitted = np.asarray(sample.column("v").combine_chunks().flatten()).reshape(-1, dim)

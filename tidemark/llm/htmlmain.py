@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import shared_dir
 from tidemark.llm.urlfilter import split_url
 
 # Names from HTML and the usual names of page furniture.
@@ -208,6 +209,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), broadc
     text; a null url, or one without a host, votes with the other pages that have none; repeated
     pages stay repeated. Columns of `pages` that are not kept do not matter.
     """
+    shared_dir(pages.sparkSession)
     order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("chars"), "path")
     winners = votes(pages).withColumn("n", F.row_number().over(order)).where("n = 1").select("host", F.col("path").alias("_path")).checkpoint()
     few = winners.count() <= broadcast_hosts

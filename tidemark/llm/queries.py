@@ -48,6 +48,14 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the 49k word-end vocabulary."""
+    import public_tokenizers
+    from tidemark.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged against the listed rules; unlisted urls are allowed."""
     from tidemark.llm.urlfilter import judge
