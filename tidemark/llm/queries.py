@@ -48,6 +48,14 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the windows of 35 words that also start elsewhere."""
+    from tidemark.llm.substring import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the 49k word-end vocabulary."""
     import public_tokenizers
