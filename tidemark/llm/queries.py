@@ -92,7 +92,29 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items whose five-word shingles they hold to a share of 0.8 or more."""
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, share=0.8)
+
+
 _ORACLES: dict[str, str] = {
+    "op10_decontamination": r"""
+        WITH iw AS (
+          SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+        ), i AS (
+          SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j+4], ' '))) AS s FROM iw
+        ), n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY 1),
+        dw AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+        ), d AS (
+          SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j+4], ' '))) AS s FROM dw
+        )
+        SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+        FROM d JOIN i USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
+    """,
     "op5_url_filter": r"""
         WITH p AS (
           SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
