@@ -25,9 +25,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import toxicity
 
     documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    learned = documents.select("doc_id", "text").where(_fold(5) != 0).join(labels, "doc_id")
-    scored = toxicity.score(documents, toxicity.fit(learned), ["doc_id"])
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(documents, toxicity.fit(documents.where(_fold(5) != 0), labels), ["doc_id"])
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -92,6 +91,13 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by three-word shingles at a Jaccard similarity of 0.9 or more."""
+    from tidemark.llm.jaccard import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items whose five-word shingles they hold to a share of 0.8 or more."""
     from tidemark.llm.decontaminate import contaminated
