@@ -129,13 +129,13 @@ def _answers(group: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     return list({bucket: body for k, bucket, body in rows if k == kind}.items())
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_bytes: int = 8 << 20, leave_clean: bool = False) -> DataFrame:
     """Columns `keep` of `docs` with kept, n_words, n_removed and spans.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Every word covered by a window of `window` words whose
     sequence also starts anywhere else, in the same document or another, is removed at all its places;
-    windows are judged on the input. kept: the other words joined by one space; spans: the maximal
-    exact repeats as (first word, words).
+    windows are judged on the input. kept: the other words joined by one space, or, with `leave_clean`,
+    the text as it is where nothing is removed; spans: the maximal exact repeats as (first word, words).
 
     Edge cases: a null or empty text has no word and keeps nothing (kept is empty); a document of fewer
     than `window` words loses nothing; a repeated row is a repeat like any other; columns of `docs` that
@@ -242,7 +242,8 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
             for row in range(words.rows):
                 a, z = words.first[row], words.first[row + 1]
                 own = gone[a:z]
-                text = raw[offsets[row] : offsets[row + 1]].split()
+                whole = raw[offsets[row] : offsets[row + 1]]
+                text = whole.split()
                 if own.any():
                     removed[row] = own.sum()
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
@@ -250,7 +251,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
                     text = [w for w, g in zip(text, own.tolist(), strict=True) if not g]
                 else:
                     spans.append([])
-                kept.append(b" ".join(text))
+                kept.append(whole if leave_clean and not removed[row] else b" ".join(text))
             table = chunk.table.drop_columns(["text"])
             table = table.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
             table = table.append_column("n_words", pa.array(words.counts, pa.int64())).append_column("n_removed", pa.array(removed))
