@@ -1,9 +1,19 @@
 """Registered queries of the reference's own operators, with their SQL twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from tidemark.queries import model, relational, scoring, sequence
+
+_MODULES = (sequence, scoring, relational, model)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
