@@ -6,7 +6,7 @@ words, word pairs, and pairs with one word between; a longer word also stands fo
 for each coordinate, and its L1 term leaves nearly all weights at exactly zero, so the model is a
 short sorted table that is broadcast whole.
 
-The fit takes at most `max_rows` labelled rows, those with the smallest hash of doc_id; scoring
+The fit takes at most `max_rows` labelled documents, those with the smallest hash of doc_id; scoring
 reads every whole text, a few megabytes at a time.
 """
 
@@ -57,12 +57,13 @@ def features(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(
-    labelled: DataFrame, max_rows: int = 12000, epochs: int = 5, alpha: float = 0.4, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, least_rows: int = 3
+    docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 5, alpha: float = 0.4, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, least_rows: int = 3
 ) -> Weights:
-    """Weights learned from `labelled` (doc_id, text, label).
+    """Weights learned from `docs` (doc_id, text) and `labels` (doc_id, label).
 
-    Rows with a null label are left out; a null text has no feature; without rows, or with one label
-    only, the bias alone decides. Features of fewer than `least_rows` sampled rows are not learned.
+    Of several labels of a document the greatest counts, of several texts the one with the smallest
+    feature set. Null labels and ids are left out; a null text has no feature; without rows, or with one
+    label only, the bias alone decides. Features of fewer than `least_rows` sampled rows are not learned.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,13 +74,22 @@ def fit(
                 ends = np.searchsorted(key >> np.uint64(32), np.arange(part.num_rows + 1))
                 low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 ids = [low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(ids, pa.binary())], ["label", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
 
-    rows = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("text", "label")
-    got = sample.mapInArrow(encode, "label int, ids binary").toArrow()
+    rows = labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.col("label").cast("int")).alias("label"))
+    sample = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows ids at most
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    encoded = texts.mapInArrow(encode, "doc_id string, label int, ids binary")
+    got = encoded.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("ids").alias("ids")).select("label", "ids").toArrow()
     label = got.column("label").to_numpy().astype(np.float64)
-    docs = [np.frombuffer(x, np.uint32) for x in got.column("ids").to_pylist()]
+    docs = [np.frombuffer(x.as_buffer(), np.uint32).copy() for x in got.column("ids")]
+    del got
+    # first by counts of hash buckets, so that the rare features are gone before anything is sorted
+    bucket = np.zeros(1 << 24, np.uint16)
+    for ids in docs:
+        np.add.at(bucket, np.unique(ids >> np.uint32(8)), 1)
+    docs = [ids[bucket[ids >> np.uint32(8)] >= least_rows] for ids in docs]
+    del bucket
     if not docs:
         return Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), -4.0)
     # a fixed order that does not depend on how rows arrived
