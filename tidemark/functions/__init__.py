@@ -29,7 +29,8 @@ def parse_reply(text: Column) -> Column:
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     got = F.from_json(body, "class STRING, confidence STRING, description STRING, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     number = F.coalesce(got["confidence"], F.lit("0.0")).try_cast("double")
-    good = (body != "") & got.isNotNull() & got["_bad"].isNull() & number.isNotNull()
+    # what stands in {...} must be one JSON value: Spark forgives what follows a value at the end, not inside another
+    good = (body != "") & F.try_parse_json(F.concat(F.lit('{"v": '), body, F.lit("}"))).isNotNull() & got.isNotNull() & got["_bad"].isNull() & number.isNotNull()
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
     words = F.array(*(F.lit(c) for c in CLASSES[1:]))
     hit = F.get(F.filter(words, lambda c: F.contains(F.lower(text), F.replace(c, F.lit("_"), F.lit(" ")))), F.lit(0))
