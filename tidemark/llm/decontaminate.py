@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import shared_dir
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; punctuation and white space only separate."""
@@ -38,6 +40,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0
     null id; repeated items of one id count as one item with all their shingles, repeated doc_ids as one
     document with all its texts; columns other than those named do not matter.
     """
+    shared_dir(docs.sparkSession)
     spec = items.where("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
     lengths = F.least(F.lit(k), F.size("w"))
     listed = spec.select("item_id", lengths.alias("k"), F.explode(F.when(F.size("w") >= k, shingles(F.col("w"), k)).otherwise(F.array(F.xxhash64("w")))).alias("h")).distinct()
@@ -61,7 +64,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0
 
     sketches = listed.where("sketch").select("h", "k", "item_id", "part")
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    candidates = hashed(text).join(side(sketches), ["h", "k"]).select("doc_id", "item_id", "part").distinct()
+    candidates = hashed(text).join(side(sketches), ["h", "k"]).select("doc_id", "item_id", "part").distinct().checkpoint()  # few rows, used twice
     suspects = candidates.select("doc_id").distinct()
     held = hashed(text.join(suspects, "doc_id", "left_semi")).join(side(listed.select("h", "k", "item_id", "n")), ["h", "k"])
     found = held.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("h", "k").alias("n_found"))
