@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import small_batches
 from tidemark.llm.wordhash import flat, slices
 
 SEGMENT = 64
@@ -25,7 +26,7 @@ PAD = 256
 #: Segments that advance together.
 TOGETHER = 4096
 #: Text bytes taken at a time.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 @dataclass
@@ -197,6 +198,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     A text that is null or has no letter gets `und` and score 0, and so does every text if nothing
     was learned. Of equal probabilities the first label in order wins.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema
 

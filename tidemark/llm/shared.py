@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +37,29 @@ def hand_out(spark: SparkSession, content: bytes, stem: str) -> str:
         out.close()
     spark.sparkContext.addFile(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return name
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of `rows` rows at most from now on in this session: texts are long, and a batch is held whole."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, rows)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of `rows` rows at most in what runs inside; for operators that end all Python work before they return."""
+    before = spark.conf.get(_BATCH)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

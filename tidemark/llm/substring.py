@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_dir
+from tidemark.llm.shared import shared_dir, small_batches
 from tidemark.llm.wordhash import Words, flat, slices
 
 #: Text bytes of a chunk; numpy needs about fifty times as much for a moment.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -144,6 +144,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    small_batches(spark, 2000)
     text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).collect()[0][0] or 0
     buckets = max(4, -(-text_bytes // bucket_bytes))
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
