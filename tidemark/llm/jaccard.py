@@ -8,8 +8,9 @@ the symmetric difference has at most T = floor((1 - t) / t * n) shingles, n the
   contents of those groups; nodes that meet nowhere cannot be linked, and nothing is lost. Places where
   the same nodes meet are one place.
 * R-tree. At a place, each node is a point: the counts of its shingles in `DIMENSIONS` hashed groups.
-  Points are packed into boxes, boxes into larger boxes; the sum over groups of the smaller count bounds
-  the overlap, of points and, with the boxes' upper corners, of all points in two boxes.
+  Points are packed into boxes; the sum over groups of the smaller count bounds the overlap, of points and,
+  with the boxes' upper corners, of all points in two boxes. Each node carries its first places, so that a
+  pair that meets at several places is taken at the first of them.
 * Verification. Pairs that survive are decided by their whole shingle sets.
 * Large places run twice: first each point meets only its best partner, and the components of these links are
   formed; then all surviving pairs between different components follow. A group of many near copies
@@ -26,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import shared_dir
+from tidemark.llm.shared import batches_of, release, shared_dir
 from tidemark.llm.substring import _bucket, _expand, _squeeze
 from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 
 #: Text bytes taken at a time.
-STEP = 4 << 20
-DIMENSIONS = 32
+STEP = 2 << 20
+DIMENSIONS = 128
+#: Places by which two nodes tell whether they also meet at an earlier one.
+FIRST = 8
 #: Points of an R-tree box.
 LEAF = 32
 #: Places with more points run in two rounds; larger ones still are dealt out in parts of this size.
-SMALL, PART = 48, 8192
+SMALL, PART = 3, 8192
 #: Words of the filter that names the nodes whose sets are needed: 64 bits each, a fixed size.
 FILTER_WORDS = 1 << 17
 
@@ -116,16 +119,18 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | None, side: np.ndarray | None, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | None, side: np.ndarray | None, best_only: bool, place: int = 0, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points whose bound allows a link, by a join of an R-tree of all points with itself.
 
     label: only pairs of different labels. side: only pairs with one point of side 0 and one of side 1.
-    best_only: of each point only the partner with the greatest bound for their sizes.
+    best_only: of each point only the partner with the greatest bound for their sizes. places: the first
+    places of each point; a pair that has one below `place` in common is left to that one.
     """
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0] // 2, n)) if len(n) <= LEAF else _pack_order(n, x)
     n, x = n[order], x[order]
     label = None if label is None else label[order]
     side = None if side is None else side[order]
+    places = None if places is None else places[order]
     edges = np.arange(0, len(n), LEAF)
     low, high = np.minimum.reduceat(n, edges), np.maximum.reduceat(n, edges)
     corner = np.maximum.reduceat(x, edges, axis=0)
@@ -151,9 +156,15 @@ def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | N
             if not may.any():
                 continue
             p, q = np.nonzero(may)
+            if places is not None:
+                one, other = places[a][p][:, :, None], places[b][q][:, None, :]
+                here = ~((one == other) & (one < place)).any(axis=(1, 2))
+                p, q = p[here], q[here]
+                if not len(p):
+                    continue
+            score = bound[p, q] / total[p, q]
             p, q = p + a.start, q + b.start
             if best_only:
-                score = bound[may] / total[may]
                 for at, other in ((p, q), (q, p)):
                     up = np.lexsort((-other, score, at))
                     last = np.append(np.flatnonzero(np.diff(at[up])), len(up) - 1)
@@ -219,8 +230,14 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
     get equal results; other columns of `docs` do not matter. Sets are told apart and compared by 64-bit
     hashes.
     """
+    shared_dir(docs.sparkSession)
+    with batches_of(docs.sparkSession, 250):
+        return _link(docs, k, percent, bucket_bytes)
+
+
+def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int) -> DataFrame:
+    """The work of link_components. All plans with Python end in a checkpoint, so none runs after it returns."""
     spark = docs.sparkSession
-    shared_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
     buckets = max(4, -(-text_bytes // bucket_bytes))
@@ -277,7 +294,10 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
     met = rows.mapInArrow(send, "bucket int, keys binary, who binary").groupBy("bucket").applyInArrow(gather, "place long, node long").distinct()
     parts = F.ceil(F.col("members") / PART).cast("int")
     members = met.join(met.groupBy("place").agg(F.count("*").alias("members")), "place").checkpoint()
-    points = members.join(nodes.select("node", "n", "point"), "node")
+    del met
+    release(spark)
+    firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("place")), 1, FIRST).alias("firsts"))
+    points = members.join(nodes.select("node", "n", "point").join(firsts, "node"), "node")
     cell = F.pmod(F.xxhash64("node"), parts).cast("int")
     # a large place is a triangle of part pairs; each point goes to the pairs of its own part
     dealt = points.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -290,7 +310,11 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
             for table in _runs(batches, "task"):
                 task, node, n = (table.column(c).to_numpy() for c in ("task", "node", "n"))
                 x = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
-                side = table.column("side").to_numpy()
+                side, place = table.column("side").to_numpy(), table.column("place").to_numpy()
+                firsts = np.full((len(node), FIRST), np.iinfo(np.int64).max)
+                lists = table.column("firsts").combine_chunks()
+                sizes = np.diff(lists.offsets.to_numpy())
+                firsts[np.arange(FIRST) < sizes[:, None]] = lists.flatten().to_numpy()
                 label = table.column("label").to_numpy() if labelled else None
                 edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
                 out_a, out_b = [], []
@@ -298,14 +322,14 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
                     if z - a < 2 or (labelled and (label[a:z] == label[a]).all()):
                         continue
                     own = side[a:z]
-                    p, q = near_pairs(n[a:z], x[a:z], percent, label[a:z] if labelled else None, None if own[0] < 0 else own, best_only)
+                    p, q = near_pairs(n[a:z], x[a:z], percent, label[a:z] if labelled else None, None if own[0] < 0 else own, best_only, place[a], firsts[a:z])
                     out_a.append(node[a:z][p])
                     out_b.append(node[a:z][q])
                 a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        columns = ["task", "node", "n", "point", "side", *(["label"] if labelled else [])]
-        spread = where.select(*columns).repartition("task").sortWithinPartitions("task", "n", "node")
+        columns = ["task", "node", "n", "point", "side", "place", "firsts", *(["label"] if labelled else [])]
+        spread = where.select(*columns).repartition("task").sortWithinPartitions("task", "place", "n", "node")
         return spread.mapInArrow(run, "a long, b long").distinct()
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -343,10 +367,13 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
                 chosen = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
 
-        sets = rows.mapInArrow(pick, "node long, body binary").dropDuplicates(["node"]).join(ends.distinct(), "node", "left_semi").checkpoint()
+        sets = rows.mapInArrow(pick, "node long, body binary").dropDuplicates(["node"])
         left = candidates.join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long").checkpoint()
+        linked = both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long").checkpoint()
+        del sets, left, both
+        release(spark)
+        return linked
 
     large = F.col("members") > SMALL
     links = verified(pairs(dealt.where(~large), False, False).unionByName(pairs(dealt.where(large), False, True)).distinct())
