@@ -286,6 +286,31 @@ def test_html_consensus(spark):
     assert htmlmain.extract(df.limit(0)).count() == 0
 
 
+def test_html_article_is_whole(spark):
+    head, long = "<h1>Heading</h1><p>The lead.</p>", "<p>" + "long text " * 40 + "</p>"
+    whole = "Heading The lead. " + ("long text " * 40).strip()
+    nav = "<nav>menu</nav>"
+    shapes = [
+        f"{nav}<article>{head}<div class=body>{long}</div></article><footer>foot</footer>",
+        f"{nav}<main>{head}<section>{long}</section></main>",
+        f"{nav}<main><h1><a href=/x>Heading</a></h1><p>The lead.</p><article>{long}</article></main>",
+        f"<article>{head}<table><tr><td>{long}</table></article><div class=box><p>A box.</p></div>",
+        f"<div class=post>{head}<div class=body>{long}</div></div>{nav}",
+        f"<div class=post><div class=lead><h1>Heading</h1><p>The lead.</p></div><div class=body>{long}</div></div>",
+        f"<div class=post><div class=title>Heading</div><div class=lead>The lead.</div><div class=body>{long}</div></div>",
+        f"<article>Heading</article><article>The lead.</article><article class=z>{long}</article>",
+    ]
+    for shape in shapes:
+        page = htmlmain.Page(shape)
+        assert page.text({page.best()}) == whole, shape
+    # a host whose pages have no lead: its path lies inside the container of the one that has
+    bodies = [f"<div class=post><div class=body>{long}</div></div>"] * 3
+    pages = [(i, f"http://h.org/{i}", h) for i, h in enumerate([*bodies, shapes[4]])]
+    pages += [(10 + i, f"http://m.org/{i}", h) for i, h in enumerate([f"<main><article>{long}</article></main>"] * 3 + [shapes[2]])]
+    got = {r["page_id"]: r["text"] for r in htmlmain.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == whole == got[13] and got[0] == ("long text " * 40).strip() == got[10]
+
+
 def test_toxicity(spark, empty):
     r = random.Random(0)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]

@@ -3,7 +3,8 @@
 First pass: each page is parsed, its containers are scored, and the best one names its generalised
 tag-class path (digits in classes become #). Spark sums the votes of each host. Second pass: every
 page is extracted again from the containers at its host's winning path; a page on which that path
-holds no text falls back to its own best container.
+holds no text falls back to its own best container, and one whose own article goes beyond that path
+is widened to it.
 
 Parsing is one linear pass over tags with a stack of open elements, which forgives unclosed and
 misnested markup.
@@ -39,6 +40,10 @@ FURNITURE = frozenset(
     "widget toolbar login signup search skip pagination pager".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset("article main".split())
+#: Bare text of a box behind the main text, without a paragraph, is a label up to this length.
+LABEL = 25
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -152,24 +157,86 @@ class Page:
             score[self.nodes[i][0]] += score[i]
         return score
 
+    def _sums(self, own: list[int]) -> list[int]:
+        """Of every element the sum of `own` in and below it."""
+        total = list(own)
+        for i in range(len(total) - 1, 0, -1):
+            total[self.nodes[i][0]] += total[i]
+        return total
+
+    def _layout(self) -> tuple[list[int], list[bool], list[bool]]:
+        """Of every element: the nearest container at or above it, whether its text is bare (no paragraph, heading or the like inside that), and whether it is in a main or article."""
+        nodes = self.nodes
+        up, bare, inside = [0] * len(nodes), [True] * len(nodes), [False] * len(nodes)
+        for i, (parent, tag, _, dropped) in enumerate(nodes):
+            if i:
+                up[i] = i if tag in CONTAINER and not dropped else up[parent]
+                bare[i] = tag in CONTAINER or (tag in INLINE and bare[parent])
+                inside[i] = tag in ARTICLE or inside[parent]
+        return up, bare, inside
+
+    def running(self) -> list[tuple[int, int]]:
+        """(node, characters) of the pieces of running text: not dropped, and no link but in a heading."""
+        heading = [False] * len(self.nodes)
+        for i, (parent, tag, _, _) in enumerate(self.nodes):
+            heading[i] = tag in HEADINGS or (i > 0 and heading[parent])
+        return [(node, n) for node, text, link in self.pieces if text and not self.nodes[node][3] and (not link or heading[node]) and (n := len(text.strip()))]
+
     def best(self, share: float = 0.8) -> int:
-        """The innermost container that still holds `share` of the text of the one around it."""
+        """The innermost container that leaves no running text of the article outside.
+
+        It holds `share` of the text of the one around it, and what is outside is page furniture, link
+        text, a label in a box behind it, or lies outside the page's own main or article elements. An
+        article element is never cut.
+        """
         score = self.scores()
+        up, bare, inside = self._layout()
         kids: dict[int, list[int]] = {}
-        up = [0] * len(self.nodes)  # the nearest container at or above
-        for i, (parent, tag, _, dropped) in enumerate(self.nodes):
-            if i:
-                up[i] = i if tag in CONTAINER and not dropped else up[parent]
-                if up[i] == i:
-                    kids.setdefault(up[parent], []).append(i)
+        for i in range(1, len(self.nodes)):
+            if up[i] == i:
+                kids.setdefault(up[self.nodes[i][0]], []).append(i)
+        text, prose, article = ([0] * len(self.nodes) for _ in range(3))
+        for node, n in self.running():
+            text[node] += n
+            prose[node] += 0 if bare[node] else n
+            article[node] += n if inside[node] else 0
+        text, prose, article = self._sums(text), self._sums(prose), self._sums(article)
         at = 0
-        while at in kids:
+        while at in kids and self.nodes[at][1] != "article":
             child = max(kids[at], key=lambda i: (score[i], -i))
             if score[child] <= 0 or score[child] < share * score[at]:
                 break
+            if inside[at]:
+                left = text[at] - text[child]
+            elif article[child]:
+                left = article[at] - article[child]
+            else:
+                labels = sum(text[i] for i in kids[at] if i > child and not prose[i] and text[i] <= LABEL) if prose[child] else 0
+                left = text[at] - text[child] - labels
+            if left > 0:
+                break
             at = child
         return at
 
+    def choose(self, path: str | None) -> tuple[str, str]:
+        """(path, text): the page at its host's path, widened to its own best container where that holds more of its article."""
+        best, roots = self.best(), set() if path is None else self.at(path)
+        text = self.text(roots) if roots else ""
+        if not text:
+            return self.nodes[best][2], self.text({best})
+        up, bare, inside = self._layout()
+        taken, own = [False] * len(self.nodes), [False] * len(self.nodes)
+        for i, (parent, *_) in enumerate(self.nodes):
+            taken[i] = i in roots or (parent >= 0 and taken[parent])
+            own[i] = i == best or (parent >= 0 and own[parent])
+        if taken[best]:
+            return path, text
+        # bare text in another container behind the host's is a box by the host's vote, unless the page says it is its article
+        first = min(roots)
+        if any(own[i] and not taken[i] and (inside[best] or not bare[i] or up[i] == best or i < first) for i, _ in self.running()):
+            return self.nodes[best][2] if all(own[i] for i in roots) else path, self.text(roots | {best})
+        return path, text
+
     def text(self, roots: set[int]) -> str:
         """The text of the elements `roots` without dropped elements: blocks joined by one space."""
         inside = [False] * len(self.nodes)
@@ -219,11 +286,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), broadc
         for batch in batches:
             texts, paths = [], []
             for source, path in zip(batch.column("html").to_pylist(), batch.column("_path").to_pylist(), strict=True):
-                page = Page(source or "")
-                text = page.text(page.at(path)) if path is not None else ""
-                if not text:
-                    best = page.best()
-                    path, text = page.nodes[best][2], page.text({best})
+                path, text = Page(source or "").choose(path)
                 texts.append(text)
                 paths.append(path)
             yield pa.RecordBatch.from_arrays(
