@@ -311,6 +311,26 @@ def test_html_article_is_whole(spark):
     assert got[3] == whole == got[13] and got[0] == ("long text " * 40).strip() == got[10]
 
 
+def test_html_names_do_not_drop_the_article(spark):
+    body = "<h1>Heading</h1><p>" + "long text " * 40 + "</p>"
+    whole = "Heading " + ("long text " * 40).strip()
+    for name in ("class='content with-sidebar'", "class=no-sidebar", "class=has-ads", "class=social-post", "id=notice-123", "class='widget'", "class=with-header", "class=sidebar"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", body):
+            page = htmlmain.Page(f"<nav>menu</nav><div {name}>{inner}</div><div class='ad'>buy</div><footer>foot</footer>")
+            assert page.text({0}) == whole == page.text({page.best()}), (name, inner[:9])
+    page = htmlmain.Page(f"<article><p>Lead.</p><div class='content social'>{body}</div><p class=social-post>Quoted.</p></article>")
+    assert page.text({page.best()}) == f"Lead. {whole} Quoted."
+    # what is furniture by name still goes, whatever it holds beside the article
+    for name in ("ad", "ad-slot", "sidebar-left", "main-nav", "related-posts", "comments", "comment-list", "box share", "ad-300"):
+        for inner in ("<p>x</p>", "<article><p>teaser</p></article>"):
+            page = htmlmain.Page(f"<div class='{name}'>{inner}</div><article>{body}<div class='{name}'>{inner}</div></article><div class=comments><p>{body * 3}</p></div>")
+            assert page.text({0}) == whole, name
+    page = htmlmain.Page(f"<div class=post><p>Short.</p></div><div class=comments>{body}</div>")
+    assert page.text({0}) == "Short."
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", f"<div class='content with-sidebar'><article>{body}</article></div>") for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in htmlmain.extract(df).collect()} == {whole}
+
+
 def test_toxicity(spark, empty):
     r = random.Random(0)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]

@@ -39,6 +39,10 @@ FURNITURE = frozenset(
     "comment comments disqus replies cookie cookies consent notice notices popup modal newsletter subscribe subscription share sharing social related recommended "
     "widget toolbar login signup search skip pagination pager".split()
 )
+#: Words that go with a furniture word in one class, such as sidebar-left; those before one that only tell of it, such as has-sidebar; furniture that may well be longer than the article.
+PARTS = frozenset("area articles bar block bottom box buttons container icons inner item items left links list outer posts right section slot stories top unit widgets wrap wrapper".split())
+STATES = frozenset("has have hide hides no non not show shows with without".split())
+READERS = frozenset("comment comments disqus replies".split())
 HEADERS = frozenset("header masthead topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
@@ -53,6 +57,17 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+")
 
 
+def _named(tokens: set[str], names: frozenset[str]) -> set[str]:
+    """Of `names` those that one whole class or id names: as its last word, or with nothing but words of PARTS."""
+    found = set()
+    for token in tokens:
+        words = _WORD.findall(token)
+        hit = names.intersection(words)
+        if hit and STATES.isdisjoint(words) and (words[-1] in names or all(w in names or w in PARTS for w in words)):
+            found |= hit
+    return found
+
+
 class Page:
     """The elements and text pieces of one page.
 
@@ -62,6 +77,7 @@ class Page:
 
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
+        self._names: dict[int, set[str]] = {}  # elements that are furniture by their names only
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._stack = [0]
         self._links = 0
@@ -87,6 +103,8 @@ class Page:
                     self.pieces.append((self._stack[-1], None, False))
             else:
                 self._open(name, m[3] if m[2] else m[6] or "")
+        if self._names:
+            self._drop_named()
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -114,19 +132,21 @@ class Page:
             self.pieces.append((stack[-1], None, False))
         parent = stack[-1]
         _, _, path, dropped = nodes[parent]
-        classes, words, role = "", (), ""
+        classes, tokens, role = "", set(), ""
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
                 if key.lower() == "role":
                     role = value.strip()
                     continue
-                words = {*words, *_WORD.findall(value)}
+                tokens |= set(value.split())
                 if key.lower() == "class":
                     classes = ".".join(sorted(re.sub(r"\d+", "#", value).split()))
         if name not in ("html", "body", "main", "article") and not dropped:
             inside = any(nodes[i][1] in ("article", "main") for i in stack)
-            dropped = name in DROPPED or role in ROLES or not FURNITURE.isdisjoint(words) or (not inside and (name == "header" or not HEADERS.isdisjoint(words)))
+            dropped = name in DROPPED or role in ROLES or (not inside and name == "header")
+            if tokens and not dropped and (names := _named(tokens, FURNITURE if inside else FURNITURE | HEADERS)):
+                self._names[len(nodes)] = names
         step = f"{path}>{name}.{classes}" if classes else f"{path}>{name}"
         if len(step) > 400:  # deep or long: the rest stands as a checksum
             step = f"~{zlib.crc32(step.encode()):08x}"
@@ -146,6 +166,31 @@ class Page:
             if name in INLINE and tag not in INLINE:
                 return
 
+    def _drop_named(self) -> None:
+        """Drop what is furniture by name, but not what holds the page's only article, or most of its running text.
+
+        Where an article is left, the latter counts inside articles only; reader comments must be all the text.
+        """
+        nodes, names = self.nodes, self._names
+        own, article, inside = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+        gone = [False] * len(nodes)
+        for i, (parent, tag, _, dropped) in enumerate(nodes):
+            inside[i] = tag in ARTICLE or (i > 0 and inside[parent])
+            gone[i] = dropped or i in names or (i > 0 and gone[parent])
+        for node, text, link in self.pieces:
+            if text and not link and not nodes[node][3]:
+                own[node] += len(text.strip())
+                article[node] += len(text.strip()) if inside[node] else 0
+        left = any(n and not gone[i] for i, n in enumerate(article))
+        own, article = self._sums(own), self._sums(article)
+        for i, (parent, tag, path, dropped) in enumerate(nodes):
+            by_name = i in names
+            if by_name and own[i]:
+                most = own[i] == own[0] or (2 * own[i] > own[0] and READERS.isdisjoint(names[i]))
+                by_name = not ((article[i] and not inside[i] and not left) or (most and (inside[i] or not left)))
+            if i and not dropped and (by_name or nodes[parent][3]):
+                nodes[i] = (parent, tag, path, True)
+
     def scores(self) -> list[float]:
         """Of every element: the characters of running text in and below it, links counting against it."""
         score = [0.0] * len(self.nodes)
