@@ -125,6 +125,16 @@ def test_jaccard_equals_brute_force(odd, k, percent, small, part, monkeypatch):
     assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
 
 
+def test_jaccard_bounds_of_counts_beyond_16_bits():
+    sets = jaccard.Sets(pa.array([]), 3)
+    both, own = 70_000, 1_000  # shingles in common, and of each alone, all in one group
+    sets.row = np.repeat([0, 1], both + own)
+    sets.h = np.concatenate([np.arange(both + own), np.append(np.arange(both), np.arange(both + own, both + 2 * own))]).astype(np.uint64) * np.uint64(jaccard.DIMENSIONS)
+    sets.n = np.array([both + own] * 2)
+    p, q = jaccard.near_pairs(sets.n, sets.points(), 90, None, None, False)
+    assert sorted(zip(p.tolist(), q.tolist(), strict=True)) in ([(0, 1)], [(1, 0)])
+
+
 def test_jaccard_on_an_empty_table(empty):
     assert jaccard.link_components(empty).count() == 0
 

@@ -34,6 +34,8 @@ from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 #: Text bytes taken at a time.
 STEP = 2 << 20
 DIMENSIONS = 128
+#: The greatest count that a point holds: it stands for this many or more.
+MOST = np.iinfo(np.uint16).max
 #: Places by which two nodes tell whether they also meet at an earlier one.
 FIRST = 8
 #: Points of an R-tree box.
@@ -75,9 +77,9 @@ class Sets:
         return np.where(self.n > 0, mix(self.sums(mix(self.h)) + self.n.astype(_U)), _U(0)).view(np.int64)
 
     def points(self) -> np.ndarray:
-        """Counts of each row's shingles in the hashed groups."""
+        """Counts of each row's shingles in the hashed groups, at most MOST."""
         cell = self.row * DIMENSIONS + (self.h % _U(DIMENSIONS)).astype(np.int64)
-        return np.bincount(cell, minlength=len(self.n) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.uint16)
+        return np.minimum(np.bincount(cell, minlength=len(self.n) * DIMENSIONS), MOST).reshape(-1, DIMENSIONS).astype(np.uint16)
 
 
 def routes(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +117,11 @@ def routes(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.n
     return np.concatenate([row[of][sent], row[few]]), np.concatenate([key, mix(level[few].astype(_U) + _U(0xFE3))])
 
 
+def _unbounded(x: np.ndarray) -> np.ndarray:
+    """Counts of MOST are not known, so they bound nothing: they become greater than any."""
+    return np.where(x == MOST, np.uint32(1 << 31), x) if len(x) and x.max() == MOST else x
+
+
 def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
 
@@ -126,6 +133,7 @@ def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | N
     best_only: of each point only the partner with the greatest bound for their sizes. places: the first
     places of each point; a pair that has one below `place` in common is left to that one.
     """
+    x = _unbounded(x)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0] // 2, n)) if len(n) <= LEAF else _pack_order(n, x)
     n, x = n[order], x[order]
     label = None if label is None else label[order]
