@@ -125,6 +125,18 @@ def test_jaccard_equals_brute_force(odd, k, percent, small, part, monkeypatch):
     assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == want
 
 
+def test_jaccard_counts_all_links(odd, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    docs = odd.where("doc_id between 60 and 99").collect()
+    sets = {}
+    for r in docs:
+        w = WORD.findall(r["text"])
+        sets.setdefault(frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)), []).append(r["doc_id"])
+    want = sorted((i, sum(1 for o in sets if o != s and 100 * len(s & o) >= 80 * len(s | o))) for s, ids in sets.items() for i in ids)
+    got = jaccard.link_components(odd.where("doc_id between 60 and 99"), 3, 80, degrees=True).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == want and max(n for _, n in want) > jaccard.SMALL
+
+
 def test_jaccard_bounds_of_counts_beyond_16_bits():
     sets = jaccard.Sets(pa.array([]), 3)
     both, own = 70_000, 1_000  # shingles in common, and of each alone, all in one group

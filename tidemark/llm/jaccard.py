@@ -14,7 +14,8 @@ the symmetric difference has at most T = floor((1 - t) / t * n) shingles, n the
 * Verification. Pairs that survive are decided by their whole shingle sets.
 * Large places run twice: first each point meets only its best partner, and the components of these links are
   formed; then all surviving pairs between different components follow. A group of many near copies
-  is so joined by about as many links as it has members, without losing any component.
+  is so joined by about as many links as it has members, without losing any component. Where the
+  number of links is asked for, every surviving pair is verified instead.
 """
 
 from __future__ import annotations
@@ -225,13 +226,13 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of `docs` (doc_id, text).
+def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes: int = 8 << 20, degrees: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, and with `degrees` n_links, for every row of `docs` (doc_id, text).
 
     A-Z is lower-cased, words are `[^\\x20\\x09-\\x0D]+`; a set holds the distinct k-word shingles, for fewer
     words the whole sequence as one. Two documents link when 100 * intersection >= percent * union.
-    component_id is the smallest doc_id reachable by links; n_links counts the verified links of the
-    document's class to other classes (copies aside) that were needed for that.
+    component_id is the smallest doc_id reachable by links; n_links is the number of all different sets
+    that the document's own is linked with (copies aside), which takes time by the square of a group's size.
 
     Edge cases: null and empty texts, and texts without words, have an empty set and are linked with nothing,
     each its own component; a null doc_id stays null and never names a component of others; repeated rows
@@ -240,10 +241,10 @@ def link_components(docs: DataFrame, k: int = 3, percent: int = 90, bucket_bytes
     """
     shared_dir(docs.sparkSession)
     with batches_of(docs.sparkSession, 250):
-        return _link(docs, k, percent, bucket_bytes)
+        return _link(docs, k, percent, bucket_bytes, degrees)
 
 
-def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int) -> DataFrame:
+def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: bool) -> DataFrame:
     """The work of link_components. All plans with Python end in a checkpoint, so none runs after it returns."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -384,16 +385,21 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int) -> DataFrame
         return linked
 
     large = F.col("members") > SMALL
-    links = verified(pairs(dealt.where(~large), False, False).unionByName(pairs(dealt.where(large), False, True)).distinct())
-    if not members.where(large).isEmpty():
+    if degrees:
+        links = verified(pairs(dealt, False, False))
+    else:
+        links = verified(pairs(dealt.where(~large), False, False).unionByName(pairs(dealt.where(large), False, True)).distinct())
+    if not degrees and not members.where(large).isEmpty():
         known = components(links).withColumnRenamed("root", "label")
         apart = dealt.where(large).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         links = links.unionByName(verified(pairs(apart, True, False))).distinct().checkpoint()
     joined = components(links)
+    reps = nodes.select("node", "rep").join(joined, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    named = reps.join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    full = described.where("n > 0").join(named, "node").select("node", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    empty = described.where("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = full.unionByName(empty)
+    if not degrees:
+        return rows.drop("node")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    reps = nodes.select("node", "rep").join(joined, "node", "left").join(degree, "node", "left")
-    reps = reps.select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = reps.join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id", "n_links")
-    full = described.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "n_links")
-    empty = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty)
+    return rows.join(degree, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
