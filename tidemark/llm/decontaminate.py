@@ -1,10 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, then exact containment.
+"""Benchmark decontamination: MinHash containment search, then exact containment.
 
 A test item of n distinct shingles that a document contains to a share t or more misses at most
 m = floor((1 - t) n) of them. So the item's m + 1 smallest hash values, its MinHash sketch, cannot all be
-missing: a document that holds none of them is ruled out without loss. Items are partitioned by size
-(powers of two), and each partition has sketches of its own length; a document is probed with every
-shingle hash of its whole text, whatever its length. The documents that hit a sketch are then verified:
+missing: a document that holds none of them is ruled out without loss. The length of a sketch follows
+its own item's size; items are not partitioned by size. A document is probed with every shingle hash of
+its whole text, whatever its length. The documents that hit a sketch are then verified:
 the exact share of the item's distinct shingles that the document holds.
 
 Only DataFrame functions: words, shingles, hashes and joins all run in the JVM.
@@ -46,7 +46,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0
     listed = spec.select("item_id", lengths.alias("k"), F.explode(F.when(F.size("w") >= k, shingles(F.col("w"), k)).otherwise(F.array(F.xxhash64("w")))).alias("h")).distinct()
     n = F.count("*").over(Window.partitionBy("item_id"))
     by_hash = Window.partitionBy("item_id").orderBy("h", "k")
-    listed = listed.withColumn("n", n).withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("at", F.row_number().over(by_hash))
+    listed = listed.withColumn("n", n).withColumn("at", F.row_number().over(by_hash))
     listed = listed.withColumn("sketch", F.col("at") <= F.floor((1 - F.lit(share)) * F.col("n") + F.lit(1e-9)) + 1)
     counted = listed.agg(F.count("*").alias("rows"), F.collect_set("k").alias("k")).collect()[0]  # k: at most five numbers
     small = counted["rows"] <= broadcast_rows
@@ -62,12 +62,12 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0
             whole = whole.unionByName(tokens.select("doc_id", F.lit(short).alias("k"), F.explode(shingles(F.col("w"), short)).alias("h")))
         return whole
 
-    sketches = listed.where("sketch").select("h", "k", "item_id", "part")
+    sketches = listed.where("sketch").select("h", "k", "item_id")
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    candidates = hashed(text).join(side(sketches), ["h", "k"]).select("doc_id", "item_id", "part").distinct().checkpoint()  # few rows, used twice
+    candidates = hashed(text).join(side(sketches), ["h", "k"]).select("doc_id", "item_id").distinct().checkpoint()  # few rows, used twice
     suspects = candidates.select("doc_id").distinct()
     held = hashed(text.join(suspects, "doc_id", "left_semi")).join(side(listed.select("h", "k", "item_id", "n")), ["h", "k"])
     found = held.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("h", "k").alias("n_found"))
-    found = found.join(candidates.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    found = found.join(candidates, ["doc_id", "item_id"], "left_semi")
     exact = found.where(F.col("n_found") >= F.lit(share) * F.col("n") - F.lit(1e-9))
     return exact.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
