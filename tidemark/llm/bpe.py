@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import hand_out, shared_dir, small_batches
+from tidemark.llm.shared import hand_out, kept, shared_dir
 from tidemark.llm.wordhash import slices
 
 #: Text bytes taken at a time.
@@ -99,21 +100,30 @@ class Vocabulary:
             return []
         parts = [self._inner[b] for b in raw]
         parts[-1] = self._last[raw[-1]]
-        get, none = self.ranks.get, _NO_RANK
-        ranks = [get((x << 32) | y, none) for x, y in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            new = best & 0xFFFFFFFF
-            parts[i : i + 2] = [new]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((parts[i - 1] << 32) | new, none)
-            if i < len(ranks):
-                ranks[i] = get((new << 32) | parts[i + 1], none)
-        return parts
+        n, get = len(parts), self.ranks.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        # rank and place of every pair in one number; entries that a merge has made untrue are passed over
+        heap = [(found & _RANK) | i for i, pair in enumerate(zip(parts, parts[1:], strict=False)) if (found := get((pair[0] << 32) | pair[1])) is not None]
+        heapify(heap)
+        while heap:
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if parts[i] < 0 or j >= n:
+                continue
+            found = get((parts[i] << 32) | parts[j])
+            if found is None or found >> 32 != entry >> 32:
+                continue
+            parts[i], parts[j] = found & 0xFFFFFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := get((parts[i] << 32) | parts[k])) is not None:
+                    heappush(heap, (found & _RANK) | i)
+            h = before[i]
+            if h >= 0 and (found := get((parts[h] << 32) | parts[i])) is not None:
+                heappush(heap, (found & _RANK) | h)
+        return [x for x in parts if x >= 0]
 
     def merge_many(self, words: list[str]) -> list[list[int]]:
         """`merge` for many words at once: those of one length advance together, one merge a round."""
@@ -197,6 +207,8 @@ _SPACES = regex.compile(r"\p{White_Space}+")
 #: Separators that Python takes for white space and Unicode does not.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _NO_RANK = 1 << 62
+#: The rank in a number of rank and merged id.
+_RANK = ~0xFFFFFFFF
 #: Slots of the hash table of merges.
 _SLOTS = 1 << 18
 
@@ -413,16 +425,21 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], *, ids: bool = Fals
     tokenizer: path of the vocabulary file, read on the driver. ids_sha256 is of the decimal ids joined
     by one space, decoded_sha256 of the text decoded from those ids.
 
+    Normalising and splitting is our own work except in pieces with characters outside `_UNSETTLED`'s blocks
+    (Arabic, Hebrew, Thai, Indic and Armenian letters, emoji, rarer CJK): those go through the library's
+    normaliser and splitter, as its version of the Unicode tables decides there. Lexicon and merges are always ours.
+
     Edge cases: a null text counts as empty and has no token; a special token's string inside a text
-    becomes its id, as the tokenizers library has it; repeated rows stay; other columns do not matter.
+    becomes its id, as the tokenizers library has it; repeated rows stay; a kept column named like a result is
+    replaced by it; other columns do not matter. A word takes time by n log n of its length.
     """
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     spark = docs.sparkSession
-    small_batches(spark, 4000)
     name = hand_out(spark, build_lexicon(docs, source, most_words).dump(), "lexicon")
     shared = spark.sparkContext.broadcast(source)
-    fields = docs.select(*keep).schema
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
+    keep, kept_columns, types = kept(docs, keep, results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lexicon = _vocabulary(shared.value), _lexicon(name)
@@ -481,7 +498,6 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], *, ids: bool = Fals
                     arrays += [pa.array(columns["ids"], pa.list_(pa.int32())), pa.array(columns["decoded"], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), *arrays], [*(f"k{i}" for i in range(len(keep))), *results])
 
-    results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
-    renamed = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
-    ddl = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>, decoded string"] if ids else [])])
+    renamed = docs.select(*kept_columns, F.col("text").cast("string").alias("text"))
+    ddl = ", ".join([*([types] if types else []), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>, decoded string"] if ids else [])])
     return renamed.mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *results)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches
+from tidemark.llm.shared import kept, shared_dir
 from tidemark.llm.wordhash import flat, slices
 
 SEGMENT = 64
@@ -27,6 +27,8 @@ PAD = 256
 TOGETHER = 4096
 #: Text bytes taken at a time.
 STEP = 2 << 20
+#: Parts of a language among which its sample is chosen first.
+SALTS = 64
 
 
 @dataclass
@@ -162,13 +164,16 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), PAD), row
 
 
-def fit(labelled: DataFrame, rows_per_label: int = 400, segments_per_row: int = 8, max_labels: int = 64, steps: int = 300) -> Model:
+def fit(labelled: DataFrame, rows_per_label: int = 400, segments_per_row: int = 8, most_labels: int = 1000, steps: int = 300) -> Model:
     """A model from `labelled` (doc_id, text, lang).
 
-    The sample: of each language the `rows_per_label` rows with the smallest hash of doc_id, and of
-    each of these up to `segments_per_row` segments spread over the whole text. Rows with a null
-    lang or a text without a letter are left out. At most the `max_labels` most frequent languages
-    are learned.
+    The sample: of each language the `rows_per_label` rows with the smallest hash of doc_id and text (equal
+    rows count once), and of each of these up to `segments_per_row` segments spread over the whole text.
+    Rows with a null lang or a text without a letter are left out. Every language is learned; more than
+    `most_labels` of them are an error, as lang is then no language.
+
+    The rows are chosen by (lang, hash) alone, first inside salted parts of each language, so that no
+    text is moved for it and a language of most rows is no single task; then the chosen texts are read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +186,19 @@ def fit(labelled: DataFrame, rows_per_label: int = 400, segments_per_row: int =
                 chosen = np.concatenate(chosen) if chosen else np.zeros(0, int)
                 yield pa.RecordBatch.from_arrays([pa.array([lang[row[i]] for i in chosen], pa.string()), pa.array([segments[i].astype(np.int16).tobytes() for i in chosen], pa.binary())], ["lang", "segment"])
 
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    known = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()]
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = usable.where(F.col("lang").isin(known)).withColumn("_n", F.row_number().over(by_lang)).where(F.col("_n") <= rows_per_label)
+    shared_dir(labelled.sparkSession)
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    usable = labelled.where(lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h")
+    best = Window.partitionBy("lang").orderBy("h")
+    rows = usable.select("lang", "h").withColumn("n", F.row_number().over(salted)).where(F.col("n") <= rows_per_label)
+    rows = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows_per_label).select("lang", "h").checkpoint()
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().limit(most_labels + 1).collect())
+    if len(labels) > most_labels:
+        raise ValueError(f"lang has more than {most_labels} values")
+    sample = usable.join(F.broadcast(rows.distinct()), ["lang", "h"]).dropDuplicates(["lang", "h"])  # rows_per_label * most_labels ids at most
     got = sample.select("text", "lang").mapInArrow(encode, "lang string, segment binary").toPandas()
     got = got.sort_values(["lang", "segment"])
-    labels = sorted(known)
     x = np.stack([np.frombuffer(s, np.int16) for s in got["segment"]]) if len(got) else np.zeros((0, SEGMENT), np.int16)
     return train(x, got["lang"].map({k: i for i, k in enumerate(labels)}).to_numpy().astype(int), labels, steps)
 
@@ -196,11 +207,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs` with lang_pred and score, the pooled probability of that language.
 
     A text that is null or has no letter gets `und` and score 0, and so does every text if nothing
-    was learned. Of equal probabilities the first label in order wins.
+    was learned. Of equal probabilities the first label in order wins. Kept columns named like a result
+    are replaced by it; other columns do not matter.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select(*keep).schema
+    keep, columns, types = kept(docs, keep, ["lang_pred", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -224,6 +235,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     [*(part.column(f"k{i}") for i in range(len(keep))), pa.array(names[best], pa.string()), pa.array(score)], [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"]
                 )
 
-    renamed = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
-    ddl = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string", "score double"])
+    renamed = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    ddl = ", ".join([*([types] if types else []), "lang_pred string, score double"])
     return renamed.mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")

@@ -6,57 +6,87 @@ import contextlib
 import gc
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The cluster's folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine, as in tests."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if told:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(told)
         return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(docs: DataFrame, keep: list[str], results: list[str]) -> tuple[list[str], list[Column], str]:
+    """Names of `keep` that no result takes (those are replaced by the results), as columns k0, k1, ..., and their types as DDL."""
+    names = [c for c in keep if c.lower() not in results]
+    types = [f.dataType.simpleString() for f in docs.select(*map(column, names)).schema]
+    return names, [column(c).alias(f"k{i}") for i, c in enumerate(names)], ", ".join(f"k{i} {t}" for i, t in enumerate(types))
+
+
 def hand_out(spark: SparkSession, content: bytes, stem: str) -> str:
     """Make `content` a file on every executor; returns its name for SparkFiles.get.
 
     It is written to the shared folder by Hadoop's file system, under a name made of its contents, and
-    each executor fetches it once, also one that joins later or replaces a lost one.
+    each executor fetches it once, also one that joins later or replaces a lost one. The name appears only
+    when the file is whole.
     """
     name = f"{stem}-{hashlib.sha256(content).hexdigest()[:24]}.bin"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark), name)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
-        out = files.create(path, True)
+        part = jvm.org.apache.hadoop.fs.Path(shared_dir(spark), f"{name}.{uuid.uuid4().hex}")
+        out = files.create(part, True)
         for a in range(0, len(content), 1 << 20):
             out.write(bytearray(content[a : a + (1 << 20)]))
         out.close()
+        if not files.rename(part, path):  # another driver was first with the same contents
+            files.delete(part, False)
     spark.sparkContext.addFile(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return name
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of `rows` rows at most from now on in this session: texts are long, and a batch is held whole."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
-        spark.conf.set(_BATCH, rows)
-
-
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of `rows` rows at most in what runs inside; for operators that end all Python work before they return."""
-    before = spark.conf.get(_BATCH)
-    small_batches(spark, rows)
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs that run inside; afterwards it is what it was."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of `rows` rows at most in what runs inside; for operators that end all Python work before they return."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    return setting(spark, name, min(now, rows) if now > 0 else rows)
+
+
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """`df` dealt into `parts` by `key` and written to the shared folder; later groupings by `key` find it so and move nothing.
+
+    Spark remembers how a checkpointed table is dealt only if it was planned without adaptive execution.
+    """
+    shared_dir(df.sparkSession)
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return df.repartition(parts, key).checkpoint()
 
 
 def release(spark: SparkSession) -> None:

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import kept
 from tidemark.llm.wordhash import NOT_LETTER, Words, flat, mix, slices
 
 #: Text bytes taken at a time; numpy needs about fifty times as much for a moment.
@@ -61,8 +62,8 @@ def fit(
 ) -> Weights:
     """Weights learned from `docs` (doc_id, text) and `labels` (doc_id, label).
 
-    Of several labels of a document the greatest counts, of several texts the one with the smallest
-    feature set. Null labels and ids are left out; a null text has no feature; without rows, or with one
+    Of several labels of a document the greatest counts, of several texts the one whose feature set is the
+    smallest as a byte string. Null labels and ids are left out; a null text has no feature; without rows, or with one
     label only, the bias alone decides. Features of fewer than `least_rows` sampled rows are not learned.
     """
 
@@ -93,7 +94,7 @@ def fit(
     if not docs:
         return Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), -4.0)
     # a fixed order that does not depend on how rows arrived
-    order = sorted(range(len(docs)), key=lambda i: (len(docs[i]), label[i], docs[i].tobytes()[:64]))
+    order = sorted(range(len(docs)), key=lambda i: (len(docs[i]), label[i], docs[i].tobytes()))
     order = [order[i] for i in np.random.default_rng(0).permutation(len(order))]
     vocabulary, seen = np.unique(np.concatenate(docs), return_counts=True)
     vocabulary = vocabulary[seen >= least_rows]
@@ -126,11 +127,11 @@ def fit(
 def score(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs` with `score`, the probability of label 1, from the whole text.
 
-    A null or empty text has the bias only. `docs` may have any other columns; one named score that
-    is not kept does not matter.
+    A null or empty text has the bias only. A kept column named score is replaced by the result; other
+    columns of `docs` do not matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    fields = docs.select(*keep).schema
+    keep, columns, types = kept(docs, keep, ["score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -151,6 +152,6 @@ def score(docs: DataFrame, weights: Weights, keep: list[str]) -> DataFrame:
                 result = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
                 yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}") for i in range(len(keep))), result], [*(f"k{i}" for i in range(len(keep))), "score"])
 
-    renamed = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
-    ddl = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "score double"])
+    renamed = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    ddl = ", ".join([*([types] if types else []), "score double"])
     return renamed.mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "score")
