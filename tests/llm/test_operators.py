@@ -228,7 +228,7 @@ def test_nearest_vectors(spark):
     v[100:250] = v[100]  # one vector for a quarter of all rows
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, None] + [0.0] * 6), (1080, [1.0, 2.0]), (20, v[20].tolist())]
     df = spark.createDataFrame([(i, x, "c") for i, x in rows], "vec_id long, embedding array<double>, score string")
-    got = ann.search(df, df.where("vec_id % 20 = 0"), 20, sample_rows=300, list_size=16, block=64, query_block=10).collect()
+    got = ann.search(df, df.where("vec_id % 20 = 0"), 20, sample_rows=300, list_size=8, block=64, query_block=10).collect()
     assert {x["query_id"] for x in got} == set(range(0, 600, 20))
     hit = 0
     for q in range(0, 600, 20):

@@ -1,19 +1,22 @@
-"""Approximate nearest neighbours by inner product: balanced posting lists around sampled centroids.
+"""Approximate nearest neighbours by inner product: balanced posting lists around centroids.
 
 * Inner product becomes nearness of directions in one more dimension: v gains sqrt(M^2 - |v|^2), with M the
   largest norm, so that all points lie on one sphere.
 * Equal vectors are one point that carries its smallest ids: k + 1 of them always suffice, since
   equal scores are ordered by id. A vector shared by a third of all rows is thus one point.
-* Centroids come from balanced splitting of a bounded sample. Every point goes to its nearest list and,
-  where the next ones are within `closure` of that distance, to those too.
-* Queries walk a neighbour graph over the centroids, held in memory by each worker, and keep the
-  lists whose distance is within `ratio` of the best. Lists are dealt out in blocks of bounded
-  size, so a long list is many tasks; scores are exact, in double precision, on the original vectors.
+* Lists come from a tree of centroids that is split where it is too full: Spark counts the points of every
+  leaf, and each leaf of more than twice `list_size` points is divided by balanced splitting of a bounded
+  sample of its own points, until none is left. So there are about as many lists as points / list_size.
+* A point goes to its leaf and, where neighbouring lists are within `closure` of that distance, to those too.
+* Queries search a neighbour graph over the centroids, held in memory by each worker, and keep every list
+  whose distance is within `ratio` of that of their `rank`-th nearest list. Scores are exact, in double
+  precision, on the original vectors.
+* Neighbouring lists lie in shards of about `block` points. A query is sent once to each shard, with the lists
+  it wants there; only a shard that very many queries want is copied.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +28,56 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import shared_dir
 
 
+@dataclass
+class Tree:
+    """Centroids by node; the children of a node are consecutive, a leaf has none, node 0 is the root."""
+
+    centre: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def root(cls, dim: int) -> Tree:
+        return cls(np.zeros((1, dim), np.float32), np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row of x: from the root always to the nearest child."""
+        at = np.zeros(len(x), np.int64)
+        while len(inner := np.flatnonzero(self.count[at] > 0)):
+            order = inner[np.argsort(at[inner], kind="stable")]
+            for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                first = self.first[at[rows[0]]]
+                c = self.centre[first : first + self.count[at[rows[0]]]]
+                at[rows] = first + (x[rows] @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+        return at
+
+    def split(self, parts: dict[int, np.ndarray]) -> Tree:
+        """The tree with children at the given leaves."""
+        centre, first, count, size = [self.centre], self.first.copy(), self.count.copy(), len(self.first)
+        for node, c in sorted(parts.items()):
+            first[node], count[node] = size, len(c)
+            centre.append(c.astype(np.float32))
+            size += len(c)
+        more = size - len(first)
+        return Tree(np.concatenate(centre), np.append(first, np.zeros(more, np.int64)), np.append(count, np.zeros(more, np.int64)))
+
+
 @dataclass
 class Index:
-    """Unit-free centroids in the lifted space, their neighbour graph, and M."""
+    """The tree, its leaves as lists (centroids in the lifted space), the number of each leaf's list, and the lists' neighbour graph."""
 
+    tree: Tree
     centroids: np.ndarray
+    number: np.ndarray
     graph: np.ndarray
-    most: float
+
+    @classmethod
+    def of(cls, tree: Tree, degree: int = 24) -> Index:
+        leaves = np.flatnonzero(tree.count == 0)
+        number = np.zeros(len(tree.count), np.int64)
+        number[leaves] = np.arange(len(leaves))
+        c = tree.centre[leaves]
+        return cls(tree, c, number, neighbour_graph(c, degree))
 
 
 def lift(v: np.ndarray, most: float) -> np.ndarray:
@@ -39,8 +85,9 @@ def lift(v: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
 
 
-def balanced_centroids(points: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Means of groups of at most `size` points: each group is halved along the line between two means."""
+def balanced_centroids(points: np.ndarray, groups: int, seed: int = 0) -> np.ndarray:
+    """Means of about `groups` groups of nearly equal size: each group is halved along the line between two means."""
+    size = max(1, -(-len(points) // max(1, groups)))
     r, stack, out = np.random.default_rng(seed), [np.arange(len(points))], []
     while stack:
         at = stack.pop()
@@ -56,8 +103,16 @@ def balanced_centroids(points: np.ndarray, size: int, seed: int = 0) -> np.ndarr
                 break
             a, b = x[left].mean(axis=0), x[~left].mean(axis=0)
         order = np.argsort(x @ (a - b), kind="stable")
-        stack += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-    return np.asarray(out, np.float32)
+        half = size * max(1, round(len(at) / size / 2))
+        stack += [at[order[:half]], at[order[half:]]]
+    c = np.asarray(out, np.float32)
+    for _ in range(4 if len(c) > 1 else 0):  # moved to the means of what is nearest to them
+        own = (points @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+        n = np.bincount(own, minlength=len(c))
+        total = np.zeros(c.shape, np.float64)
+        np.add.at(total, own, points)
+        c[n > 0] = (total[n > 0] / n[n > 0, None]).astype(np.float32)
+    return c
 
 
 def neighbour_graph(c: np.ndarray, degree: int) -> np.ndarray:
@@ -73,49 +128,107 @@ def neighbour_graph(c: np.ndarray, degree: int) -> np.ndarray:
     return np.concatenate([near, ring], axis=1)
 
 
-def walk(index: Index, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `width` nearest centroids found by best-first search in the graph, nearest first, with their squared distances."""
-    c, graph = index.centroids, index.graph
-    starts = np.unique(np.linspace(0, len(c) - 1, min(len(c), 24)).astype(int))
-    d = ((c[starts] - q) ** 2).sum(axis=1)
-    seen = np.zeros(len(c), bool)
-    seen[starts] = True
-    ahead = [(float(x), int(i)) for x, i in zip(d, starts, strict=True)]
-    best = [(-x, i) for x, i in ahead]
-    heapq.heapify(ahead)
-    heapq.heapify(best)
-    while len(best) > width:
-        heapq.heappop(best)
-    while ahead:
-        x, i = heapq.heappop(ahead)
-        if len(best) >= width and x > -best[0][0]:
-            break
-        new = graph[i][~seen[graph[i]]]
-        if not len(new):
-            continue
-        new = np.unique(new)
-        seen[new] = True
-        for x, j in zip(((c[new] - q) ** 2).sum(axis=1).tolist(), new.tolist(), strict=True):
-            if len(best) < width or x < -best[0][0]:
-                heapq.heappush(ahead, (x, j))
-                heapq.heappush(best, (-x, j))
-                if len(best) > width:
-                    heapq.heappop(best)
-    found = sorted((-x, i) for x, i in best)
-    return np.array([i for _, i in found], np.int32), np.array([x for x, _ in found])
-
-
-def nearest_lists(c: np.ndarray, x: np.ndarray, copies: int, closure: float) -> tuple[np.ndarray, np.ndarray]:
-    """(point, list) pairs: the nearest list of each point and the next ones within `closure` of its distance."""
-    d = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0)
-    k = min(copies, len(c))
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    dist = np.take_along_axis(d, near, axis=1)
-    keep = dist <= (1 + closure) ** 2 * dist.min(axis=1, keepdims=True) + 1e-12
-    point, slot = np.nonzero(keep)
+def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(((x - c) ** 2).sum(axis=-1), 0)
+
+
+def lists_of_points(index: Index, x: np.ndarray, copies: int, closure: float) -> tuple[np.ndarray, np.ndarray]:
+    """(point, list) pairs: each point's own list, and of its neighbours in the graph those within `closure` of its distance, `copies` lists at most."""
+    own = index.number[index.tree.leaf(x)]
+    near = np.concatenate([own[:, None], index.graph[own]], axis=1)
+    d = _squared(x[:, None, :], index.centroids[near])
+    limit = (1 + closure) ** 2 * d[:, :1] + 1e-12
+    d[:, 1:][near[:, 1:] == own[:, None]] = np.inf
+    order = np.argsort(d[:, 1:], axis=1, kind="stable") + 1
+    keep = np.concatenate([np.zeros((len(x), 1), np.int64), order[:, : copies - 1]], axis=1)
+    near, d = np.take_along_axis(near, keep, axis=1), np.take_along_axis(d, keep, axis=1)
+    near[d > limit] = -1
+    near = np.sort(near, axis=1)
+    fresh = np.concatenate([np.ones((len(x), 1), bool), near[:, 1:] != near[:, :-1]], axis=1) & (near >= 0)
+    point, slot = np.nonzero(fresh)
     return point, near[point, slot]
 
 
+def _least(best: np.ndarray, row: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The smallest distances of each row, sorted: those of `best` and the new ones d."""
+    order = np.lexsort((d, row))
+    row, d = row[order], d[order]
+    turn = np.arange(len(row)) - np.searchsorted(row, row)
+    row, d, turn = (x[turn < best.shape[1]] for x in (row, d, turn))
+    new = np.full(best.shape, np.inf)
+    new[row, turn] = d
+    return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, : best.shape[1]]
+
+
+def lists_of_queries(index: Index, x: np.ndarray, ratio: float, rank: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) pairs: every list found within `ratio` of the distance of the query's `rank`-th nearest list.
+
+    The graph is searched outwards from the query's own leaf and some scattered lists, all queries at once; a
+    list is left as soon as it is farther than that.
+    """
+    c, graph, n = index.centroids, index.graph, len(index.centroids)
+    scattered = np.unique(np.linspace(0, n - 1, min(n, 24)).astype(np.int64))
+    starts = np.concatenate([index.number[index.tree.leaf(x)][:, None], np.broadcast_to(scattered, (len(x), len(scattered)))], axis=1)
+    seen, best = np.zeros(len(x) * n, bool), np.full((len(x), min(rank, n)), np.inf)
+    key, found = np.unique(starts + np.arange(len(x))[:, None] * n), []
+    while len(key):
+        seen[key] = True
+        row, at = key // n, key % n
+        d = _squared(x[row], c[at])
+        best = _least(best, row, d)
+        near = d <= ratio * ratio * best[row, -1] + 1e-12
+        found.append((row[near], at[near], d[near]))
+        key = np.unique((row[near] * n)[:, None] + graph[at[near]])
+        key = key[~seen[key]]
+    row, at, d = (np.concatenate(part) for part in zip(*found, strict=True))
+    near = d <= ratio * ratio * best[row, -1] + 1e-12
+    return row[near], at[near]
+
+
+def grow(points: DataFrame, scale: float, dim: int, list_size: int, sample_rows: int, fan: int, rounds: int = 12) -> tuple[Tree, np.ndarray]:
+    """The tree over `points` (p, v), and the number of points of every node that is a leaf.
+
+    In each round Spark counts the points of the leaves and takes at most `sample_rows` points, those of the
+    smallest p, of each leaf that is too full; its children are fitted in the task that gets them.
+    """
+    spark = points.sparkSession
+    tree = Tree.root(dim + 1)
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf = shared.value.leaf(lift(_matrix(batch.column("v")) / scale, 1.0))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("p"), batch.column("v")], ["leaf", "p", "v"])
+
+        placed = points.select("p", "v").mapInArrow(place, "leaf long, p long, v array<double>")
+        held = np.zeros(len(tree.count), np.int64)
+        for leaf, n in placed.groupBy("leaf").count().collect():  # a row for each list at most
+            held[leaf] = n
+        full = np.flatnonzero(held > 2 * list_size)
+        rounds -= 1
+        if not len(full) or not rounds:
+            return tree, held
+        wanted = spark.sparkContext.broadcast(held)
+
+        def fit(group: pa.Table) -> pa.Table:
+            leaf = group.column("leaf")[0].as_py()
+            group = group.sort_by("p")
+            c = balanced_centroids(lift(_matrix(group.column("v").combine_chunks()) / scale, 1.0), min(fan, -(-int(wanted.value[leaf]) // list_size)))
+            return pa.table({"leaf": pa.array([leaf] * len(c), pa.int64()), "c": pa.array(list(c), pa.list_(pa.float32()))})
+
+        crowded = spark.createDataFrame([(leaf,) for leaf in full.tolist()], "leaf long")
+        first = Window.partitionBy("leaf").orderBy("p")
+        sample = placed.join(F.broadcast(crowded), "leaf").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).drop("n")
+        fitted = sample.groupBy("leaf").applyInArrow(fit, "leaf long, c array<float>").toArrow()  # as many rows as new lists
+        of, c = fitted.column("leaf").to_numpy(), _matrix(fitted.column("c").combine_chunks())
+        tree = tree.split({int(leaf): c[of == leaf] for leaf in np.unique(of)})
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -124,11 +237,12 @@ def search(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     sample_rows: int = 20_000,
-    list_size: int = 128,
+    list_size: int = 24,
+    most_lists: int = 400_000,
     copies: int = 3,
-    closure: float = 0.1,
-    width: int = 64,
-    ratio: float = 1.35,
+    closure: float = 0.01,
+    rank: int = 8,
+    ratio: float = 1.14,
     block: int = 4096,
     query_block: int = 16_384,
 ) -> DataFrame:
@@ -137,8 +251,9 @@ def search(
     A candidate with the query's own id is left out. Nearest first, equal scores by the smaller id;
     all candidates found, if fewer than k. Vectors that are null, empty, zero, of another length than
     most rows have, or that hold null or non-finite components take no part on either side; a repeated
-    (id, vector) row counts once. The centroids are fitted on the `sample_rows` distinct vectors with
-    the smallest hashes; every row is indexed.
+    (id, vector) row counts once; other columns do not matter. Centroids are fitted on bounded samples
+    (`sample_rows` points of each part of the tree); every row is indexed. `most_lists` bounds the centroids
+    that workers hold: beyond list_size * most_lists points, lists get longer.
     """
     spark = vectors.sparkSession
 
@@ -167,83 +282,76 @@ def search(
     )
     shared_dir(spark)
     points = points.checkpoint()
-    sample = points.orderBy("p", "v").select("v").limit(sample_rows).toArrow()
-    fitted = np.asarray(sample.column("v").combine_chunks().flatten()).reshape(-1, dim)
-    most = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).collect()[0][0]
-    scale = most or 1.0
-    centroids = balanced_centroids(lift(fitted / scale, 1.0), list_size)
-    index = Index(centroids, neighbour_graph(centroids, 24), most)
-    shared = spark.sparkContext.broadcast(index)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.asarray(column.flatten()).reshape(len(column), -1)
+    size = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).collect()[0]
+    scale = size["most"] or 1.0
+    tree, held = grow(points, scale, dim, max(list_size, -(-size["n"] // most_lists)), sample_rows, 128)
+    index = Index.of(tree)
+    # shards: runs of neighbouring lists with about `block` points
+    shard = np.cumsum(held[tree.count == 0]) // block
+    shared, shards = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(shard)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value.centroids
         for whole in batches:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
-                point, at = nearest_lists(c, lift(matrix(batch.column("v")) / scale, 1.0), copies, closure)
+                point, at = lists_of_points(shared.value, lift(_matrix(batch.column("v")) / scale, 1.0), copies, closure)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), *(batch.column(x).take(pa.array(point)) for x in ("p", "v", "ids"))], ["list", "p", "v", "ids"]
+                    [pa.array(shards.value[at], pa.int64()), pa.array(at, pa.int64()), *(batch.column(x).take(pa.array(point)) for x in ("p", "v", "ids"))], ["shard", "list", "p", "v", "ids"]
                 )
 
-    posted = points.mapInArrow(post, "list int, p long, v array<double>, ids array<bigint>")
-    # a long list is dealt out in blocks, so that no task holds more than some `block` points
-    lengths = posted.groupBy("list").count().collect()  # as many rows as centroids
-    blocks = np.ones(len(centroids), np.int64)
-    for at, n in lengths:
-        blocks[at] = -(-n // block)
-    parts = spark.sparkContext.broadcast(blocks)
-    posted = posted.withColumn("part", F.pmod("p", F.element_at(F.lit(blocks.tolist()), F.col("list") + 1)).cast("int"))
-    questions = asked.groupBy("v").agg(F.lit(1).alias("_")).select(F.xxhash64("v").alias("p"), "v")
-
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, blocks = shared.value, parts.value
-        for batch in batches:
-            x = lift(matrix(batch.column("v")) / scale, 1.0)
-            x[:, -1] = 0  # a query is a direction: only the inner product with the original part counts
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            row, at, part = [], [], []
-            for i, q in enumerate(x):
-                lists, d = walk(index, q, width)
-                lists = lists[d <= ratio * ratio * d[0] + 1e-12]
-                for which in lists.tolist():
-                    n = int(blocks[which])
-                    row += [i] * n
-                    at += [which] * n
-                    part += range(n)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array(part, pa.int32()), batch.column("p").take(take), batch.column("v").take(take)], ["list", "part", "p", "v"]
-            )
-
-    routed = questions.mapInArrow(route, "list int, part int, p long, v array<double>")
-    groups = ["list", "part"]
-    if (turns := -(-questions.count() // query_block)) > 1:  # many queries: each block of them meets its own copy of the lists
-        routed = routed.withColumn("turn", F.pmod(F.xxhash64("p"), F.lit(turns)).cast("int"))
-        posted = posted.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        groups.append("turn")
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                x = lift(_matrix(batch.column("v")) / scale, 1.0)
+                x[:, -1] = 0  # a query is a direction: only the inner product with the original part counts
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+                row, at = lists_of_queries(shared.value, x, ratio, rank)
+                order = np.lexsort((at, row))
+                row, at = row[order], at[order]
+                to = shards.value[at]
+                start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (to[1:] != to[:-1])))
+                wanted = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)), pa.int32()), pa.array(at, pa.int64()))
+                take = pa.array(row[start])
+                yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int64()), batch.column("p").take(take), batch.column("v").take(take), wanted], ["shard", "p", "v", "wanted"])
+
+    posted = points.mapInArrow(post, "shard long, list long, p long, v array<double>, ids array<bigint>")
+    questions = asked.groupBy("v").agg(F.lit(1).alias("_")).select(F.xxhash64("v").alias("p"), "v")
+    questions = questions.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")  # few bytes, but much work each
+    routed = questions.mapInArrow(route, "shard long, p long, v array<double>, wanted array<bigint>").checkpoint()
+    # a shard that more than `query_block` questions want is copied for each block of them
+    turns = routed.groupBy("shard").agg(F.ceil(F.count("*") / query_block).cast("int").alias("turns"))
+    routed = routed.join(turns, "shard").withColumn("turn", F.pmod("p", "turns").cast("int")).drop("turns")
+    posted = posted.join(turns, "shard").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"qp": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
         if not left.num_rows or not right.num_rows:
             return empty
-        x = matrix(right.column("v").combine_chunks())
-        keep, out = min(k + 1, len(x)), []
-        for a in range(0, left.num_rows, 512):
-            some = left.slice(a, 512)
-            score = matrix(some.column("v").combine_chunks()) @ x.T
+        right = right.sort_by("list")
+        _, one, column = np.unique(right.column("p").to_numpy(), return_index=True, return_inverse=True)  # a point may be in several lists
+        x, lists = _matrix(right.column("v").combine_chunks()), right.column("list").to_numpy()
+        keep, out = min(k + 1, len(one)), []
+        for a in range(0, left.num_rows, 256):
+            some = left.slice(a, 256)
+            q, wanted = _matrix(some.column("v").combine_chunks()), some.column("wanted").combine_chunks()
+            of, at = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
+            order = np.argsort(at, kind="stable")
+            of, at = of[order], at[order]
+            score = np.full((len(q), len(one)), -np.inf)
+            for which in np.unique(at).tolist():
+                rows = of[np.searchsorted(at, which) : np.searchsorted(at, which, side="right")]
+                y = slice(np.searchsorted(lists, which), np.searchsorted(lists, which, side="right"))
+                score[rows[:, None], column[y]] = q[rows] @ x[y].T
             # all that reach the (k + 1)-th score: ties at the border must not be lost
-            least = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
-            q, p = np.nonzero(score >= least[:, None])
-            out.append(
-                pa.table({"qp": some.column("p").take(pa.array(q)), "p": right.column("p").take(pa.array(p)), "score": pa.array(score[q, p]), "ids": right.column("ids").take(pa.array(p))})
-            )
+            least = np.partition(score, len(one) - keep, axis=1)[:, len(one) - keep]
+            row, p = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            place = pa.array(one[p])
+            out.append(pa.table({"qp": some.column("p").take(pa.array(row)), "p": right.column("p").take(place), "score": pa.array(score[row, p]), "ids": right.column("ids").take(place)}))
         return pa.concat_tables(out).cast(empty.schema)
 
-    met = routed.groupBy(*groups).cogroup(posted.groupBy(*groups)).applyInArrow(meet, "qp long, p long, score double, ids array<bigint>")
-    # a point may come from several lists: once, then the best k + 1 points of each question
+    met = routed.groupBy("shard", "turn").cogroup(posted.groupBy("shard", "turn")).applyInArrow(meet, "qp long, p long, score double, ids array<bigint>")
+    # a point may come from several shards: once, then the best k + 1 points of each question
     best = Window.partitionBy("qp").orderBy(F.desc("score"), F.element_at("ids", 1))
     found = met.dropDuplicates(["qp", "p"]).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     ids = found.select("qp", "score", F.explode("ids").alias("vec_id"))
