@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import kept
+
 #: A filter block is one 64-bit word; three of its bits stand for a key.
 BITS = 3
 
@@ -49,13 +51,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", words: int
     Edge cases: a null url or one without `://` has an empty host and path, so no rule fits; an
     empty list leaves every page to `default`; repeated pages stay repeated; of rules of equal
     length the one with the longer host, then the greater text, wins; repeated rules count once
-    (of two actions, block). Input columns named host, path, rule or verdict are replaced.
+    (of two actions, block). Input columns named host, path, rule or verdict are replaced; any other name may be
+    in use, as the columns of `pages` are put aside under names of our own.
     """
     listed = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("action").alias("action"))
     lengths = listed.agg(F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))  # no more than the longest path has characters
     host, path = split_url(F.col("url"))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    page = pages.select(*own).withColumns({"host": host, "path": path}).withColumn("_row", F.monotonically_increasing_id())
+    names, aside, _ = kept(pages, pages.columns, ["host", "path", "rule", "verdict"])
+    own = [f"k{i}" for i in range(len(names))]
+    page = pages.select(*aside, host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
     page = page.withColumns({"_bloom": bloom(listed, words).scalar(), "_lengths": lengths.scalar()})  # computed once, then a constant
     labels = F.split("host", r"\.", -1)
     suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
@@ -80,4 +84,5 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", words: int
     text = F.concat("h", "p")
     best = F.when(F.col("action").isNotNull(), F.struct(F.length(text).alias("n"), F.length("h").alias("m"), text.alias("rule"), F.col("action").alias("action")))
     found = fits.groupBy("_row").agg(F.max(best).alias("_best"), F.first(F.struct(*own, "host", "path")).alias("_page"))
-    return clear.unionByName(found.select("_page.*", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict")))
+    judged = clear.unionByName(found.select("_page.*", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict")))
+    return judged.select(*(F.col(k).alias(c) for k, c in zip(own, names, strict=True)), "host", "path", "rule", "verdict")
