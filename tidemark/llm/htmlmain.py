@@ -15,13 +15,13 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_dir
+from tidemark.llm.shared import kept, shared_dir
 from tidemark.llm.urlfilter import split_url
 
 # Names from HTML and the usual names of page furniture.
@@ -80,7 +80,12 @@ class Page:
         self._names: dict[int, set[str]] = {}  # elements that are furniture by their names only
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._stack = [0]
-        self._links = 0
+        # of the open elements: their depths by tag, the depths of those that are not inline, links, articles
+        self._open_at: dict[str, list[int]] = {}
+        self._blocks = [0]
+        self._links = self._articles = 0
+        self._never: set[str] = set()  # raw elements that are not closed any more
+        self._scores: list[float] | None = None
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -97,7 +102,9 @@ class Page:
             if m[1] or m[4]:
                 self._close(name)
             elif name in RAW:
-                closing = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                closing = None if name in self._never else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                if closing is None:
+                    self._never.add(name)
                 at = closing.end() if closing else (end if name in ("script", "style") else at)
                 if name not in INLINE:
                     self.pieces.append((self._stack[-1], None, False))
@@ -110,10 +117,28 @@ class Page:
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append((self._stack[-1], text, self._links > 0))
 
+    def _push(self, name: str) -> None:
+        depth = len(self._stack)
+        self._stack.append(len(self.nodes) - 1)
+        self._open_at.setdefault(name, []).append(depth)
+        if name not in INLINE:
+            self._blocks.append(depth)
+        self._links += name == "a"
+        self._articles += name in ARTICLE
+
     def _pop(self, depth: int) -> None:
+        """Ends the open elements from `depth` on."""
         while len(self._stack) > depth:
-            if self.nodes[self._stack.pop()][1] == "a":
-                self._links -= 1
+            name = self.nodes[self._stack.pop()][1]
+            self._open_at[name].pop()
+            if name not in INLINE:
+                self._blocks.pop()
+            self._links -= name == "a"
+            self._articles -= name in ARTICLE
+
+    def _depth(self, names: Iterable[str]) -> int:
+        """The depth of the innermost open element of one of `names`, or 0."""
+        return max((self._open_at[n][-1] for n in names if self._open_at.get(n)), default=0)
 
     def _open(self, name: str, attributes: str) -> None:
         nodes, stack = self.nodes, self._stack
@@ -121,14 +146,11 @@ class Page:
             self.pieces.append((stack[-1], " " if name in ("br", "wbr") else None, False) if name != "wbr" else (stack[-1], "", False))
             return
         if name not in INLINE:
-            ends, within = CLOSES.get(name, ()), WITHIN.get(name, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[depth]][1]
-                if tag == "p" or tag in ends:
-                    self._pop(depth)
-                    break
-                if tag in within or (tag not in INLINE and tag != "p" and not ends):
-                    break
+            # an open paragraph ends here, or an item of the same list, row or table
+            ends = CLOSES.get(name, ())
+            last = self._depth(("p", *ends)) if ends else self._depth(("p",))
+            if last and (last > self._depth(WITHIN[name]) if ends else last == self._blocks[-1]):
+                self._pop(last)
             self.pieces.append((stack[-1], None, False))
         parent = stack[-1]
         _, _, path, dropped = nodes[parent]
@@ -143,28 +165,22 @@ class Page:
                 if key.lower() == "class":
                     classes = ".".join(sorted(re.sub(r"\d+", "#", value).split()))
         if name not in ("html", "body", "main", "article") and not dropped:
-            inside = any(nodes[i][1] in ("article", "main") for i in stack)
+            inside = self._articles > 0
             dropped = name in DROPPED or role in ROLES or (not inside and name == "header")
-            if tokens and not dropped and (names := _named(tokens, FURNITURE if inside else FURNITURE | HEADERS)):
+            if tokens and not dropped and name not in INLINE and (names := _named(tokens, FURNITURE if inside else FURNITURE | HEADERS)):
                 self._names[len(nodes)] = names
         step = f"{path}>{name}.{classes}" if classes else f"{path}>{name}"
         if len(step) > 400:  # deep or long: the rest stands as a checksum
             step = f"~{zlib.crc32(step.encode()):08x}"
         nodes.append((parent, name, step, dropped))
-        stack.append(len(nodes) - 1)
-        self._links += name == "a"
+        self._push(name)
 
     def _close(self, name: str) -> None:
-        nodes, stack = self.nodes, self._stack
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]][1]
-            if tag == name:
-                if name not in INLINE:
-                    self.pieces.append((stack[depth], None, False))
-                self._pop(depth)
-                return
-            if name in INLINE and tag not in INLINE:
-                return
+        depth = self._depth((name,))
+        if depth and (name not in INLINE or depth > self._blocks[-1]):  # an inline element is not closed across a block
+            if name not in INLINE:
+                self.pieces.append((self._stack[depth], None, False))
+            self._pop(depth)
 
     def _drop_named(self) -> None:
         """Drop what is furniture by name, but not what holds the page's only article, or most of its running text.
@@ -193,14 +209,16 @@ class Page:
 
     def scores(self) -> list[float]:
         """Of every element: the characters of running text in and below it, links counting against it."""
-        score = [0.0] * len(self.nodes)
-        for node, text, link in self.pieces:
-            if text and not self.nodes[node][3]:
-                n = len(text.strip())
-                score[node] += -0.5 * n if link else n
-        for i in range(len(score) - 1, 0, -1):  # children come after their parents
-            score[self.nodes[i][0]] += score[i]
-        return score
+        if self._scores is None:
+            score = [0.0] * len(self.nodes)
+            for node, text, link in self.pieces:
+                if text and not self.nodes[node][3]:
+                    n = len(text.strip())
+                    score[node] += -0.5 * n if link else n
+            for i in range(len(score) - 1, 0, -1):  # children come after their parents
+                score[self.nodes[i][0]] += score[i]
+            self._scores = score
+        return self._scores
 
     def _sums(self, own: list[int]) -> list[int]:
         """Of every element the sum of `own` in and below it."""
@@ -319,13 +337,14 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), broadc
 
     Edge cases: a null or empty html, or one without text outside page furniture, gives an empty
     text; a null url, or one without a host, votes with the other pages that have none; repeated
-    pages stay repeated. Columns of `pages` that are not kept do not matter.
+    pages stay repeated. Kept columns named text or path are replaced by the results; other columns of `pages` do
+    not matter. Time and memory grow in proportion to a page's length, however deep or broken it is.
     """
     shared_dir(pages.sparkSession)
     order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("chars"), "path")
     winners = votes(pages).withColumn("n", F.row_number().over(order)).where("n = 1").select("host", F.col("path").alias("_path")).checkpoint()
     few = winners.count() <= broadcast_hosts
-    fields = pages.select(*keep).schema
+    keep, columns, types = kept(pages, list(keep), ["text", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +358,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), broadc
             )
 
     host, _ = split_url(F.col("url"))
-    page = pages.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), host.alias("host"), "html")
+    page = pages.select(*columns, host.alias("host"), "html")
     known = page.join(F.broadcast(winners) if few else winners, "host", "left").drop("host")
-    ddl = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "text string", "path string"])
+    ddl = ", ".join([*([types] if types else []), "text string, path string"])
     return known.mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text", "path")
