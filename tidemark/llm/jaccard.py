@@ -6,16 +6,19 @@ the symmetric difference has at most T = floor((1 - t) / t * n) shingles, n the
 * Routing. Shingles are hashed into more than T groups (their number is set by size class), so among the
   first T + 1 non-empty groups of a set one at least is the same in the other set. A node is sent to the
   contents of those groups; nodes that meet nowhere cannot be linked, and nothing is lost. Places where
-  the same nodes meet are one place.
-* R-tree. At a place, each node is a point: the counts of its shingles in `DIMENSIONS` hashed groups.
-  Points are packed into boxes; the sum over groups of the smaller count bounds the overlap, of points and,
-  with the boxes' upper corners, of all points in two boxes. Each node carries its first places, so that a
-  pair that meets at several places is taken at the first of them.
+  the same nodes meet are one place; a group's content that very many nodes share is a place of its own.
+* R-tree. At a place, each node is a point: the counts of its shingles in `DIMENSIONS` hashed groups. Points are
+  packed into leaves, leaves into boxes of `FAN`, and so on up to a root. The tree is joined with itself from
+  the root down: the sum over groups of the smaller count bounds the overlap of two points and, with the
+  boxes' upper corners, of all points in two boxes; pairs of boxes that cannot hold a link, or whose
+  points are all in one component already, are left. Each node carries its first places, so that a pair
+  that meets at several places is taken at the first of them.
 * Verification. Pairs that survive are decided by their whole shingle sets.
-* Large places run twice: first each point meets only its best partner, and the components of these links are
-  formed; then all surviving pairs between different components follow. A group of many near copies
-  is so joined by about as many links as it has members, without losing any component. Where the
-  number of links is asked for, every surviving pair is verified instead.
+* Large places run twice: first each point meets only the best partner in its own leaf and the next, which
+  takes time in proportion to the place, and the components of these links are formed; then the trees of
+  places that hold several components are joined in full. A group of many near copies is so joined by
+  about as many links as it has members, without losing any component. Where the number of links is
+  asked for, every surviving pair is verified instead.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import batches_of, release, shared_dir
-from tidemark.llm.substring import _bucket, _expand, _squeeze
+from tidemark.llm.substring import LEAST_MESSAGE, _bucket, _expand, _squeeze
 from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 
 #: Text bytes taken at a time.
@@ -39,10 +42,16 @@ DIMENSIONS = 128
 MOST = np.iinfo(np.uint16).max
 #: Places by which two nodes tell whether they also meet at an earlier one.
 FIRST = 8
-#: Points of an R-tree box.
-LEAF = 32
-#: Places with more points run in two rounds; larger ones still are dealt out in parts of this size.
-SMALL, PART = 3, 8192
+#: Points of an R-tree leaf, and boxes of a larger box.
+LEAF, FAN = 32, 8
+#: Places with more points run in two rounds; for the first they are dealt out in cells of the second size, for the other in pairs of parts of the third.
+SMALL, CELL, PART = 3, 1024, 8192
+#: Keys that a task gathers before it sends them; of those, so many with one content make it hot.
+GATHERED, HOT = 1 << 20, 4096
+#: Stands among the nodes of a key for those that were sent to its place directly.
+ELSEWHERE = np.int64(-(1 << 63) + 7)
+#: Parts in which a component is named.
+SALTS = 8
 #: Words of the filter that names the nodes whose sets are needed: 64 bits each, a fixed size.
 FILTER_WORDS = 1 << 17
 
@@ -118,6 +127,11 @@ def routes(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.n
     return np.concatenate([row[of][sent], row[few]]), np.concatenate([key, mix(level[few].astype(_U) + _U(0xFE3))])
 
 
+def _place_of(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The place of a key of its own."""
+    return mix((bucket.astype(_U) << _U(32)) + low + _U(0x9A5)).view(np.int64)
+
+
 def _unbounded(x: np.ndarray) -> np.ndarray:
     """Counts of MOST are not known, so they bound nothing: they become greater than any."""
     return np.where(x == MOST, np.uint32(1 << 31), x) if len(x) and x.max() == MOST else x
@@ -127,62 +141,105 @@ def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
+def _one(values: np.ndarray | None, edges: np.ndarray) -> np.ndarray | None:
+    """For each run between `edges` the value that all have, else -1 less its number: a value of no other run."""
+    if values is None:
+        return None
+    low, high = np.minimum.reduceat(values, edges), np.maximum.reduceat(values, edges)
+    return np.where(low == high, low, -1 - np.arange(len(edges)))
+
+
+class RTree:
+    """Boxes over packed points, level by level; level 0 are the leaves. low, high: sizes; corner: largest counts; label, side: if all are equal."""
+
+    def __init__(self, n: np.ndarray, x: np.ndarray, label: np.ndarray | None, side: np.ndarray | None):
+        edges = np.arange(0, len(n), LEAF)
+        self.levels = []
+        low, high, corner = np.minimum.reduceat(n, edges), np.maximum.reduceat(n, edges), np.maximum.reduceat(x, edges, axis=0)
+        label = None if label is None else np.unique(label, return_inverse=True)[1]
+        while True:
+            self.levels.append((low, high, corner, _one(label, edges), _one(side, edges)))
+            if len(low) == 1:
+                break
+            up = np.arange(0, len(low), FAN)
+            low, high, corner = np.minimum.reduceat(low, up), np.maximum.reduceat(high, up), np.maximum.reduceat(corner, up, axis=0)
+            edges = edges[::FAN]
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves (i <= j) that may hold a link."""
+        i = j = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            keep = np.concatenate([self._may(level, i[a : a + 4096], j[a : a + 4096], percent) for a in range(0, len(i), 4096)]) if len(i) else np.zeros(0, bool)
+            i, j = i[keep], j[keep]
+            if level and len(i):
+                below = len(self.levels[level - 1][0])
+                a, b = np.divmod(np.arange(FAN * FAN), FAN)
+                i, j = (i[:, None] * FAN + a).ravel(), (j[:, None] * FAN + b).ravel()
+                real = (i < below) & (j < below) & (i <= j)
+                i, j = i[real], j[real]
+        return i, j
+
+    def _may(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        low, high, corner, label, side = self.levels[level]
+        may = (low[j] * percent <= high[i] * 100) & (low[i] * percent <= high[j] * 100)
+        for whole in (label, side):
+            if whole is not None:
+                may &= (whole[i] != whole[j]) | (whole[i] < 0)
+        at = np.flatnonzero(may)
+        most = np.minimum(corner[i[at]], corner[j[at]]).sum(axis=1, dtype=np.int64)
+        may[at] = (100 + percent) * most >= percent * (low[i[at]] + low[j[at]])
+        return may
+
+
 def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | None, side: np.ndarray | None, best_only: bool, place: int = 0, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points whose bound allows a link, by a join of an R-tree of all points with itself.
 
     label: only pairs of different labels. side: only pairs with one point of side 0 and one of side 1.
-    best_only: of each point only the partner with the greatest bound for their sizes. places: the first
+    best_only: of each point only the partner with the greatest bound for their sizes, in its leaf and the next. places: the first
     places of each point; a pair that has one below `place` in common is left to that one.
     """
     x = _unbounded(x)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0] // 2, n)) if len(n) <= LEAF else _pack_order(n, x)
+    if side is not None:
+        order = order[np.argsort(side[order], kind="stable")]
     n, x = n[order], x[order]
-    label = None if label is None else label[order]
-    side = None if side is None else side[order]
-    places = None if places is None else places[order]
-    edges = np.arange(0, len(n), LEAF)
-    low, high = np.minimum.reduceat(n, edges), np.maximum.reduceat(n, edges)
-    corner = np.maximum.reduceat(x, edges, axis=0)
+    label, side, places = (None if v is None else v[order] for v in (label, side, places))
+    if best_only:
+        i = np.arange(-(-len(n) // LEAF))
+        i, j = np.concatenate([i, i[:-1]]), np.concatenate([i, i[1:]])
+    else:
+        i, j = RTree(n, x, label, side).pairs(percent)
     best, mate = np.full(len(n), -1.0), np.full(len(n), -1)
     left, right = [], []
-    for i in range(len(edges)):
-        near = np.flatnonzero((low[i:] * percent <= high[i] * 100) & (high[i:] * 100 >= low[i] * percent)) + i
-        if not len(near):
+    for one, other in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = slice(one * LEAF, one * LEAF + LEAF), slice(other * LEAF, other * LEAF + LEAF)
+        may = np.tri(*[len(n[a])] * 2, -1, dtype=bool) if one == other else np.ones((len(n[a]), len(n[b])), bool)
+        if label is not None:
+            may &= label[a][:, None] != label[b][None, :]
+        if side is not None:
+            may &= side[a][:, None] != side[b][None, :]
+        if not may.any():
+            continue
+        bound, total = _bound(x[a], x[b]), n[a][:, None] + n[b][None, :]
+        p, q = np.nonzero(may & ((100 + percent) * bound >= percent * total))
+        if places is not None and len(p):
+            u, v = places[a][p][:, :, None], places[b][q][:, None, :]
+            here = ~((u == v) & (u < place)).any(axis=(1, 2))
+            p, q = p[here], q[here]
+        if not len(p):
             continue
-        most = np.minimum(corner[i], corner[near]).sum(axis=1, dtype=np.int64)
-        near = near[(100 + percent) * most >= percent * (low[i] + low[near])]
-        a = slice(edges[i], edges[i] + LEAF)
-        for j in near:
-            b = slice(edges[j], edges[j] + LEAF)
-            bound, total = _bound(x[a], x[b]), n[a][:, None] + n[b][None, :]
-            may = (100 + percent) * bound >= percent * total
-            if label is not None:
-                may &= label[a][:, None] != label[b][None, :]
-            if side is not None:
-                may &= side[a][:, None] != side[b][None, :]
-            if i == j:
-                may &= np.tri(*may.shape, -1, dtype=bool)
-            if not may.any():
-                continue
-            p, q = np.nonzero(may)
-            if places is not None:
-                one, other = places[a][p][:, :, None], places[b][q][:, None, :]
-                here = ~((one == other) & (one < place)).any(axis=(1, 2))
-                p, q = p[here], q[here]
-                if not len(p):
-                    continue
-            score = bound[p, q] / total[p, q]
-            p, q = p + a.start, q + b.start
-            if best_only:
-                for at, other in ((p, q), (q, p)):
-                    up = np.lexsort((-other, score, at))
-                    last = np.append(np.flatnonzero(np.diff(at[up])), len(up) - 1)
-                    up = up[last]
-                    better = score[up] > best[at[up]]
-                    best[at[up[better]]], mate[at[up[better]]] = score[up[better]], other[up[better]]
-            else:
-                left.append(p)
-                right.append(q)
+        score = bound[p, q] / total[p, q]
+        p, q = p + a.start, q + b.start
+        if best_only:
+            for at, partner in ((p, q), (q, p)):
+                up = np.lexsort((-partner, score, at))
+                last = np.append(np.flatnonzero(np.diff(at[up])), len(up) - 1)
+                up = up[last]
+                better = score[up] > best[at[up]]
+                best[at[up[better]]], mate[at[up[better]]] = score[up[better]], partner[up[better]]
+        else:
+            left.append(p)
+            right.append(q)
     if best_only:
         p = np.flatnonzero(mate >= 0)
         left, right = [p], [mate[p]]
@@ -249,7 +306,8 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
-    buckets = max(4, -(-text_bytes // bucket_bytes))
+    # buckets grow with the square root of the text, so that messages to them stay long
+    buckets = max(4, -(-text_bytes // max(bucket_bytes, int((text_bytes * LEAST_MESSAGE) ** 0.5))))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,23 +322,57 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
     nodes = described.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("point").alias("point"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket, low = _bucket(key, buckets), key & _U(0xFFFFFFFF)
+            order = np.lexsort((who, low, bucket))
+            bucket, low, who = bucket[order], low[order], who[order]
+            new = np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]))
+            new_who = new | np.append(True, who[1:] != who[:-1])
+            bucket, low, who, new = bucket[new_who], low[new_who], who[new_who], new[new_who]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(low)))
+            hot = np.flatnonzero(size > HOT)
+            # nodes of a hot key go straight to its place; in the bucket one entry says so
+            gone = np.repeat(size > HOT, size)
+            direct = [who[start[k] : start[k] + size[k]] for k in hot]
+            who = who.copy()
+            who[start[hot]], gone[start[hot]] = ELSEWHERE, False
+            bucket, low, who, at = bucket[~gone], low[~gone], who[~gone], (bucket[start[hot]], low[start[hot]])
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(edges))
+            cuts = [slice(edges[b], edges[b + 1]) for b in full]
+            own = -1 - (mix(np.array([d[0] for d in direct], np.int64).view(_U)) >> _U(34)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([full.astype(np.int32), own])),
+                    pa.array([_squeeze(low[c].astype(np.uint32)) for c in cuts] + [b""] * len(hot), pa.binary()),
+                    pa.array([who[c].tobytes() for c in cuts] + [d.tobytes() for d in direct], pa.binary()),
+                    pa.array(np.concatenate([np.zeros(len(full), np.int64), _place_of(*at)])),
+                ],
+                ["bucket", "keys", "who", "place"],
+            )
+
         for batch in batches:
             for part in slices(batch, "text", STEP):
                 sets = Sets(part.column("text"), k)
-                node, one = np.unique(sets.node(), return_index=True)
+                name = sets.node()
+                node, one = np.unique(name, return_index=True)
                 row, key = routes(sets, one[node != 0], percent)
-                bucket, low = _bucket(key, buckets), key & _U(0xFFFFFFFF)
-                order = np.lexsort((low, bucket))
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(edges))
-                who = sets.node()[row]
-                cuts = [order[edges[b] : edges[b + 1]] for b in full]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([_squeeze(low[c].astype(np.uint32)) for c in cuts], pa.binary()), pa.array([who[c].tobytes() for c in cuts], pa.binary())],
-                    ["bucket", "keys", "who"],
-                )
+                held.append((key, name[row]))
+            if sum(len(key) for key, _ in held) >= GATHERED:
+                yield flush()
+        if held:
+            yield flush()
 
     def gather(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            whole = [np.frombuffer(x, np.int64) for x in group.column("who").to_pylist()]
+            return pa.table({"place": pa.array(np.repeat(group.column("place").to_numpy(), [len(w) for w in whole])), "node": pa.array(np.concatenate(whole))})
         key = np.concatenate([_expand(x, np.uint32) for x in group.column("keys").to_pylist()])
         who = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("who").to_pylist()])
         order = np.lexsort((who, key))
@@ -291,7 +383,9 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(start, len(key)))
         place = mix(np.add.reduceat(mix(who.view(_U)), start) + count.astype(_U)).view(np.int64)
-        several = np.repeat(count > 1, count)
+        hot = np.logical_or.reduceat(who == ELSEWHERE, start)
+        place[hot] = _place_of(_U(bucket), key[start[hot]].astype(_U))
+        several = np.repeat((count > 1) | hot, count) & (who != ELSEWHERE)
         place = np.repeat(place, count)[several]
         who = who[several]
         order = np.lexsort((who, place))
@@ -300,19 +394,24 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
         new[1:] = (place[1:] != place[:-1]) | (who[1:] != who[:-1])
         return pa.table({"place": pa.array(place[new], pa.int64()), "node": pa.array(who[new], pa.int64())})
 
-    met = rows.mapInArrow(send, "bucket int, keys binary, who binary").groupBy("bucket").applyInArrow(gather, "place long, node long").distinct()
+    met = rows.mapInArrow(send, "bucket int, keys binary, who binary, place long").groupBy("bucket").applyInArrow(gather, "place long, node long").distinct()
     parts = F.ceil(F.col("members") / PART).cast("int")
     members = met.join(met.groupBy("place").agg(F.count("*").alias("members")), "place").checkpoint()
     del met
     release(spark)
     firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("place")), 1, FIRST).alias("firsts"))
     points = members.join(nodes.select("node", "n", "point").join(firsts, "node"), "node")
-    cell = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # a large place is a triangle of part pairs; each point goes to the pairs of its own part
-    dealt = points.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumn("task", F.xxhash64("place", F.least("cell", "other"), F.greatest("cell", "other"))).withColumn(
-        "side", F.when(parts == 1, F.lit(-1)).when(F.col("cell") == F.col("other"), F.lit(-1)).otherwise((F.col("cell") > F.col("other")).cast("int"))
-    )
+    cells = F.ceil(F.col("members") / CELL).cast("int")
+    lone = points.withColumn("task", F.xxhash64("place", F.pmod(F.xxhash64("node"), cells))).withColumn("side", F.lit(-1))
+
+    def dealt(points: DataFrame) -> DataFrame:
+        """A large place is a triangle of part pairs; each point goes to the pairs of its own part."""
+        cell = F.pmod(F.xxhash64("node"), parts).cast("int")
+        each = points.withColumn("cell", cell).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        whole = (parts == 1) | (F.col("cell") == F.col("other"))
+        return each.withColumn("task", F.xxhash64("place", F.least("cell", "other"), F.greatest("cell", "other"))).withColumn(
+            "side", F.when(whole, F.lit(-1)).otherwise((F.col("cell") > F.col("other")).cast("int"))
+        )
 
     def pairs(where: DataFrame, labelled: bool, best_only: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,16 +485,22 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
 
     large = F.col("members") > SMALL
     if degrees:
-        links = verified(pairs(dealt, False, False))
+        links = verified(pairs(dealt(points), False, False))
     else:
-        links = verified(pairs(dealt.where(~large), False, False).unionByName(pairs(dealt.where(large), False, True)).distinct())
-    if not degrees and not members.where(large).isEmpty():
-        known = components(links).withColumnRenamed("root", "label")
-        apart = dealt.where(large).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        links = links.unionByName(verified(pairs(apart, True, False))).distinct().checkpoint()
+        links = verified(pairs(lone.where(~large), False, False).unionByName(pairs(lone.where(large), False, True)).distinct())
+        if not members.where(large).isEmpty():
+            known = components(links).withColumnRenamed("root", "label")
+            labelled = members.where(large).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = labelled.groupBy("place").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("place")
+            apart = labelled.join(mixed, "place").checkpoint()  # only places that hold several components
+            if not apart.isEmpty():
+                apart = apart.join(nodes.select("node", "n", "point").join(firsts, "node"), "node")
+                links = links.unionByName(verified(pairs(dealt(apart), True, False))).distinct().checkpoint()
     joined = components(links)
-    reps = nodes.select("node", "rep").join(joined, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    named = reps.join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    # singletons are their own component; those of others are named in parts, as one of them may hold most nodes
+    reps = nodes.select("node", "rep").join(joined, "node", "left").select("node", "rep", "root", F.coalesce("root", "node").alias("key"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    least = reps.where("root is not null").groupBy(F.col("root").alias("key")).agg(F.min("rep").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = reps.join(least, ["key", "salt"], "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     full = described.where("n > 0").join(named, "node").select("node", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     empty = described.where("n = 0").select("node", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rows = full.unionByName(empty)
