@@ -30,19 +30,20 @@ def motion(frames: DataFrame) -> DataFrame:
 def gate(frames: DataFrame, config: Config) -> DataFrame:
     """`frames` (video_id, event_id, t, motion) with why: first, motion, keepalive, or skipped.
 
-    A frame passes if it moves enough or if the last *passed* frame is long ago. That is a recursion, so
-    a fold over each video's ordered frames; a video's frames fit one row.
+    A frame passes if it moves enough or if the last *passed* frame is long ago, which is a recursion. But a frame that
+    moves enough, or that comes so long after the frame before it, passes whatever was before. So a video is cut at
+    those, and each quiet stretch between them is one fold; `gate_grouped` suits videos with very long ones.
     """
-    ordered = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "motion"))).alias("rows"))
+    by_time = Window.partitionBy("video_id").orderBy("t", "event_id")
+    before = F.lag("t").over(by_time)
+    why = F.when(before.isNull(), "first").when(F.col("motion") >= config.gate_signal, "motion").when(F.col("t") - before >= config.gate_keepalive, "keepalive")
+    cut = frames.select("video_id", "event_id", "t", "motion", why.alias("sure"))
+    cut = cut.withColumn("part", F.count("sure").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = cut.groupBy("video_id", "part").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "motion", "sure"))).alias("rows"))
     start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<string>").alias("why"))
 
     def step(state: Column, row: Column) -> Column:
-        why = (
-            F.when(state["last"].isNull(), "first")
-            .when(row["motion"] >= config.gate_signal, "motion")
-            .when(row["t"] - state["last"] >= config.gate_keepalive, "keepalive")
-            .otherwise("skipped")
-        )
+        why = F.coalesce(row["sure"], F.when(row["t"] - state["last"] >= config.gate_keepalive, "keepalive").otherwise("skipped"))
         return F.struct(F.when(why == "skipped", state["last"]).otherwise(row["t"]).alias("last"), F.array_append(state["why"], why).alias("why"))
 
     folded = ordered.select("video_id", "rows", F.aggregate("rows", start, step)["why"].alias("why"))
@@ -64,15 +65,42 @@ def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:
     return frames.select("video_id", "event_id", "t", "motion").groupBy("video_id").applyInPandas(run, "video_id long, event_id long, t double, motion double, why string")
 
 
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = (), cells: int = 4096) -> DataFrame:
+    """One row for each of `keys` with the exact percentiles (linear between ranks) of `column` under the names of `shares`.
+
+    The values are counted in `cells` equal cells of their range; only the values of the cells that hold a wanted rank
+    are put in order. No task holds a group's values. Nulls do not count.
+    """
+    rows = rows.select(*keys, F.col(column).cast("double").alias("x")).where("x is not null")
+    if not keys:
+        rows, keys, single = rows.withColumn("_all", F.lit(0)), ("_all",), True
+    else:
+        single = False
+    range_ = rows.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(cells - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * cells))).otherwise(F.lit(0)).cast("long")
+    celled = rows.join(F.broadcast(range_) if single else range_, list(keys)).select(*keys, "x", "n", cell.alias("cell"))
+    upto = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    held = celled.groupBy(*keys, "n", "cell").agg(F.count("*").alias("m")).withColumn("end", F.sum("m").over(upto)).withColumn("begin", F.col("end") - F.col("m"))
+    at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.floor(x).cast("long").alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items()))
+    ranks = held.select(*keys, "cell", "begin", "end", F.explode(wanted).alias("w")).select(*keys, "cell", "begin", "end", "w.*")
+    # a value between two ranks needs both; they may lie in two cells
+    ends = ranks.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.col("rank") + F.col("turn"))
+    hit = ends.where((F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end"))).select(*keys, "cell", "name", "part", "turn", (F.col("rank") - F.col("begin") + 1).alias("place"))
+    inside = celled.join(hit.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
+    ordered = inside.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("x")).cast("long"))
+    found = hit.join(ordered.select(*keys, "cell", "place", "x"), [*keys, "cell", "place"])
+    values = found.groupBy(*keys, "name", "part").agg(F.max(F.when(F.col("turn") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("x"))).alias("b"))
+    value = F.when((F.col("part") == 0) | F.col("b").isNull(), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
+    out = values.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares))
+    return out.drop("_all") if single else out
+
+
 def calibrate(frames: DataFrame, percentile: float) -> DataFrame:
     """One row: exact threshold at `percentile` (linear), mean, 1st and 50th and 99th percentile of health."""
-    return frames.agg(
-        F.percentile("health", percentile).alias("threshold"),
-        F.avg("health").alias("mean"),
-        F.percentile("health", 0.01).alias("p1"),
-        F.percentile("health", 0.5).alias("p50"),
-        F.percentile("health", 0.99).alias("p99"),
-    )
+    ranks = percentiles(frames, "health", {"threshold": percentile, "p1": 0.01, "p50": 0.5, "p99": 0.99})
+    mean = frames.agg(F.avg("health").alias("mean"))
+    return ranks.withColumn("_one", F.lit(1)).join(F.broadcast(mean.withColumn("_one", F.lit(1))), "_one").select("threshold", "mean", "p1", "p50", "p99")
 
 
 def thresholds(frames: DataFrame, percentile: float) -> DataFrame:

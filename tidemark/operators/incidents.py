@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions import least_duration
+from tidemark.operators import intervals
 
 
 def override(verdicts: DataFrame, at: float) -> DataFrame:
@@ -38,37 +39,56 @@ def clusters(verdicts: DataFrame) -> DataFrame:
     return numbered.drop("_at", "_hit", "_quiet", "_split")
 
 
+def _reach(spans: DataFrame, curves: DataFrame, loose: float) -> DataFrame:
+    """`spans` with lo and hi: the times to which a depression around s and e reaches on the curve; null without a curve.
+
+    Each sample first learns how far a walk from it would go: back to the sample after the last calm one before it, and
+    on to the sample before the next calm one. A span then takes that of its first sample at or after s and of
+    its last at or before e, or of the last and first sample where there is none: ordered passes, no join with the curve.
+    """
+    forward, back = Window.partitionBy("video_id").orderBy("t", "event_id"), Window.partitionBy("video_id").orderBy(F.desc("t"), F.desc("event_id"))
+    past = (Window.unboundedPreceding, -1)
+    calm = ~(F.col("health") < loose)
+    walked = curves.withColumns({"_next": F.lead("t").over(forward), "_prior": F.lag("t").over(forward)}).select(
+        "video_id",
+        F.col("t").alias("_at"),
+        "event_id",
+        F.lit(0).alias("_kind"),
+        F.coalesce(F.last(F.when(calm, F.col("_next")), True).over(forward.rowsBetween(*past)), F.first("t").over(forward.rowsBetween(Window.unboundedPreceding, 0))).alias("_lo"),
+        F.coalesce(F.last(F.when(calm, F.col("_prior")), True).over(back.rowsBetween(*past)), F.first("t").over(back.rowsBetween(Window.unboundedPreceding, 0))).alias("_hi"),
+        F.lit(None).cast("long").alias("cluster"),
+    )
+    none = F.lit(None).cast("double")
+    asked = [spans.select("video_id", F.col(c).alias("_at"), F.lit(None).cast("long").alias("event_id"), F.lit(kind).alias("_kind"), none.alias("_lo"), none.alias("_hi"), "cluster") for kind, c in ((1, "s"), (2, "e"))]
+    merged = walked.unionByName(asked[0]).unionByName(asked[1])
+    up, down = Window.partitionBy("video_id").orderBy("_at", "_kind", "event_id"), Window.partitionBy("video_id").orderBy(F.desc("_at"), "_kind", F.desc("event_id"))
+    sofar, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
+    lo = F.coalesce(F.last("_lo", True).over(down.rowsBetween(*sofar)), F.first("_lo", True).over(down.rowsBetween(*whole)))
+    hi = F.coalesce(F.last("_hi", True).over(up.rowsBetween(*sofar)), F.first("_hi", True).over(up.rowsBetween(*whole)))
+    found = merged.withColumns({"_from": lo, "_to": hi}).where("_kind > 0")
+    found = found.groupBy("video_id", "cluster").agg(F.max(F.when(F.col("_kind") == 1, F.col("_from"))).alias("lo"), F.max(F.when(F.col("_kind") == 2, F.col("_to"))).alias("hi"))
+    return spans.join(found, ["video_id", "cluster"])
+
+
 def extent(spans: DataFrame, curves: DataFrame | None, threshold: float, config: Config, duration: bool = False) -> DataFrame:
     """`spans` (video_id, cluster, s, e, probed) with s, e, source: extended along the curve while it is depressed, then buffered and clamped.
 
-    curves: video_id, curve = array<struct<t, health>> in order of t. duration: `spans` has a column of that name.
+    curves: video_id, t, event_id, health; or video_id, curve = array<struct<t, health>> in order of t. duration: `spans` has a
+    column of that name.
     """
     out = spans.withColumn("source", F.when(F.col("probed"), "probe-span").otherwise("windows"))
     if curves is not None:
-        loose = F.lit(threshold * config.loose_factor)
-        out = out.join(curves, "video_id", "left").withColumn("n", F.coalesce(F.size("curve"), F.lit(0)))
-        at = F.sequence(F.lit(0), F.col("n") - 1)
-
-        def t(i: Column) -> Column:
-            return F.get("curve", i)["t"]
-
-        def calm(i: Column) -> Column:
-            return ~(F.get("curve", i)["health"] < loose)
-
-        some = F.col("n") > 0
-        a0 = F.coalesce(F.array_min(F.filter(at, lambda i: t(i) >= F.col("s"))), F.col("n") - 1)
-        b0 = F.coalesce(F.array_max(F.filter(at, lambda i: t(i) <= F.col("e"))), F.lit(0))
-        out = out.withColumns({"a0": F.when(some, a0), "b0": F.when(some, b0)})
-        a = F.coalesce(F.array_max(F.filter(at, lambda i: (i < F.col("a0")) & calm(i))) + 1, F.lit(0))
-        b = F.coalesce(F.array_min(F.filter(at, lambda i: (i > F.col("b0")) & calm(i))) - 1, F.col("n") - 1)
-        out = out.withColumns({"a": F.when(some, a), "b": F.when(some, b)})
+        if "curve" in curves.columns:
+            curves = curves.select("video_id", F.posexplode("curve").alias("event_id", "_p")).select("video_id", F.col("event_id").cast("long").alias("event_id"), "_p.t", "_p.health")
+        out = _reach(out, curves, threshold * config.loose_factor)
+        some = F.col("lo").isNotNull()
         out = out.withColumns(
             {
-                "s": F.when(some, F.least("s", t(F.col("a")))).otherwise(F.col("s")),
-                "e": F.when(some, F.greatest("e", t(F.col("b")))).otherwise(F.col("e")),
+                "s": F.when(some, F.least("s", "lo")).otherwise(F.col("s")),
+                "e": F.when(some, F.greatest("e", "hi")).otherwise(F.col("e")),
                 "source": F.when(some, "measured").otherwise(F.col("source")),
             }
-        ).drop("curve", "n", "a0", "b0", "a", "b")
+        ).drop("lo", "hi")
     buffer = F.lit(config.extent_buffer)
     out = out.withColumns({"s": F.greatest(F.lit(0.0), F.col("s") - buffer), "e": F.col("e") + buffer})
     if duration:
@@ -131,9 +151,8 @@ def incidents(verdicts: DataFrame, config: Config, curves: DataFrame | None = No
     )
 
 
-def recovered_between(curves: DataFrame, gaps: DataFrame, threshold: float, factor: float) -> DataFrame:
+def recovered_between(frames: DataFrame, gaps: DataFrame, threshold: float, factor: float, width: float = 24.0) -> DataFrame:
     """gaps (video_id, gap_id, lo, hi) with recovered: most curve samples strictly between are not depressed (a retired diagnostic)."""
-    near = gaps.join(curves, "video_id", "left")
-    inner = F.filter("curve", lambda p: (p["t"] > F.col("lo")) & (p["t"] < F.col("hi")))
-    calm = F.size(F.filter(inner, lambda p: p["health"] >= F.lit(threshold * factor)))
-    return near.select("video_id", "gap_id", F.coalesce(F.when(F.size(inner) > 0, calm * 2 > F.size(inner)), F.lit(False)).alias("recovered"))
+    inner = intervals.points_in(frames.select("video_id", "t", "health"), gaps, "lo", "hi", width).where("t > lo and t < hi")
+    seen = inner.groupBy("video_id", "gap_id").agg((2 * F.count_if(F.col("health") >= F.lit(threshold * factor)) > F.count("*")).alias("recovered"))
+    return gaps.join(seen, ["video_id", "gap_id"], "left").select("video_id", "gap_id", F.coalesce("recovered", F.lit(False)).alias("recovered"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import interval_iou
+from tidemark.operators import intervals
 
 
-def overlapping(truth: DataFrame, predicted: DataFrame, same_class: bool = True) -> DataFrame:
-    """All overlapping pairs of a video (and class), with iou. The equal keys make it a hash or merge join, never a nested loop."""
+def overlapping(truth: DataFrame, predicted: DataFrame, same_class: bool = True, width: float = 8.0) -> DataFrame:
+    """All overlapping pairs of a video (and class), with iou, joined by video and time bucket of `width`."""
     p = predicted.select("video_id", "pred_id", F.col("class").alias("pred_class"), F.col("s").alias("ps"), F.col("e").alias("pe"))
-    pairs = truth.join(p, "video_id").where((F.col("ps") < F.col("e")) & (F.col("pe") > F.col("s")))
-    pairs = pairs.withColumn("iou", interval_iou(F.col("ps"), F.col("pe"), F.col("s"), F.col("e"))).where("iou > 0")
-    return pairs.where(F.col("pred_class") == F.col("class")) if same_class else pairs
+    keys = ["video_id"]
+    if same_class:
+        truth, p, keys = truth.withColumn("_class", F.col("class")), p.withColumn("_class", F.col("pred_class")), ["video_id", "_class"]
+    pairs = intervals.overlapping(truth, p, keys, ("s", "e"), ("ps", "pe"), width).drop("_class")
+    return pairs.withColumn("iou", interval_iou(F.col("ps"), F.col("pe"), F.col("s"), F.col("e"))).where("iou > 0")
 
 
 def match_disjoint(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
@@ -27,28 +29,25 @@ def match_disjoint(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -
 
 
 def match_greedy(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
-    """The exact sequential rule: in order of truths, the free prediction of greatest overlap, if that reaches `least`."""
-
-    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        t, p = t.sort_values(["s", "truth_id"]), p.sort_values(["s", "pred_id"])
-        used, out = set(), []
-        spans = list(zip(p["pred_id"], p["s"], p["e"], strict=True))
-        for truth_id, s, e, video in zip(t["truth_id"], t["s"], t["e"], t["video_id"], strict=True):
-            best, best_iou = None, 0.0
-            for i, ps, pe in spans:
-                if i in used:
-                    continue
-                hull = max(pe, e) - min(ps, s)
-                iou = max(0.0, min(pe, e) - max(ps, s)) / hull if hull > 0 else 0.0
-                if iou > best_iou:
-                    best, best_iou = i, iou
-            if best is not None and best_iou >= least:
-                used.add(best)
-                out.append((video, truth_id, best, best_iou))
-        return pd.DataFrame(out, columns=["video_id", "truth_id", "pred_id", "iou"])
-
-    key = ["video_id", "class"]
-    return truth.groupBy(*key).cogroup(predicted.groupBy(*key)).applyInPandas(run, "video_id long, truth_id long, pred_id long, iou double")
+    """The exact sequential rule: in order of truths, the free prediction of greatest overlap, if that reaches `least`.
+
+    Only pairs that reach `least` can match, and pairs far apart in time do not touch each other. So the pairs of a
+    class are cut where a pair begins after all earlier ones have ended, and each such run is one fold.
+    """
+    pairs = overlapping(truth, predicted).where(F.col("iou") >= least).withColumns({"_lo": F.least("s", "ps"), "_hi": F.greatest("e", "pe")})
+    by_time = Window.partitionBy("video_id", "class").orderBy("_lo", "_hi", "truth_id", "pred_id")
+    reached = F.max("_hi").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("_lo") > reached).cast("int"), F.lit(0))
+    runs = pairs.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.struct("s", "truth_id", (-F.col("iou")).alias("d"), "ps", "pred_id", "iou")
+    rows = runs.groupBy("video_id", "class", "_run").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
+
+    def take(chosen: Column, row: Column) -> Column:
+        spent = F.exists(chosen, lambda c: (c["truth_id"] == row["truth_id"]) | (c["pred_id"] == row["pred_id"]))
+        return F.when(spent, chosen).otherwise(F.array_append(chosen, F.struct(row["truth_id"].alias("truth_id"), row["pred_id"].alias("pred_id"), row["iou"].alias("iou"))))
+
+    none = F.array().cast("array<struct<truth_id:bigint,pred_id:bigint,iou:double>>")
+    return rows.select("video_id", F.inline(F.aggregate("rows", none, take)))
 
 
 def per_video(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import marks
+from tidemark.operators.frames import percentiles
 
 
 def truth_rollup(truth: DataFrame) -> DataFrame:
@@ -76,14 +77,16 @@ def level_scores(scores: DataFrame) -> DataFrame:
 
 def call_statistics(calls: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Count, total, mean, exact median and 95th percentile, maximum of elapsed_ms, to one place."""
-    return calls.groupBy(*keys).agg(
+    sums = calls.groupBy(*keys).agg(
         F.count("*").alias("call_count"),
         F.round(F.sum("elapsed_ms"), 1).alias("total_time_ms"),
         F.round(F.avg("elapsed_ms"), 1).alias("average_time_ms"),
-        F.round(F.percentile("elapsed_ms", 0.5), 1).alias("p50_time_ms"),
-        F.round(F.percentile("elapsed_ms", 0.95), 1).alias("p95_time_ms"),
         F.round(F.max("elapsed_ms"), 1).alias("max_time_ms"),
     )
+    ranks = percentiles(calls, "elapsed_ms", {"p50": 0.5, "p95": 0.95}, keys)
+    return sums.join(ranks, list(keys), "left").select(
+        *keys, "call_count", "total_time_ms", "average_time_ms", F.round("p50", 1).alias("p50_time_ms"), F.round("p95", 1).alias("p95_time_ms"), "max_time_ms"
+    )
 
 
 def confusion_matrix(pairs: DataFrame, labels: list) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions import even_index
+from tidemark.operators import intervals
 
 
 def escalations(frames: DataFrame, threshold: float, gap: float) -> DataFrame:
@@ -34,39 +35,18 @@ def scan_floor(frames: DataFrame, durations: DataFrame, threshold: float, config
     """
     k, step = config.frames_per_window, config.floor_step
     marked = summarise(escalations(frames, threshold, config.gap), "escalated")
-    spans = marked.groupBy("video_id").agg(F.collect_list(F.struct("t0", "t1")).alias("spans"))
-    whole = (
-        frames.groupBy("video_id")
-        .agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "health"))).alias("rows"))
-        .join(durations, "video_id")
-        .join(spans, "video_id", "left")
-        .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<t0:double,t1:double>>")))
-    )
-    count = F.ceil(F.col("duration") / step).cast("int")
-    slots = whole.where(F.col("duration") > config.floor_least).withColumn("slot", F.explode(F.sequence(F.lit(0), count - 1)))
-    start = F.col("slot") * F.lit(step)
-    open_slots = slots.where(~F.exists("spans", lambda w: (w["t0"] < start + step) & (w["t1"] >= start)))
-    centre = start + step / 2
-    nearest = F.slice(F.array_sort(F.transform("rows", lambda r: F.struct(F.abs(r["t"] - centre).alias("d"), r["t"].alias("t"), r["event_id"].alias("event_id"), r["health"].alias("health")))), 1, k)
-    scans = open_slots.withColumn("near", nearest).withColumn("t0", F.array_min(F.transform("near", lambda r: r["t"]))).where(F.abs(F.col("t0") - centre) <= step)
-    mean = F.aggregate("near", F.lit(0.0), lambda a, r: a + r["health"]) / F.size("near")
-    scanned = scans.select(
-        "video_id", F.lit("scan").alias("source"), F.col("slot").cast("long").alias("win"), "t0", F.array_max(F.transform("near", lambda r: r["t"])).alias("t1"), F.size("near").cast("long").alias("n_frames"), mean.alias("health")
-    )
-    found = marked.unionByName(scanned)
-    lowest = F.slice(F.array_sort(F.transform("rows", lambda r: F.struct(r["health"].alias("health"), r["t"].alias("t"), r["event_id"].alias("event_id")))), 1, k)
-    none = whole.join(found.select("video_id").distinct(), "video_id", "left_anti").withColumn("low", lowest)
-    mean = F.aggregate("low", F.lit(0.0), lambda a, r: a + r["health"]) / F.size("low")
-    last = none.select(
-        "video_id",
-        F.lit("last-resort").alias("source"),
-        F.lit(0).cast("long").alias("win"),
-        F.array_min(F.transform("low", lambda r: r["t"])).alias("t0"),
-        F.array_max(F.transform("low", lambda r: r["t"])).alias("t1"),
-        F.size("low").cast("long").alias("n_frames"),
-        mean.alias("health"),
-    )
-    return found.unionByName(last)
+    count = F.ceil(F.col("duration") / step)
+    slots = durations.where(F.col("duration") > config.floor_least).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("slot"))
+    covered = marked.select("video_id", F.explode(F.sequence(intervals.bucket("t0", step), intervals.bucket("t1", step))).alias("slot")).distinct()
+    open_slots = slots.join(covered, ["video_id", "slot"], "left_anti").withColumn("centre", F.col("slot") * F.lit(step) + step / 2)
+    near = intervals.nearest(frames.select("video_id", "t", "event_id", "health"), open_slots, k, ["health"])
+    scans = summarise(near.withColumnRenamed("slot", "win"), "scan")
+    scans = scans.where(F.abs(F.col("t0") - (F.col("win") * F.lit(step) + step / 2)) <= step)
+    found = marked.unionByName(scans)
+    lowest = Window.partitionBy("video_id").orderBy("health", "t", "event_id")
+    none = frames.join(found.select("video_id").distinct(), "video_id", "left_anti")
+    low = none.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= k).withColumn("win", F.lit(0).cast("long"))
+    return found.unionByName(summarise(low, "last-resort"))
 
 
 def pick(members: DataFrame, k: int, keys: tuple[str, ...] = ("video_id", "win")) -> DataFrame:
@@ -80,6 +60,7 @@ def pick(members: DataFrame, k: int, keys: tuple[str, ...] = ("video_id", "win")
 
 def widen(frames: DataFrame, centres: DataFrame, span: float, k: int) -> DataFrame:
     """Frames within span / 2 of each centre (video_id, centre_id, centre), at most k by even positions; centres with fewer than two are left out."""
-    near = frames.join(centres, "video_id").where(F.col("t").between(F.col("centre") - span / 2, F.col("centre") + span / 2))
+    spans = centres.withColumns({"_lo": F.col("centre") - span / 2, "_hi": F.col("centre") + span / 2})
+    near = intervals.points_in(frames, spans, "_lo", "_hi", span).drop("_lo", "_hi")
     some = near.withColumn("_m", F.count("*").over(Window.partitionBy("video_id", "centre_id"))).where("_m >= 2").drop("_m")
     return pick(some, k, ("video_id", "centre_id"))

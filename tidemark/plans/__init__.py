@@ -10,8 +10,8 @@ from tidemark.operators import incidents
 
 
 def curves(frames: DataFrame) -> DataFrame:
-    """video_id, curve: health over time, one row for each video."""
-    return frames.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "health"))), lambda r: F.struct(r["t"].alias("t"), r["health"].alias("health"))).alias("curve"))
+    """video_id, t, event_id, health: the health curve, a row for each sample."""
+    return frames.select("video_id", "t", "event_id", "health")
 
 
 def durations(frames: DataFrame, tail: float = 1.0) -> DataFrame:

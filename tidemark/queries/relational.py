@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import bindings as B
 from tidemark import functions as fn
 from tidemark import plans, sources
+from tidemark.operators import intervals
 
 
 def r6(c):
@@ -58,13 +59,13 @@ def prediction_truth_join(spark, d):
 def range_join(spark, d):
     """Frames inside each labelled interval, ends included."""
     f = B.frames(spark, d).select("video_id", F.col("event_id").alias("frame"), "t")
-    return B.truth(spark, d).join(f, "video_id").where(F.col("t").between(F.col("s"), F.col("e"))).groupBy("truth_id").agg(F.count("*").alias("frames"))
+    return intervals.points_in(f, B.truth(spark, d), "s", "e", 8.0).groupBy("truth_id").agg(F.count("*").alias("frames"))
 
 
 def first_containing(spark, d):
     """For each frame the first predicted interval that contains it."""
     f = B.frames(spark, d)
-    j = f.join(B.predicted(spark, d), "video_id").where(F.col("t").between(F.col("s"), F.col("e")))
+    j = intervals.points_in(f, B.predicted(spark, d), "s", "e", 8.0)
     n = F.row_number().over(Window.partitionBy("event_id").orderBy("s", "pred_id"))
     return j.withColumn("n", n).where("n = 1").select("event_id", "pred_id")
 

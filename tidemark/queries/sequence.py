@@ -133,7 +133,7 @@ def recovered_between(spark, d):
     """Whether health recovered between an error event and the next one."""
     f = B.frames(spark, d)
     gaps = B.truth(spark, d, clip=False).withColumn("hi", F.expr("lead(s) over (partition by video_id order by s, truth_id)"))
-    return inc.recovered_between(plans.curves(f), gaps.select("video_id", F.col("truth_id").alias("gap_id"), F.col("s").alias("lo"), F.coalesce("hi", "s").alias("hi")), BOUND.health_threshold, BOUND.loose_factor)
+    return inc.recovered_between(f, gaps.select("video_id", F.col("truth_id").alias("gap_id"), F.col("s").alias("lo"), F.coalesce("hi", "s").alias("hi")), BOUND.health_threshold, BOUND.loose_factor)
 
 
 def gate_pipeline(spark, d):
