@@ -11,13 +11,25 @@ from tidemark.operators import intervals
 
 
 def override(verdicts: DataFrame, at: float) -> DataFrame:
-    """A normal verdict becomes the probe's top class where its anomaly probability reaches `at`; probe_override says so."""
+    """A normal verdict becomes the probe's top class where its anomaly probability reaches `at`; probe_override says so.
+
+    With columns second_class, second_confidence, second_description (a second call's answer, or null), that call names
+    the class if it found one, and bounds the confidence; its description goes before the first's.
+    """
     strong = (F.col("class") == "normal") & F.col("probe_top").isNotNull() & (F.col("probe_anomaly") >= at)
+    name, sure, extra = F.col("probe_top"), F.col("probe_anomaly"), {}
+    if "second_class" in verdicts.columns:
+        again = F.col("second_class").isNotNull() & (F.col("second_class") != "normal")
+        name = F.when(again, F.col("second_class")).otherwise(name)
+        sure = F.when(again, F.least("second_confidence", "probe_anomaly")).otherwise(sure)
+        said = F.coalesce(F.nullif("second_description", F.lit("")), F.nullif("description", F.lit("")), F.concat(F.lit("Probe: "), F.replace(name, F.lit("_"), F.lit(" "))))
+        extra = {"description": F.when(strong, said).otherwise(F.col("description"))}
     return verdicts.withColumns(
         {
             "probe_override": F.coalesce(strong, F.lit(False)),
-            "confidence": F.when(strong, F.round(F.greatest(F.lit(0.5), F.col("probe_anomaly")), 3)).otherwise(F.col("confidence")),
-            "class": F.when(strong, F.col("probe_top")).otherwise(F.col("class")),
+            "confidence": F.when(strong, F.round(F.greatest(F.lit(0.5), sure), 3)).otherwise(F.col("confidence")),
+            "class": F.when(strong, name).otherwise(F.col("class")),
+            **extra,
         }
     )
 

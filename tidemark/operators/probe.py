@@ -10,16 +10,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals, windows
+
 
 def capped_sample(rows: DataFrame, label: str, key: str, cap: int, seed: int = 0) -> DataFrame:
     """At most `cap` rows of each label, those with the smallest hash of their key: the same in every run."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key)
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
 def split(rows: DataFrame, label: str, key: str, share: float = 0.75, seed: int = 0) -> DataFrame:
     """`rows` with `train`: in each label the first `share` by hash."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key)
     return rows.withColumn("train", F.percent_rank().over(order) < share)
 
 
@@ -45,14 +47,17 @@ def anomaly(p: Column, normal: int = 0) -> Column:
     return F.coalesce(1 - F.get(p, F.lit(normal)), F.lit(0.0))
 
 
-def curve(frames: DataFrame, weights: DataFrame, span: float, step: float) -> DataFrame:
-    """video_id, t, score: a linear score of the mean vector of the frames within span / 2 of every step-th time.
+def curve(frames: DataFrame, weights: DataFrame, span: float, step: float, k: int = 8) -> DataFrame:
+    """video_id, t, score: a linear score of the mean vector of the frames within span / 2 of every step-th time, of k even ones where there are more.
 
-    frames: video_id, t, emb; weights: one row with w (array<double>) and b.
+    frames: video_id, event_id, t, emb; weights: one row with w (array<double>) and b.
     """
     bounds = frames.groupBy("video_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     at = bounds.select("video_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / step).cast("int")), lambda i: F.col("lo") + i * step)).alias("c"))
-    near = frames.join(at, "video_id").where(F.col("t").between(F.col("c") - span / 2, F.col("c") + span / 2))
+    spans = at.withColumns({"lo": F.col("c") - span / 2, "hi": F.col("c") + span / 2})
+    keys = frames.select("video_id", "event_id", "t")  # vectors come in only for the frames that are picked
+    near = windows.pick(intervals.points_in(keys, spans, "lo", "hi", span), k, ("video_id", "c")).select("video_id", "c", "event_id")
+    near = near.join(frames.select("video_id", "event_id", "emb"), ["video_id", "event_id"])
     mean = near.select("video_id", "c", F.posexplode("emb").alias("i", "x")).groupBy("video_id", "c", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     scored = mean.groupBy("video_id", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.col("b"), lambda s, x: s + x)

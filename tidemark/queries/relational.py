@@ -36,16 +36,16 @@ def lookup_join(spark, d):
 
 
 def full_diff(spark, d):
-    """Orders without line items of quantity over 45 and the other way round, by level difference."""
-    a = B.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("video_id"), (F.col("o_custkey") % 3).cast("int").alias("level"))
-    b = B.table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity > 25").select(F.col("l_orderkey").alias("video_id"), (F.col("l_suppkey") % 3).cast("int").alias("level")).dropDuplicates(["video_id", "level"])
+    """Finished orders against orders of which a line came back; the level is a residue of the customer or the greatest supplier."""
+    a = B.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("video_id"), (F.col("o_custkey") % 3).cast("int").alias("level"))
+    b = B.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("video_id")).agg((F.max("l_suppkey") % 3).cast("int").alias("level"))
     return sources.compare_manifests(a, b)
 
 
 def manifest_left(spark, d):
-    """Users of the manifest with and without predictions."""
+    """Users of the manifest with and without predictions of fire."""
     m = B.table(spark, d, "events").select(F.col("user_id").alias("video_id")).distinct()
-    p = B.predicted(spark, d).where("pred_id % 3 = 0").groupBy("video_id").agg(F.count("*").alias("n"))
+    p = B.predicted(spark, d).where("class = 'fire'").groupBy("video_id").agg(F.count("*").alias("n"))
     return m.join(p, "video_id", "left").select("video_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))
 
 
@@ -78,7 +78,7 @@ def id_intersection(spark, d):
 def bag_union(spark, d):
     """Parts of a table put together again, and counted."""
     e = B.table(spark, d, "events").select("user_id", "event_type")
-    u = e.where("event_type = 'view'").unionByName(e.where("event_type <> 'view'")).unionByName(e.where("user_id = 1"))
+    u = e.where("event_type = 'view'").unionByName(e.where("event_type <> 'view'")).unionByName(e.where("event_type = 'error'"))
     return u.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -265,10 +265,10 @@ def file_stems(spark, d):
 
 
 def gallery_time(spark, d):
-    """Gallery frame: middle of the strongest event, else the first labelled start, else half the duration."""
+    """Gallery frame: middle of the strongest predicted fire, else the first labelled start of ten hours or more, else half the duration."""
     f = plans.durations(B.frames(spark, d))
-    top = B.predicted(spark, d).where("pred_id % 4 = 0").withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc(F.col("e") - F.col("s")), "s", "pred_id"))).where("n = 1")
-    first = B.truth(spark, d).where("truth_id % 2 = 0").groupBy("video_id").agg(F.min("s").alias("first"))
+    top = B.predicted(spark, d).where("class = 'fire'").withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc(F.col("e") - F.col("s")), "s", "pred_id"))).where("n = 1")
+    first = B.truth(spark, d).where("e - s >= 10").groupBy("video_id").agg(F.min("s").alias("first"))
     j = f.join(top.select("video_id", ((F.col("s") + F.col("e")) / 2).alias("mid")), "video_id", "left").join(first, "video_id", "left")
     return j.select("video_id", r6(F.coalesce("mid", "first", F.col("duration") / 2)).alias("t"))
 
@@ -292,15 +292,15 @@ ORACLES = {
     "semi_join": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "lookup_join": "SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
-    "full_diff": """WITH a AS (SELECT o_orderkey AS video_id, o_custkey % 3 AS level FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT DISTINCT l_orderkey AS video_id, l_suppkey % 3 AS level FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25)
+    "full_diff": """WITH a AS (SELECT o_orderkey AS video_id, o_custkey % 3 AS level FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT l_orderkey AS video_id, max(l_suppkey) % 3 AS level FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
         SELECT coalesce(a.video_id, b.video_id) AS video_id, CASE WHEN b.video_id IS NULL THEN 'only in first' WHEN a.video_id IS NULL THEN 'only in second' ELSE 'level differs' END AS difference
         FROM a FULL JOIN b USING (video_id) WHERE a.video_id IS NULL OR b.video_id IS NULL OR a.level <> b.level""",
-    "manifest_left": f"WITH {_TFP}, p AS (SELECT video_id, count(*) AS n FROM pred WHERE pred_id % 3 = 0 GROUP BY 1) SELECT u.video_id, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT user_id AS video_id FROM events) u LEFT JOIN p USING (video_id)",
+    "manifest_left": f"WITH {_TFP}, p AS (SELECT video_id, count(*) AS n FROM pred WHERE class = 'fire' GROUP BY 1) SELECT u.video_id, coalesce(n, 0) AS n, n IS NULL AS missing FROM (SELECT DISTINCT user_id AS video_id FROM events) u LEFT JOIN p USING (video_id)",
     "prediction_truth_join": f"WITH {_TFP} SELECT video_id, n_true, n_pred FROM (SELECT video_id, count(*) AS n_true FROM truth GROUP BY 1) JOIN (SELECT video_id, count(*) FILTER (WHERE class = 'fire') AS n_pred FROM pred GROUP BY 1) USING (video_id)",
     "range_join": f"WITH {_TFP} SELECT truth_id, count(*) AS frames FROM truth JOIN frames f ON f.video_id = truth.video_id AND f.t BETWEEN truth.s AND truth.e GROUP BY 1",
     "first_containing": f"WITH {_TFP}, x AS (SELECT f.event_id, p.pred_id, row_number() OVER (PARTITION BY f.event_id ORDER BY p.s, p.pred_id) AS n FROM frames f JOIN pred p ON p.video_id = f.video_id AND f.t BETWEEN p.s AND p.e) SELECT event_id, pred_id FROM x WHERE n = 1",
     "id_intersection": "SELECT c_custkey AS id FROM customer INTERSECT SELECT s_suppkey FROM supplier",
-    "bag_union": "SELECT event_type, count(*) + count(*) FILTER (WHERE user_id = 1) AS n FROM events GROUP BY 1",
+    "bag_union": "SELECT event_type, count(*) * CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS n FROM events GROUP BY 1",
     "keep_first": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
     "set_differences": """SELECT unnest(['stalled_or_broken_down_vehicle', 'vehicle_blocking_traffic', 'wrong_way_driving', 'road_spill_or_debris', 'waterlogging_or_flood', 'fire', 'fighting_or_violence', 'loitering_or_suspicious_presence']) AS class_name, 'missing' AS difference UNION ALL SELECT 'odd', 'extra'""",
     "ordered_union": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'view,fire,smoke,x1,x2,x3' ELSE event_type || ',fire,smoke,view,x1,x2' END AS hints FROM events",
@@ -337,8 +337,8 @@ ORACLES = {
         SELECT p_partkey, CAST(i AS INT) AS i, round(e[i + 1] / list_sum(e), 6) AS p FROM e, range(0, 3) x(i)""",
     "normalised_dot": "WITH z AS (SELECT embedding::DOUBLE[] AS z FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], z), 6) AS sim FROM embeddings, z",
     "file_stems": r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM pages",
-    "gallery_time": f"""WITH {_TFP}, u AS (SELECT video_id, max(t) + 1 AS duration FROM frames GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY e - s DESC, s, pred_id) AS n FROM pred WHERE pred_id % 4 = 0),
-        f AS (SELECT video_id, min(s) AS first FROM truth WHERE truth_id % 2 = 0 GROUP BY 1) SELECT u.video_id, round(coalesce((top.s + top.e) / 2, f.first, duration / 2), 6) AS t FROM u LEFT JOIN top ON top.video_id = u.video_id AND n = 1 LEFT JOIN f ON f.video_id = u.video_id""",
+    "gallery_time": f"""WITH {_TFP}, u AS (SELECT video_id, max(t) + 1 AS duration FROM frames GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY e - s DESC, s, pred_id) AS n FROM pred WHERE class = 'fire'),
+        f AS (SELECT video_id, min(s) AS first FROM truth WHERE e - s >= 10 GROUP BY 1) SELECT u.video_id, round(coalesce((top.s + top.e) / 2, f.first, duration / 2), 6) AS t FROM u LEFT JOIN top ON top.video_id = u.video_id AND n = 1 LEFT JOIN f ON f.video_id = u.video_id""",
     "seek_time": f"WITH {_TFP} SELECT pred_id, round(greatest(0.0, s - 2), 6) AS seek FROM pred",
     "timeline_rows": f"""WITH {_TFP} SELECT video_id, 'predicted' AS kind, class AS class_name, round(s, 6) AS start_t, round(e - s, 6) AS length FROM pred UNION ALL SELECT video_id, 'truth', class, round(s, 6), round(e - s, 6) FROM truth""",
 }

@@ -27,8 +27,8 @@ def _video_truth(spark, d):
 
 
 def _video_predictions(spark, d):
-    """For users not divisible by 10: the class of the event of greatest value, anomalous if that exceeds 240."""
-    e = B.table(spark, d, "events").where("user_id % 10 <> 0")
+    """For users with an event over 150: the class of the event of greatest value, anomalous if that exceeds 240."""
+    e = B.table(spark, d, "events").where("value > 150")
     top = e.groupBy(F.col("user_id").alias("video_id")).agg(F.max(F.struct("value", "event_id", "event_type")).alias("m"))
     cls = B.class_of(F.col("m.event_type"))
     said = (F.col("m.value") > 240) & (cls != "normal")
@@ -165,7 +165,8 @@ def _events(spark, d):
 
 
 def _manifest(spark, d):
-    u = B.table(spark, d, "events").where("user_id % 8 <> 7").groupBy(F.col("user_id").alias("video_id")).agg(F.max(B.hours(F.col("ts"))).alias("duration"))
+    """Users with an event over 200."""
+    u = B.table(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.max(B.hours(F.col("ts"))).alias("duration"), F.max("value").alias("most")).where("most > 200")
     return u.select("video_id", (F.col("video_id") % 3 + 1).cast("int").alias("level"), "duration")
 
 
@@ -178,8 +179,7 @@ def submission_rows(spark, d):
 def submission_problems(spark, d):
     """Every broken rule."""
     e = B.predicted(spark, d)
-    answers = e.select("video_id").distinct().where("video_id % 11 <> 3").withColumn("has_metadata", F.col("video_id") % 13 != 0)
-    answers = answers.unionByName(answers.where("video_id % 17 = 0"))
+    answers = e.where("e - s >= 6").select("video_id", (F.col("class") != "fire").alias("has_metadata")).distinct()  # two classes make two answers
     timed = F.col("pred_id") % 6 != 0
     events = e.select("video_id", F.when(F.col("pred_id") % 10 == 0, "normal").otherwise(F.col("class")).alias("class_name"), F.when(timed, F.col("s")).alias("start_time_sec"), F.when(timed, F.when(F.col("pred_id") % 9 == 0, F.col("s") - 1).otherwise(F.col("e"))).alias("end_time_sec"))
     return su.problems(_manifest(spark, d), answers, events).groupBy("video_id", "problem").agg(F.count("*").alias("n"))
@@ -196,14 +196,14 @@ _BASE = B.ctes("frames", "truth", "pred")
 _CLS = "CASE event_type WHEN 'error' THEN 'traffic_accident' WHEN 'click' THEN 'smoke' WHEN 'purchase' THEN 'fire' WHEN 'signup' THEN 'traffic_congestion' ELSE 'normal' END"
 _VT = f"""vt AS (SELECT user_id AS video_id, CASE WHEN value > 250 THEN {_CLS} ELSE 'normal' END AS class_name FROM events),
 roll AS (SELECT video_id, bool_or(class_name <> 'normal') AS is_anomaly, coalesce(list(DISTINCT class_name) FILTER (WHERE class_name <> 'normal'), []) AS classes FROM vt GROUP BY 1),
-tp AS (SELECT user_id AS video_id, value, {_CLS} AS c, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS rn FROM events WHERE user_id % 10 <> 0),
+tp AS (SELECT user_id AS video_id, value, {_CLS} AS c, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS rn FROM events WHERE value > 150),
 said AS (SELECT video_id, value > 240 AND c <> 'normal' AS said_anomaly, CASE WHEN value > 240 AND c <> 'normal' THEN c ELSE 'normal' END AS said_class FROM tp WHERE rn = 1)"""
 _OUT = """outcomes AS (SELECT r.video_id, r.is_anomaly, CASE WHEN s.said_anomaly IS NULL THEN 'unanswered' WHEN r.is_anomaly AND s.said_anomaly THEN CASE WHEN list_contains(r.classes, s.said_class) THEN 'found' ELSE 'wrong-class' END
   WHEN r.is_anomaly THEN 'missed' WHEN s.said_anomaly THEN 'false-alarm' ELSE 'true-normal' END AS outcome FROM roll r LEFT JOIN said s USING (video_id))"""
 _TR = "tr AS (SELECT d.source AS video_id, CASE WHEN l.toxic = 1 THEN 'toxic_' || d.lang ELSE 'normal' END AS class_name, l.toxic = 1 AS is_anomaly FROM labels l JOIN documents d USING (doc_id))"
 _STATS = """count(*) AS call_count, round(sum(l_extendedprice), 1) AS total_time_ms, round(avg(l_extendedprice), 1) AS average_time_ms,
   round(quantile_cont(l_extendedprice, 0.5), 1) AS p50_time_ms, round(quantile_cont(l_extendedprice, 0.95), 1) AS p95_time_ms, round(max(l_extendedprice), 1) AS max_time_ms"""
-_MANIFEST = "man AS (SELECT user_id AS video_id, CAST(user_id % 3 + 1 AS INT) AS level, max((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0) AS duration FROM events WHERE user_id % 8 <> 7 GROUP BY 1)"
+_MANIFEST = "man AS (SELECT user_id AS video_id, CAST(user_id % 3 + 1 AS INT) AS level, max((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0) AS duration FROM events GROUP BY 1 HAVING max(value) > 200)"
 
 ORACLES = {
     "overlap_pairs": f"WITH {_BASE}{_MATCH} SELECT video_id, truth_id, pred_id, round(iou, 6) AS iou FROM pairs WHERE class = pc AND iou > 0",
@@ -249,7 +249,7 @@ ORACLES = {
     "submission_rows": f"""WITH {_BASE}, {_MANIFEST}, x AS (SELECT p.*, level, row_number() OVER (PARTITION BY p.video_id ORDER BY p.e - p.s DESC, p.s, pred_id) AS rn FROM pred p JOIN man USING (video_id))
         SELECT video_id, level, class AS class_name, CASE WHEN level > 1 THEN round(s, 6) END AS start_time_sec, CASE WHEN level > 1 THEN round(e, 6) END AS end_time_sec, round(e - s, 6) AS confidence,
           'prediction ' || pred_id || CASE WHEN pred_id % 3 = 0 THEN ' Also observed: smoke.' ELSE '' END AS explanation FROM x WHERE level > 1 OR rn = 1""",
-    "submission_problems": f"""WITH {_BASE}, {_MANIFEST}, a0 AS (SELECT DISTINCT video_id, video_id % 13 <> 0 AS has_metadata FROM pred WHERE video_id % 11 <> 3), ans AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE video_id % 17 = 0),
+    "submission_problems": f"""WITH {_BASE}, {_MANIFEST}, ans AS (SELECT DISTINCT video_id, class <> 'fire' AS has_metadata FROM pred WHERE e - s >= 6),
         ev AS (SELECT video_id, CASE WHEN pred_id % 10 = 0 THEN 'normal' ELSE class END AS class_name, CASE WHEN pred_id % 6 <> 0 THEN s END AS st, CASE WHEN pred_id % 6 <> 0 THEN CASE WHEN pred_id % 9 = 0 THEN s - 1 ELSE e END END AS en FROM pred),
         j AS (SELECT ev.*, level, duration FROM ev JOIN man USING (video_id)),
         p AS (SELECT video_id, 'more than one answer' AS problem FROM ans GROUP BY 1 HAVING count(*) > 1

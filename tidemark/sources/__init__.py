@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,17 @@ DATA_MARKS = ("train", "test")
 EVAL_MARKS = ("L1", "L2", "L3")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only on a single machine."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if told:
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def find_roots(bases: Iterable[str], marks: tuple[str, ...] = DATA_MARKS, max_depth: int = 8) -> list[str]:
     """Folders that hold one of `marks`, each once; nothing below a root is searched."""
     found: dict[str, None] = {}
@@ -55,12 +68,23 @@ def looks_like_download_page(content: Column, length: Column) -> Column:
     return (length < 2_000_000) & F.contains(head, F.lit("<!doctype html")) & F.contains(head, F.lit("google drive"))
 
 
+def stem_path(path: str) -> str:
+    """A path without the scheme of local files."""
+    return re.sub("^file:/+", "/", path)
+
+
 def read_truth(spark: SparkSession, paths: list[str], index: DataFrame | None = None) -> DataFrame:
     """Labelled intervals from CSV files: union by name, source_csv, first row of equal keys, times or null, path if an index is given."""
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:  # a plan for each header, not for each file
+        head = spark.read.text(path).limit(1).collect()
+        heads.setdefault(tuple(c.strip() for c in head[0][0].split(",")) if head else (), []).append(path)
+    order = F.create_map(*(F.lit(x) for i, path in enumerate(paths) for x in (stem_path(path), i)))
     rows = None
-    for path in paths:
-        one = spark.read.csv(path, header=True)
-        one = one.withColumns({"source_csv": F.lit(path), "_line": F.monotonically_increasing_id(), "_file": F.lit(len(path) and paths.index(path))})
+    for head, files in heads.items():
+        one = spark.read.csv(files, header=True, schema=", ".join(f"`{c}` string" for c in head) if head else "video_id string", enforceSchema=True)
+        where = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+        one = one.withColumns({"source_csv": where, "_line": F.monotonically_increasing_id(), "_file": F.coalesce(F.element_at(order, where), F.lit(len(paths)))})
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
     for c in ("start_time_sec", "end_time_sec", "level", "is_anomaly", "class_name", "description_summary"):
         if c not in rows.columns:

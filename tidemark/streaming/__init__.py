@@ -79,6 +79,15 @@ def gate(stream: DataFrame, config: Config) -> DataFrame:
     )
 
 
+def store(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Starts a query that writes each micro-batch as Parquet to a folder of its own (batch=N), so that a repeated batch replaces itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def publish(stream: DataFrame, sinks: list, checkpoint: str):
     """Starts a query that hands each micro-batch to every sink; a sink that raises is dropped and the others go on."""
     alive = list(sinks)
