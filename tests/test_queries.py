@@ -38,6 +38,15 @@ def test_query(spark, duck, data, name):
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_probe_learns_its_training_part(spark, data):
+    got = core.queries()["probe_predictions"](spark, data).collect()
+    assert len(got) == spark.read.parquet(f"{data}/embeddings.parquet").count()
+    train = [r for r in got if r["train"]]
+    assert 0.7 <= len(train) / len(got) <= 0.8
+    assert sum(r["pred"] == r["label"] for r in train) > 2 * len(train) / len({r["label"] for r in got})
+    assert all(0 <= r["anomaly"] <= 1 and (r["pred"] != 0 or r["anomaly"] < 0.95) for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests import reference
 from tidemark.config import Config
-from tidemark.operators import frames, incidents, matching, windows
+from tidemark.operators import frames, incidents, intervals, matching, windows
 
 C = Config()
 
@@ -164,3 +164,58 @@ def test_matching(spark):
     truth = spark.createDataFrame(t, "video_id long, truth_id long, class string, s double, e double")
     pred = spark.createDataFrame(p, "video_id long, pred_id long, class string, s double, e double")
     assert {(x["truth_id"], x["pred_id"]) for x in matching.match_greedy(truth, pred).collect()} == want
+
+
+def _spans(r, n, wide):
+    out = []
+    for i in range(n):
+        s = r.choice([r.uniform(0, 60), float(r.randint(0, 60))])
+        out.append((r.randint(1, 3), i, s, s + r.choice([0.0, 1.0, r.uniform(0, wide)])))
+    return out
+
+
+@pytest.mark.parametrize("width", [0.7, 8.0, 500.0])
+def test_bucket_joins_equal_all_pairs(spark, width):
+    r = random.Random(2)
+    a, b = _spans(r, 60, 20), _spans(r, 60, 5)
+    left = spark.createDataFrame(a, "video_id long, x long, s double, e double")
+    right = spark.createDataFrame(b, "video_id long, y long, ps double, pe double")
+    got = intervals.overlapping(left, right, ["video_id"], ("s", "e"), ("ps", "pe"), width)
+    assert sorted((g["x"], g["y"]) for g in got.collect()) == sorted((x, y) for v, x, s, e in a for w, y, ps, pe in b if v == w and ps < e and pe > s)
+    points = left.select("video_id", "x", F.col("s").alias("t"))
+    got = intervals.points_in(points, right, "ps", "pe", width)
+    assert sorted((g["x"], g["y"]) for g in got.collect()) == sorted((x, y) for v, x, t, _ in a for w, y, ps, pe in b if v == w and ps <= t <= pe)
+
+
+def test_nearest_takes_both_sides_and_breaks_ties(spark):
+    r = random.Random(4)
+    points = [(v, float(r.randint(0, 12)), i) for i, v in enumerate(r.choices([1, 2, 3], k=60))]
+    centres = [(v, float(c)) for v in (1, 2, 3, 4) for c in range(-1, 15)]
+    p, c = spark.createDataFrame(points, "video_id long, t double, event_id long"), spark.createDataFrame(centres, "video_id long, centre double")
+    got = {}
+    for g in intervals.nearest(p, c, 4, []).collect():
+        got.setdefault((g["video_id"], g["centre"]), set()).add(g["event_id"])
+    for v, centre in centres:
+        best = sorted((abs(t - centre), t, i) for w, t, i in points if w == v)[:4]
+        assert got.get((v, centre), set()) == {i for _, _, i in best}
+
+
+def test_percentiles_equal_sorting(spark):
+    r = random.Random(6)
+    rows = [(k, r.choice([r.uniform(-5, 5), 1.0, 1e6 * (k == 2)])) for k in (1, 2, 3) for _ in range(200)] + [(4, 2.5), (5, None)]
+    got = {g["k"]: g for g in frames.percentiles(spark.createDataFrame(rows, "k long, v double"), "v", {"a": 0.0, "b": 0.12, "c": 0.5, "d": 1.0}, ("k",), cells=16).collect()}
+    for k in (1, 2, 3, 4):
+        v = sorted(x for j, x in rows if j == k)
+        for name, p in (("a", 0.0), ("b", 0.12), ("c", 0.5), ("d", 1.0)):
+            at = p * (len(v) - 1)
+            lo = v[int(at)]
+            hi = v[min(int(at) + 1, len(v) - 1)]
+            assert got[k][name] == pytest.approx(lo + (hi - lo) * (at - int(at)))
+    assert 5 not in got
+
+
+def test_override_by_a_second_call(spark):
+    rows = [(1, "normal", 0.0, "", "fire", 0.95, "smoke", 0.7, "seen"), (2, "normal", 0.1, "first", "fire", 0.95, None, None, None), (3, "normal", 0.1, "", "fire", 0.92, "normal", 0.3, ""), (4, "smoke", 0.4, "s", "fire", 0.99, "fire", 0.9, "x"), (5, "normal", 0.1, "s", None, 0.99, None, None, None)]
+    v = spark.createDataFrame(rows, "id long, class string, confidence double, description string, probe_top string, probe_anomaly double, second_class string, second_confidence double, second_description string")
+    got = {g["id"]: (g["class"], g["confidence"], g["description"], g["probe_override"]) for g in incidents.override(v, 0.9).collect()}
+    assert got == {1: ("smoke", 0.7, "seen", True), 2: ("fire", 0.95, "first", True), 3: ("fire", 0.92, "Probe: fire", True), 4: ("smoke", 0.4, "s", False), 5: ("normal", 0.1, "s", False)}

@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,10 +19,23 @@ def test_stream_sessions_equal_the_batch_operator(spark, data):
 
 def test_centred_windows(spark, data):
     stream = model._stream(spark, data)
-    got = model._drain(spark, streaming.centred(stream, "96 hours", "24 hours", 48 * 3600), "centred", "complete")
+    got = model._drain(spark, streaming.centred(stream, "96 hours", "24 hours", 48 * 3600), "centred", "complete").collect()
+    want = {}
+    for r in spark.read.parquet(f"{data}/events.parquet").collect():
+        day = r["ts"].replace(hour=0, minute=0, second=0, microsecond=0)
+        for back in range(4):  # the four windows that hold the event, by their centres
+            want.setdefault((r["user_id"], day + timedelta(days=2 - back)), []).append(1 - r["value"] / 50)
+    mine = {(r["video_id"], r["centre"].replace(tzinfo=None)): r["health"] for r in got}
+    assert len(mine) == len(got) and mine == pytest.approx({k: sum(v) / len(v) for k, v in want.items()})
+
+
+def test_results_of_a_stream_are_files_and_repeat_themselves(spark, data, tmp_path):
+    scored = streaming.scores(model._stream(spark, data))
+    streaming.store(scored, str(tmp_path / "rows"), str(tmp_path / "state")).awaitTermination()
     n = spark.read.parquet(f"{data}/events.parquet").count()
-    assert got.count() > 0 and got.where(F.hour("centre") != 0).count() == 0
-    assert got.agg(F.sum("health")).first()[0] is not None and n > 0
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == n
+    streaming.store(scored, str(tmp_path / "rows"), str(tmp_path / "again")).awaitTermination()  # the same batch once more
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == n
 
 
 def test_fan_out_drops_dead_sinks(spark, data, tmp_path):
