@@ -61,6 +61,12 @@ def hand_out(spark: SparkSession, content: bytes, stem: str) -> str:
     return name
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
     """A session setting for the jobs that run inside; afterwards it is what it was."""
