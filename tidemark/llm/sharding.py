@@ -4,10 +4,14 @@ Every shard owns `virtual_nodes` points of a 32-bit ring; a row belongs to the a
 the next point clockwise of its key's position. No shard takes more than its capacity: rows
 that find their shard full continue clockwise to the next point whose shard has room.
 
-The plan is made for arcs, not rows: Spark counts the rows of each arc (shards x virtual_nodes
-numbers, whatever the input), the driver walks the ring once and cuts each arc's rows, in ring
-order, into segments of (shard, first slot). A row finds its segment by its rank in the arc.
-Arcs are as many as the ring's points, so raise `virtual_nodes` with the number of rows.
+The plan is made for arcs, not rows: Spark counts the rows of each arc, in bins (shards x virtual_nodes x bins
+numbers at most, whatever the input), the driver walks the ring once and cuts each arc's rows into segments of
+(shard, first slot). A row finds its segment by its rank in the arc: the rows of the bins before its own,
+and its place in its bin. So an arc that holds most rows, as of one key that is repeated or null, is many
+small sorts, not one.
+
+Load 1 makes counts equal to within one row, and pays for it in movement: rows overflow on every arc that is a
+little too full, and do so anew when a shard is added. A load of 1.25 keeps nearly all rows on their own arc.
 """
 
 from __future__ import annotations
@@ -84,35 +88,38 @@ def arc_of(position: Column, shards: int, virtual_nodes: int) -> Column:
     return found(position)
 
 
-def assign(rows: DataFrame, key: str, shards: int, virtual_nodes: int = 128, load: float = 1.0, order: tuple[str, ...] = ()) -> DataFrame:
+def assign(rows: DataFrame, key: str, shards: int, virtual_nodes: int = 128, load: float = 1.0, order: tuple[str, ...] = (), bins: int = 32) -> DataFrame:
     """`rows` with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard).
 
-    Edge cases: a null key hashes as a value of its own; rows with equal keys share an arc and are
-    ordered by the columns `order`, so a repeated key overflows to further shards like any other
-    rows; an empty table gives an empty one. Input columns named like the results (shard, slot) or
+    Edge cases: a null key hashes as a value of its own; rows with equal keys share an arc, where the columns
+    `order` deal them into bins and order them, so a repeated key overflows to further shards like any other
+    rows (rows equal in all these columns are one bin); an empty table gives an empty one. Input columns named like the results (shard, slot) or
     beginning with `_ring_` are replaced.
     """
     _, owner = ring(shards, virtual_nodes)
     position = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null"))), 32)
     # `_ring_at` comes first: with equal keys only, all other sorts decide nothing about balance
     placed = rows.withColumn("_ring_at", position).withColumn("_ring_arc", arc_of(F.col("_ring_at"), shards, virtual_nodes))
-    counts = np.zeros(len(owner), np.int64)
-    for arc, n in placed.groupBy("_ring_arc").count().collect():  # one row for each ring point at most
-        counts[arc] = n
+    placed = placed.withColumn("_ring_bin", F.pmod(F.xxhash64(key, *order), F.lit(bins)).cast("int"))
+    held = np.zeros((len(owner), bins), np.int64)
+    for arc, part, n in placed.groupBy("_ring_arc", "_ring_bin").count().collect():  # `bins` rows for each ring point at most
+        held[arc, part] = n
+    counts = held.sum(axis=1)
+    before = np.cumsum(held, axis=1) - held
     total = int(counts.sum())
     segments = plan(counts, owner, capacities(total, shards, load))
     spark = rows.sparkSession
     by_arc: dict[int, list[tuple[int, int, int]]] = {}
     for arc, rank, shard, slot in segments:
         by_arc.setdefault(arc, []).append((rank, shard, slot))
-    table = [(arc, *(list(x) for x in zip(*sorted(found), strict=True))) for arc, found in by_arc.items()]
-    cuts = F.broadcast(spark.createDataFrame(table, "_ring_arc int, _ring_from array<bigint>, _ring_to array<int>, _ring_slot array<bigint>"))
-    rank = F.row_number().over(Window.partitionBy("_ring_arc").orderBy("_ring_at", key, *order)).cast("long") - 1
-    ranked = placed.withColumn("_ring_rank", rank).join(cuts, "_ring_arc")
+    table = [(arc, before[arc].tolist(), *(list(x) for x in zip(*sorted(found), strict=True))) for arc, found in by_arc.items()]
+    cuts = F.broadcast(spark.createDataFrame(table, "_ring_arc int, _ring_before array<bigint>, _ring_from array<bigint>, _ring_to array<int>, _ring_slot array<bigint>"))
+    place = F.row_number().over(Window.partitionBy("_ring_arc", "_ring_bin").orderBy("_ring_at", key, *order)).cast("long") - 1
+    ranked = placed.withColumn("_ring_place", place).join(cuts, "_ring_arc").withColumn("_ring_rank", F.get("_ring_before", F.col("_ring_bin")) + F.col("_ring_place"))
     at = F.aggregate("_ring_from", F.lit(0), lambda n, x: n + F.when(x <= F.col("_ring_rank"), 1).otherwise(0))
     ranked = ranked.withColumn("_ring_n", at)
     return (
         ranked.withColumn("shard", F.element_at("_ring_to", F.col("_ring_n")))
         .withColumn("slot", F.element_at("_ring_slot", F.col("_ring_n")) + F.col("_ring_rank") - F.element_at("_ring_from", F.col("_ring_n")))
-        .drop("_ring_at", "_ring_arc", "_ring_rank", "_ring_n", "_ring_from", "_ring_to", "_ring_slot")
+        .drop("_ring_at", "_ring_arc", "_ring_bin", "_ring_before", "_ring_place", "_ring_rank", "_ring_n", "_ring_from", "_ring_to", "_ring_slot")
     )
