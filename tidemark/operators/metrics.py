@@ -20,6 +20,13 @@ def truth_label(rollup: DataFrame) -> DataFrame:
     return rollup.select("video_id", F.when(F.size("classes") > 0, F.array_join("classes", ", ")).otherwise("normal").alias("label"))
 
 
+def truth_labels(videos: DataFrame, rollup: DataFrame) -> DataFrame:
+    """video_id, label of every video: that of the roll-up, or that it has no truth, or that nothing has."""
+    any_truth = rollup.agg(F.count("*")).scalar() > 0
+    none = F.when(any_truth, "no ground truth").otherwise("unknown (no truth in this pack)")
+    return videos.select("video_id").join(truth_label(rollup), "video_id", "left").select("video_id", F.coalesce("label", none).alias("label"))
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """pairs: truth, said (boolean): tp, fp, fn, tn, precision, recall, f1, false_alarm_rate."""
     counts = pairs.agg(
@@ -75,6 +82,27 @@ def level_scores(scores: DataFrame) -> DataFrame:
     )
 
 
+def score_table(scores: DataFrame) -> DataFrame:
+    """level_scores of `scores` and a total row (level null): counts and marks added up, precision and recall of the sums."""
+    each = level_scores(scores)
+    found, total, fa = (F.sum(c) for c in ("found", "total", "fa"))
+    whole = each.agg(
+        F.lit(None).cast("int").alias("level"),
+        found.alias("found"),
+        total.alias("total"),
+        fa.alias("fa"),
+        (found / F.greatest(found + fa, F.lit(1))).alias("precision"),
+        (found / F.greatest(total, F.lit(1))).alias("recall"),
+        F.sum("marks").alias("marks"),
+    )
+    return each.unionByName(whole)
+
+
+def realtime(runs: DataFrame) -> DataFrame:
+    """video_id, realtime_factor of runs (video_id, duration, seconds): duration over time taken, to two places; 0 where none was taken."""
+    return runs.select("video_id", F.when(F.col("seconds") > 0, F.round(F.col("duration") / F.col("seconds"), 2)).otherwise(F.lit(0.0)).alias("realtime_factor"))
+
+
 def call_statistics(calls: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Count, total, mean, exact median and 95th percentile, maximum of elapsed_ms, to one place."""
     sums = calls.groupBy(*keys).agg(

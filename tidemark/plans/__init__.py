@@ -19,6 +19,19 @@ def durations(frames: DataFrame, tail: float = 1.0) -> DataFrame:
     return frames.groupBy("video_id").agg((F.max("t") + tail).alias("duration"))
 
 
+def timeline(incidents: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rows of a video's timeline: video_id, kind (bar, marker, band), class_name, start, length, measured.
+
+    A bar for each incident, measured or not; a marker where each of its other classes was first seen; a band
+    for each labelled interval (video_id, class, s, e).
+    """
+    none = F.lit(None)
+    bars = incidents.select("video_id", F.lit("bar").alias("kind"), "class_name", "start", (F.col("end") - F.col("start")).alias("length"), F.startswith("source", F.lit("measured")).alias("measured"))
+    tags = incidents.select("video_id", F.explode("sub_tags").alias("s")).select("video_id", F.lit("marker").alias("kind"), "s.class_name", F.col("s.first_seen_sec").alias("start"), none.cast("double").alias("length"), none.cast("boolean").alias("measured"))
+    bands = truth.where("s is not null").select("video_id", F.lit("band").alias("kind"), F.col("class").alias("class_name"), F.col("s").alias("start"), (F.col("e") - F.col("s")).alias("length"), none.cast("boolean").alias("measured"))
+    return bars.unionByName(tags).unionByName(bands)
+
+
 def measured_incidents(frames: DataFrame, verdicts: DataFrame, config: Config) -> DataFrame:
     """Incidents whose extent follows the health curve and ends with the video."""
     return incidents.incidents(verdicts, config, curves(frames), durations(frames))

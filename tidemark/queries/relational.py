@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -273,6 +275,44 @@ def gallery_time(spark, d):
     return j.select("video_id", r6(F.coalesce("mid", "first", F.col("duration") / 2)).alias("t"))
 
 
+def truth_from_csv(spark, d):
+    """Labelled intervals written as CSV with some repeated rows, read again as truth."""
+    at = _scratch(spark, "truth")
+    t = B.predicted(spark, d)
+    rows = t.select(F.col("video_id").cast("string").alias("video_id"), F.lit("2").alias("level"), F.upper((F.col("class") != "normal").cast("string")).alias("is_anomaly"), F.col("class").alias("class_name"), F.round("s", 3).cast("string").alias("start_time_sec"), F.when(F.col("class") == "fire", "later").otherwise(F.round("e", 3).cast("string")).alias("end_time_sec"))
+    rows.unionByName(rows.where("class_name = 'fire'")).write.csv(at, header=True)
+    return sources.read_truth(spark, [at]).select("video_id", "level", "is_anomaly", "class_name", r6("start_time_sec").alias("start_time_sec"), r6("end_time_sec").alias("end_time_sec"))
+
+
+def manifest_round_trip(spark, d):
+    """Users as one manifest document, written and read again."""
+    at = _scratch(spark, "manifest")
+    u = plans.durations(B.frames(spark, d)).where("duration is not null")
+    video = F.struct(F.col("video_id").cast("string").alias("video_id"), F.when(F.col("duration") > 700, 1).cast("int").alias("level"), F.when(F.col("duration") <= 700, 2).cast("int").alias("difficulty"), F.when(F.col("duration") > 710, 0.0).otherwise(F.col("duration")).alias("duration_sec"))
+    sources.write_document(u.agg(F.to_json(F.struct(F.lit("1").alias("schema_version"), F.collect_list(video).alias("videos"))).alias("document")), at)
+    return sources.read_manifest(spark, at).select("video_id", "level", r6("duration_sec").alias("duration_sec"))
+
+
+def predictions_as_json(spark, d):
+    """Predictions as JSON lines with nulls kept, and vectors as a cache, both written and read again."""
+    at = _scratch(spark, "json")
+    p = B.predicted(spark, d).select("video_id", "pred_id", F.when(F.col("class") == "fire", F.col("class")).alias("class_name"))
+    sources.write_json(p, at)
+    lines = spark.read.text(at).select(F.contains("value", F.lit('"class_name":null')).alias("kept"), F.from_json("value", p.schema).alias("r"))
+    return lines.select("r.*", "kept")
+
+
+def cache_round_trip(spark, d):
+    """Vectors written as a cache, read again and checked."""
+    at = _scratch(spark, "cache")
+    sources.write_cache(B.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.when(F.col("label") == 0, "normal").otherwise("fire").alias("label"), F.col("embedding").alias("emb")), at)
+    return sources.check_cache(spark.read.parquet(at))
+
+
+def _scratch(spark, name):
+    return f"{sources.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def seek_time(spark, d):
     """Seeking goes two units before an event, not below 0."""
     return B.predicted(spark, d).select("pred_id", r6(F.greatest(F.lit(0.0), F.col("s") - 2)).alias("seek"))
@@ -339,6 +379,10 @@ ORACLES = {
     "file_stems": r"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM pages",
     "gallery_time": f"""WITH {_TFP}, u AS (SELECT video_id, max(t) + 1 AS duration FROM frames GROUP BY 1), top AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY e - s DESC, s, pred_id) AS n FROM pred WHERE class = 'fire'),
         f AS (SELECT video_id, min(s) AS first FROM truth WHERE e - s >= 10 GROUP BY 1) SELECT u.video_id, round(coalesce((top.s + top.e) / 2, f.first, duration / 2), 6) AS t FROM u LEFT JOIN top ON top.video_id = u.video_id AND n = 1 LEFT JOIN f ON f.video_id = u.video_id""",
+    "truth_from_csv": f"WITH {_TFP} SELECT DISTINCT CAST(video_id AS VARCHAR) AS video_id, 2 AS level, class <> 'normal' AS is_anomaly, class AS class_name, round(s, 3) AS start_time_sec, CASE WHEN class <> 'fire' THEN round(e, 3) END AS end_time_sec FROM pred",
+    "manifest_round_trip": f"WITH {_TFP}, u AS (SELECT video_id, max(t) + 1 AS duration FROM frames GROUP BY 1) SELECT CAST(video_id AS VARCHAR) AS video_id, CASE WHEN duration > 700 THEN 1 ELSE 2 END AS level, CASE WHEN duration <= 710 THEN round(duration, 6) END AS duration_sec FROM u",
+    "predictions_as_json": f"WITH {_TFP} SELECT video_id, pred_id, CASE WHEN class = 'fire' THEN class END AS class_name, class <> 'fire' AS kept FROM pred",
+    "cache_round_trip": "SELECT count(*) AS rows, 0 AS bad_vectors, 0 AS unknown_labels, count(*) >= 200 AS usable FROM embeddings",
     "seek_time": f"WITH {_TFP} SELECT pred_id, round(greatest(0.0, s - 2), 6) AS seek FROM pred",
     "timeline_rows": f"""WITH {_TFP} SELECT video_id, 'predicted' AS kind, class AS class_name, round(s, 6) AS start_t, round(e - s, 6) AS length FROM pred UNION ALL SELECT video_id, 'truth', class, round(s, 6), round(e - s, 6) FROM truth""",
 }

@@ -91,6 +91,28 @@ def truth_label(spark, d):
     return me.truth_label(me.truth_rollup(_truth_rows(spark, d)))
 
 
+def truth_labels(spark, d):
+    """gt_label: a label for every document, also for those without truth."""
+    t = B.table(spark, d, "labels").join(B.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    t = t.select(F.col("doc_id").alias("video_id"), F.when(F.col("toxic") == 1, F.concat(F.lit("toxic_"), F.col("lang"))).otherwise("normal").alias("class_name"), (F.col("toxic") == 1).alias("is_anomaly"))
+    return me.truth_labels(B.table(spark, d, "documents").select(F.col("doc_id").alias("video_id")), me.truth_rollup(t))
+
+
+def score_table(spark, d):
+    """The scores of each level and their total; orders by status as levels."""
+    o = B.table(spark, d, "orders")
+    level = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    s = o.groupBy(level.alias("level")).agg(F.count_if(F.col("o_totalprice") > 300000).alias("found"), F.count("*").alias("total"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("fa"))
+    t = me.score_table(s)
+    return t.select("level", "found", "total", "fa", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("marks").alias("marks"))
+
+
+def realtime_factors(spark, d):
+    """Real-time factor of each order's lines as runs; free ones took no time."""
+    runs = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.sum("l_quantity").alias("duration"), F.sum(F.when(F.col("l_returnflag") != "A", F.col("l_quantity") * 3 + 1).otherwise(0)).alias("seconds"))
+    return me.realtime(runs)
+
+
 def confusion(spark, d):
     """A2: counts, precision, recall, F1 and false-alarm rate over videos."""
     both = me.truth_rollup(_video_truth(spark, d)).join(_video_predictions(spark, d), "video_id")
@@ -223,6 +245,12 @@ ORACLES = {
         SELECT video_id, CAST(video_id % 3 + 1 AS INT) AS level FROM lv WHERE is_normal AND video_id IN (SELECT video_id FROM pred)""",
     "truth_rollup": f"""WITH {_TR} SELECT video_id, bool_or(is_anomaly) AS is_anomaly, coalesce(string_agg(DISTINCT CASE WHEN class_name <> 'normal' THEN class_name END, ',' ORDER BY CASE WHEN class_name <> 'normal' THEN class_name END), '') AS classes FROM tr GROUP BY 1""",
     "truth_label": f"""WITH {_TR} SELECT video_id, coalesce(string_agg(DISTINCT CASE WHEN class_name <> 'normal' THEN class_name END, ', ' ORDER BY CASE WHEN class_name <> 'normal' THEN class_name END), 'normal') AS label FROM tr GROUP BY 1""",
+    "truth_labels": "SELECT doc_id AS video_id, CASE WHEN l.doc_id IS NULL THEN 'no ground truth' WHEN toxic = 1 THEN 'toxic_' || lang ELSE 'normal' END AS label FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "score_table": """WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS level, count(*) FILTER (WHERE o_totalprice > 300000) AS found, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS fa FROM orders GROUP BY 1),
+        m AS (SELECT *, CASE level WHEN 1 THEN greatest(2.0, least(25.0, 3.46 + 1.005 * found + 1.047 * ln(1 + fa))) WHEN 2 THEN greatest(2.0, least(35.0, 19.37 + 2.135 * found - 0.778 * ln(1 + fa))) ELSE greatest(2.0, least(40.0, 9.09 + 4.994 * found - 1.569 * ln(1 + fa))) END AS marks FROM s),
+        a AS (SELECT * FROM m UNION ALL SELECT NULL, CAST(sum(found) AS BIGINT), CAST(sum(total) AS BIGINT), CAST(sum(fa) AS BIGINT), sum(marks) FROM m)
+        SELECT level, found, total, fa, round(found / greatest(found + fa, 1), 6) AS precision, round(found / greatest(total, 1), 6) AS recall, round(marks, 6) AS marks FROM a""",
+    "realtime_factors": "SELECT l_orderkey AS video_id, CASE WHEN sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END) > 0 THEN round(sum(l_quantity) / sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END), 2) ELSE 0 END AS realtime_factor FROM lineitem GROUP BY 1",
     "confusion": f"""WITH {_VT}, c AS (SELECT count(*) FILTER (WHERE is_anomaly AND said_anomaly) AS tp, count(*) FILTER (WHERE NOT is_anomaly AND said_anomaly) AS fp,
           count(*) FILTER (WHERE is_anomaly AND NOT said_anomaly) AS fn, count(*) FILTER (WHERE NOT is_anomaly AND NOT said_anomaly) AS tn FROM roll JOIN said USING (video_id)),
         q AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM c)

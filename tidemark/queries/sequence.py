@@ -129,6 +129,12 @@ def probe_override(spark, d):
     return inc.override(v, 0.9).select("event_id", F.col("class").alias("class_name"), r6("confidence").alias("confidence"), "probe_override")
 
 
+def timeline(spark, d):
+    """Timeline of each video: measured incidents, their other classes, labelled bands."""
+    rows = plans.timeline(plans.measured_incidents(B.frames(spark, d), B.verdicts(spark, d), BOUND), B.truth(spark, d))
+    return rows.select("video_id", "kind", "class_name", r6("start").alias("start_t"), r6("length").alias("length"), "measured")
+
+
 def recovered_between(spark, d):
     """Whether health recovered between an error event and the next one."""
     f = B.frames(spark, d)
@@ -250,4 +256,11 @@ ORACLES = {
         SELECT class_name, count(*) AS incidents, CAST(sum(n_windows) AS BIGINT) AS windows, round(avg(peak), 6) AS mean_peak FROM tops WHERE e0 + 2 - greatest(0.0, s0 - 2) + 1e-6 >= {_LEAST} GROUP BY class_name""",
 }
 
+_EXACT = ORACLES["incidents_measured"].replace("round(s, 6) AS start_t, round(e, 6) AS end_t", "s AS start_t, e AS end_t")
+ORACLES["timeline"] = f"""WITH im AS ({_EXACT}), {B.ctes('verdicts', 'frames', 'truth')}{_CLUSTERS.format(v='verdicts')},
+    firsts AS (SELECT c.video_id, c.cluster, c.class, min(c.t0) AS t0 FROM clustered c GROUP BY 1, 2, 3)
+    SELECT video_id, 'bar' AS kind, class_name, round(start_t, 6) AS start_t, round(end_t - start_t, 6) AS length, true AS measured FROM im
+    UNION ALL SELECT f.video_id, 'marker', f.class, round(f.t0, 6), NULL, NULL FROM firsts f JOIN im ON im.video_id = f.video_id AND im.cluster = f.cluster AND im.class_name <> f.class
+    UNION ALL SELECT video_id, 'band', class, round(s, 6), round(e - s, 6), NULL FROM truth"""
+
 QUERIES = {name: globals()[name] for name in ORACLES}

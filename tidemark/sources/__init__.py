@@ -114,6 +114,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return each.select("video_id", F.coalesce("level", "difficulty").alias("level"), "domain", F.nullif("duration_sec", F.lit(0.0)).alias("duration_sec"))
 
 
+def eval_index(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """video_id, path, level, duration_sec of every file: the level of the manifest, or else the number in the name of a folder L1, L2 or L3."""
+    folder = F.nullif(F.regexp_extract("path", r"/L([123])/", 1), F.lit("")).cast("int")
+    both = index.select("video_id", "path").join(manifest.select("video_id", "level", "duration_sec"), "video_id", "left")
+    return both.select("video_id", "path", F.coalesce("level", folder).alias("level"), "duration_sec")
+
+
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
     """video_id, difference: ids on one side only, and levels that differ."""
     both = a.select("video_id", F.col("level").alias("la"), F.lit(1).alias("ina")).join(b.select("video_id", F.col("level").alias("lb"), F.lit(1).alias("inb")), "video_id", "full")
