@@ -14,9 +14,9 @@ the symmetric difference has at most T = floor((1 - t) / t * n) shingles, n the
   points are all in one component already, are left. Each node carries its first places, so that a pair
   that meets at several places is taken at the first of them.
 * Verification. Pairs that survive are decided by their whole shingle sets.
-* Large places run twice: first each point meets only the best partner in its own leaf and the next, which
-  takes time in proportion to the place, and the components of these links are formed; then the trees of
-  places that hold several components are joined in full. A group of many near copies is so joined by
+* Large places run twice: first each point meets only the best partner in its own leaf and the next, and a few
+  anchors their best partner in each cell of the place, which takes time in proportion to the place, and the
+  components of these links are formed; then the trees of places that hold several components are joined in full. A group of many near copies is so joined by
   about as many links as it has members, without losing any component. Where the number of links is
   asked for, every surviving pair is verified instead.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -45,7 +45,9 @@ FIRST = 8
 #: Points of an R-tree leaf, and boxes of a larger box.
 LEAF, FAN = 32, 8
 #: Places with more points run in two rounds; for the first they are dealt out in cells of the second size, for the other in pairs of parts of the third.
-SMALL, CELL, PART = 3, 1024, 8192
+SMALL, CELL, PART = 3, 512, 8192
+#: Points of a place that all its cells have in common, so that what is linked in each of them is linked across them.
+ANCHORS = 8
 #: Keys that a task gathers before it sends them; of those, so many with one content make it hot.
 GATHERED, HOT = 1 << 20, 4096
 #: Stands among the nodes of a key for those that were sent to its place directly.
@@ -191,19 +193,30 @@ class RTree:
         return may
 
 
-def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | None, side: np.ndarray | None, best_only: bool, place: int = 0, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(
+    n: np.ndarray,
+    x: np.ndarray,
+    percent: int,
+    label: np.ndarray | None,
+    side: np.ndarray | None,
+    best_only: bool,
+    place: int = 0,
+    places: np.ndarray | None = None,
+    anchors: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points whose bound allows a link, by a join of an R-tree of all points with itself.
 
     label: only pairs of different labels. side: only pairs with one point of side 0 and one of side 1.
-    best_only: of each point only the partner with the greatest bound for their sizes, in its leaf and the next. places: the first
-    places of each point; a pair that has one below `place` in common is left to that one.
+    best_only: of each point only the partner with the greatest bound for their sizes, in its leaf and the next, and of
+    each of the points `anchors` the best of all others. places: the first places of each point; a pair that has one
+    below `place` in common is left to that one.
     """
     x = _unbounded(x)
     order = np.lexsort((x[:, 2], x[:, 1], x[:, 0] // 2, n)) if len(n) <= LEAF else _pack_order(n, x)
     if side is not None:
         order = order[np.argsort(side[order], kind="stable")]
     n, x = n[order], x[order]
-    label, side, places = (None if v is None else v[order] for v in (label, side, places))
+    label, side, places, anchors = (None if v is None else v[order] for v in (label, side, places, anchors))
     if best_only:
         i = np.arange(-(-len(n) // LEAF))
         i, j = np.concatenate([i, i[:-1]]), np.concatenate([i, i[1:]])
@@ -243,6 +256,17 @@ def near_pairs(n: np.ndarray, x: np.ndarray, percent: int, label: np.ndarray | N
     if best_only:
         p = np.flatnonzero(mate >= 0)
         left, right = [p], [mate[p]]
+        for at in np.flatnonzero(anchors).tolist() if anchors is not None else ():
+            bound, total = np.minimum(x[at], x).sum(axis=1, dtype=np.int64), n[at] + n
+            may = (100 + percent) * bound >= percent * total
+            if places is not None:
+                may &= ~((places[:, :, None] == places[at]) & (places[:, :, None] < place)).any(axis=(1, 2))
+            may[at] = False
+            for kind in (anchors, ~anchors):
+                other = np.flatnonzero(may & kind)
+                if len(other):
+                    left.append(np.array([at]))
+                    right.append(other[[(bound[other] / total[other]).argmax()]])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return order[np.concatenate(left)], order[np.concatenate(right)]
@@ -362,7 +386,8 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
                 name = sets.node()
                 node, one = np.unique(name, return_index=True)
                 row, key = routes(sets, one[node != 0], percent)
-                held.append((key, name[row]))
+                if len(key):
+                    held.append((key, name[row]))
             if sum(len(key) for key, _ in held) >= GATHERED:
                 yield flush()
         if held:
@@ -402,7 +427,11 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
     firsts = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("place")), 1, FIRST).alias("firsts"))
     points = members.join(nodes.select("node", "n", "point").join(firsts, "node"), "node")
     cells = F.ceil(F.col("members") / CELL).cast("int")
-    lone = points.withColumn("task", F.xxhash64("place", F.pmod(F.xxhash64("node"), cells))).withColumn("side", F.lit(-1))
+    by_hash = Window.partitionBy("place").orderBy(F.xxhash64("node"), "node")
+    anchors = members.where(F.col("members") > CELL).withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= ANCHORS).select("place", "node", F.lit(True).alias("anchor"))
+    marked = points.join(anchors, ["place", "node"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
+    every = F.when(F.col("anchor"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), cells).cast("int")))
+    lone = marked.withColumn("cell", F.explode(every)).withColumn("task", F.xxhash64("place", "cell")).withColumn("side", F.lit(-1))
 
     def dealt(points: DataFrame) -> DataFrame:
         """A large place is a triangle of part pairs; each point goes to the pairs of its own part."""
@@ -424,19 +453,20 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
                 sizes = np.diff(lists.offsets.to_numpy())
                 firsts[np.arange(FIRST) < sizes[:, None]] = lists.flatten().to_numpy()
                 label = table.column("label").to_numpy() if labelled else None
+                anchor = table.column("anchor").to_numpy(zero_copy_only=False) if best_only else None
                 edges = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
                 out_a, out_b = [], []
                 for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     if z - a < 2 or (labelled and (label[a:z] == label[a]).all()):
                         continue
                     own = side[a:z]
-                    p, q = near_pairs(n[a:z], x[a:z], percent, label[a:z] if labelled else None, None if own[0] < 0 else own, best_only, place[a], firsts[a:z])
+                    p, q = near_pairs(n[a:z], x[a:z], percent, label[a:z] if labelled else None, None if own[0] < 0 else own, best_only, place[a], firsts[a:z], anchor[a:z] if best_only else None)
                     out_a.append(node[a:z][p])
                     out_b.append(node[a:z][q])
                 a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        columns = ["task", "node", "n", "point", "side", "place", "firsts", *(["label"] if labelled else [])]
+        columns = ["task", "node", "n", "point", "side", "place", "firsts", *(["label"] if labelled else []), *(["anchor"] if best_only else [])]
         spread = where.select(*columns).repartition("task").sortWithinPartitions("task", "place", "n", "node")
         return spread.mapInArrow(run, "a long, b long").distinct()
 
