@@ -76,9 +76,22 @@ def test_roots_and_index(spark, tmp_path):
     (tmp_path / "x/three/test/v1.mp4").write_bytes(b"123")
     roots = sources.find_roots([str(tmp_path)])
     assert [r.rsplit("/", 1)[1] for r in roots] == ["one", "three"]
+    assert [r.removeprefix("file:") for r in sources.find_roots([str(tmp_path)], spark=spark)] == roots
+    assert sources.find_roots([str(tmp_path)], max_depth=1) == [] and len(sources.find_roots([str(tmp_path)], max_depth=2)) == 2
     assert [(r["video_id"], r["length"]) for r in sources.video_index(spark, roots).collect()] == [("v1", 2)]
 
 
+def test_levels_of_files_and_readiness(spark):
+    index = spark.createDataFrame([("a", "/x/L1/a.mp4", 1), ("b", "/x/L3/deep/b.mp4", 1), ("c", "/x/c.mp4", 1), ("d", "/x/L2/d.mp4", 1)], "video_id string, path string, length long")
+    manifest = spark.createDataFrame([("a", 2, 5.0), ("e", 1, 1.0)], "video_id string, level int, duration_sec double")
+    assert {r["video_id"]: (r["level"], r["duration_sec"]) for r in sources.eval_index(index, manifest).collect()} == {"a": (2, 5.0), "b": (3, None), "c": (None, None), "d": (2, None)}
+    audited = sources.audit(index.select(F.lit("r").alias("root"), F.lit("fire").alias("class_name"), "length"))
+    none = spark.createDataFrame([("x", "extra")], "class_name string, difference string")
+    missing = spark.createDataFrame([("fire", "missing")], "class_name string, difference string")
+    said = [sources.data_ok(*args).first()["ok"] for args in ((audited, none, 1), (audited, missing, 1), (audited, none, 0), (audited.limit(0), none, 1), (audited, missing, 0, True), (audited.limit(0), none, 1, True))]
+    assert said == [True, False, False, False, True, False]
+
+
 def test_submission_document(spark, tmp_path):
     manifest = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "video_id string, level int")
     meta = "struct<frames_processed:bigint,chunks_processed:bigint,end_to_end_internal_time_ms:double>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,20 +30,35 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def find_roots(bases: Iterable[str], marks: tuple[str, ...] = DATA_MARKS, max_depth: int = 8) -> list[str]:
-    """Folders that hold one of `marks`, each once; nothing below a root is searched."""
+def _folders(spark: SparkSession | None, base: str) -> tuple[str, Callable[[str], list[str]]]:
+    """The full name of `base`, and a function that lists the folders in a folder: of any store that Spark reads, or of this machine."""
+    if spark is None:
+        return os.path.realpath(base), lambda folder: sorted(e.name for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def below(folder: str) -> list[str]:
+        return sorted(e.getPath().getName() for e in files.listStatus(hadoop.Path(folder)) if e.isDirectory())
+
+    return files.resolvePath(hadoop.Path(base)).toString(), below
+
+
+def find_roots(bases: Iterable[str], marks: tuple[str, ...] = DATA_MARKS, max_depth: int = 8, spark: SparkSession | None = None) -> list[str]:
+    """Folders that hold one of `marks`, each once; nothing below a root is searched, nor more than `max_depth` folders down.
+
+    With a session the folders may be in any store that Spark reads.
+    """
     found: dict[str, None] = {}
     for base in bases:
-        top = os.path.realpath(base)
-        for folder, below, _ in os.walk(top):
-            below.sort()
-            if any(m in below for m in marks):
-                found.setdefault(os.path.realpath(folder))
-                below.clear()
-            elif folder[len(top) :].count(os.sep) >= max_depth:
-                below.clear()
-            else:
-                below[:] = [d for d in below if d not in SKIPPED]
+        top, below = _folders(spark, base)
+        ahead = [(top, 0)]
+        while ahead:
+            folder, depth = ahead.pop()
+            names = below(folder)
+            if any(m in names for m in marks):
+                found.setdefault(folder)
+            elif depth < max_depth:
+                ahead += [(f"{folder}/{n}", depth + 1) for n in reversed(names) if n not in SKIPPED]
     return list(found)
 
 
@@ -133,6 +148,13 @@ def audit(files: DataFrame) -> DataFrame:
     return files.groupBy("root").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("class_name").alias("classes"))
 
 
+def data_ok(audited: DataFrame, differences: DataFrame, truth_files: int, evaluation: bool = False) -> DataFrame:
+    """One row with ok: whether a run may begin. Files and truth are there and no label is missing; to evaluate, files are enough."""
+    files = audited.agg(F.coalesce(F.sum("files"), F.lit(0))).scalar() > 0
+    whole = differences.where("difference = 'missing'").agg(F.count("*")).scalar() == 0
+    return audited.sparkSession.range(1).select((files if evaluation else files & whole & F.lit(truth_files > 0)).alias("ok"))
+
+
 def label_differences(spark: SparkSession, seen: DataFrame) -> DataFrame:
     """class_name, difference: labels of the vocabulary not seen, and labels seen that it does not have."""
     known = spark.createDataFrame([(c,) for c in CLASSES], "class_name string")
