@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,13 @@ def kept(docs: DataFrame, keep: list[str], results: list[str]) -> tuple[list[str
     return names, [column(c).alias(f"k{i}") for i, c in enumerate(names)], ", ".join(f"k{i} {t}" for i, t in enumerate(types))
 
 
+def with_text(docs: DataFrame, names: list[str], columns: list[Column]) -> tuple[list[Column], str]:
+    """`columns` and the text as a string, and its name there; a text that is kept anyway is sent to Python once, not twice."""
+    if "text" in names and docs.schema["text"].dataType.simpleString() == "string":
+        return columns, f"k{names.index('text')}"
+    return [*columns, F.col("text").cast("string").alias("text")], "text"
+
+
 def hand_out(spark: SparkSession, content: bytes, stem: str) -> str:
     """Make `content` a file on every executor; returns its name for SparkFiles.get.
 
@@ -85,14 +93,34 @@ def batches_of(spark: SparkSession, rows: int) -> contextlib.AbstractContextMana
     return setting(spark, name, min(now, rows) if now > 0 else rows)
 
 
-def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """`df` dealt into `parts` by `key` and written to the shared folder; later groupings by `key` find it so and move nothing.
+def dealt(df: DataFrame, slot: Column, parts: int, key: str) -> DataFrame:
+    """`df` with a column `key`, dealt by it into `parts` and written to the shared folder; later groupings by `key` find it so and move nothing.
 
-    Spark remembers how a checkpointed table is dealt only if it was planned without adaptive execution.
+    slot: numbers from 0 to parts - 1; each stands for a partition of its own, as its key is a number that Spark
+    sends there. Spark remembers how a checkpointed table is dealt only if it was planned without adaptive execution.
     """
-    shared_dir(df.sparkSession)
-    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
-        return df.repartition(parts, key).checkpoint()
+    spark = df.sparkSession
+    shared_dir(spark)
+    keys = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).cast("long").alias("_slot")).agg(F.min("id").alias("_key"))
+    named = df.withColumn("_slot", slot.cast("long")).join(F.broadcast(keys), "_slot", "left")  # a row for each part
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        return named.withColumn(key, F.coalesce("_key", "_slot")).drop("_slot", "_key").repartition(parts, key).checkpoint()
+
+
+def counted_only(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` with Python's cycle collector at rest: it makes no cycles, and the collector would walk all that it remembers again and again."""
+
+    @functools.wraps(run)
+    def quiet(batches: Iterator) -> Iterator:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return quiet
 
 
 def release(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ from tidemark.llm.shared import dealt, kept, release, shared_dir
 from tidemark.llm.wordhash import Words, flat, slices
 
 #: Text bytes of a chunk; numpy needs about fifty times as much for a moment.
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Text bytes whose hashes make a message from a block to a bucket, at least.
 LEAST_MESSAGE = 4096
 
@@ -206,10 +206,11 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).collect()[0][0] or 0
+    size = docs.select(F.octet_length(F.col("text").cast("string")).cast("long").alias("bytes"), F.spark_partition_id().alias("part")).agg(F.sum("bytes").alias("bytes"), F.max("part").alias("last")).collect()[0]
+    text_bytes, parts = size["bytes"] or 0, (size["last"] or 0) + 1
     side = int((text_bytes * LEAST_MESSAGE) ** 0.5)
     buckets = max(4, -(-text_bytes // max(bucket_bytes, side)))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // max(CHUNK, side)))
+    blocks = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // max(CHUNK, side))))
     names, columns, types = kept(docs, keep, ["kept", "n_words", "n_removed", "spans"])
     rows = docs.select(*columns, F.col("text").cast("string").alias("text"))
 
@@ -303,7 +304,9 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
     answer_ddl = "block long, kind int, bucket int, body binary"
     # chunks get their names and blocks here, once, and are read from the shared folder ever after
     named = rows.mapInArrow(pack, "body binary").select(F.monotonically_increasing_id().alias("chunk"), "body")
-    chunks = dealt(named.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(blocks))), min(blocks, 100_000), "block")
+    # the first chunks of all partitions, then their second ones, and so on, in turn to the blocks
+    turn = F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright("chunk", 33)
+    chunks = dealt(named, F.pmod(turn, F.lit(blocks)), blocks, "block")
     release(spark)
     by_block = chunks.groupBy("block")
     anchors = by_block.applyInArrow(probe, sent_ddl).groupBy("bucket").applyInArrow(answer(1), answer_ddl).checkpoint()
