@@ -37,11 +37,11 @@ from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 
 #: Text bytes taken at a time.
 STEP = 2 << 20
-DIMENSIONS = 128
+DIMENSIONS = 64
 #: The greatest count that a point holds: it stands for this many or more.
-MOST = np.iinfo(np.uint16).max
+MOST = np.iinfo(np.uint8).max
 #: Places by which two nodes tell whether they also meet at an earlier one.
-FIRST = 8
+FIRST = 4
 #: Points of an R-tree leaf, and boxes of a larger box.
 LEAF, FAN = 32, 8
 #: Places with more points run in two rounds; for the first they are dealt out in cells of the second size, for the other in pairs of parts of the third.
@@ -91,7 +91,7 @@ class Sets:
     def points(self) -> np.ndarray:
         """Counts of each row's shingles in the hashed groups, at most MOST."""
         cell = self.row * DIMENSIONS + (self.h % _U(DIMENSIONS)).astype(np.int64)
-        return np.minimum(np.bincount(cell, minlength=len(self.n) * DIMENSIONS), MOST).reshape(-1, DIMENSIONS).astype(np.uint16)
+        return np.minimum(np.bincount(cell, minlength=len(self.n) * DIMENSIONS), MOST).reshape(-1, DIMENSIONS).astype(np.uint8)
 
 
 def routes(sets: Sets, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +446,7 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in _runs(batches, "task"):
                 task, node, n = (table.column(c).to_numpy() for c in ("task", "node", "n"))
-                x = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
+                x = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
                 side, place = table.column("side").to_numpy(), table.column("place").to_numpy()
                 firsts = np.full((len(node), FIRST), np.iinfo(np.int64).max)
                 lists = table.column("firsts").combine_chunks()
