@@ -19,10 +19,10 @@ from tidemark.llm.shared import column, remove, shared_dir
 LEAST_SCORE = 0.3
 
 
-def _aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
-    """`docs` under names that clash with no operator's results, with the columns that the operator reads; and those names."""
-    names = [f"column_{i}" for i in range(len(docs.columns))]
-    return docs.select(*(column(c).alias(n) for n, c in zip(names, docs.columns, strict=True)), *needed), names
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` under names that clash with no operator's results, but for the text, which keeps its name; and those names."""
+    names = [c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.select(*(column(c).alias(n) for n, c in zip(names, docs.columns, strict=True))), names
 
 
 def _back(docs: DataFrame, names: list[str], changed: dict[str, Column]) -> list[Column]:
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents whose text is null or has no letter go; an empty table stays empty. Other columns may have any name.
     """
-    aside, names = _aside(docs, "text")
+    aside, names = _aside(docs)
     known = langid.predict(aside, langid.fit(docs), names)
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*_back(docs, names, {}))
 
@@ -57,7 +57,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document that consists of repeated passages stays with an empty text, and so does one whose text is null.
     n_chars is that of the new text. Other columns may have any name.
     """
-    aside, names = _aside(docs, "text")
+    aside, names = _aside(docs)
     others = [n for n, c in zip(names, docs.columns, strict=True) if c not in ("text", "n_chars")]
     done = substring.remove_repeats(aside, others, window=35, leave_clean=True)
     return done.select(*_back(docs, names, {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}))
