@@ -68,18 +68,22 @@ def _reach(spans: DataFrame, curves: DataFrame, loose: float) -> DataFrame:
         F.lit(0).alias("_kind"),
         F.coalesce(F.last(F.when(calm, F.col("_next")), True).over(forward.rowsBetween(*past)), F.first("t").over(forward.rowsBetween(Window.unboundedPreceding, 0))).alias("_lo"),
         F.coalesce(F.last(F.when(calm, F.col("_prior")), True).over(back.rowsBetween(*past)), F.first("t").over(back.rowsBetween(Window.unboundedPreceding, 0))).alias("_hi"),
-        F.lit(None).cast("long").alias("cluster"),
+        F.lit(None).cast(spans.select(F.struct("*")).schema[0].dataType).alias("_span"),
     )
     none = F.lit(None).cast("double")
-    asked = [spans.select("video_id", F.col(c).alias("_at"), F.lit(None).cast("long").alias("event_id"), F.lit(kind).alias("_kind"), none.alias("_lo"), none.alias("_hi"), "cluster") for kind, c in ((1, "s"), (2, "e"))]
-    merged = walked.unionByName(asked[0]).unionByName(asked[1])
+    # each span stands in the order of time twice, by its start and by its end, and carries its columns along
+    ends = F.array(F.struct(F.lit(1).alias("_kind"), F.col("s").alias("_at")), F.struct(F.lit(2).alias("_kind"), F.col("e").alias("_at")))
+    asked = spans.select(F.struct("*").alias("_span"), F.explode(ends).alias("_end")).select("_span.video_id", "_end._at", F.lit(None).cast("long").alias("event_id"), "_end._kind", none.alias("_lo"), none.alias("_hi"), "_span")
+    merged = walked.unionByName(asked)
     up, down = Window.partitionBy("video_id").orderBy("_at", "_kind", "event_id"), Window.partitionBy("video_id").orderBy(F.desc("_at"), "_kind", F.desc("event_id"))
     sofar, whole = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
     lo = F.coalesce(F.last("_lo", True).over(down.rowsBetween(*sofar)), F.first("_lo", True).over(down.rowsBetween(*whole)))
     hi = F.coalesce(F.last("_hi", True).over(up.rowsBetween(*sofar)), F.first("_hi", True).over(up.rowsBetween(*whole)))
     found = merged.withColumns({"_from": lo, "_to": hi}).where("_kind > 0")
-    found = found.groupBy("video_id", "cluster").agg(F.max(F.when(F.col("_kind") == 1, F.col("_from"))).alias("lo"), F.max(F.when(F.col("_kind") == 2, F.col("_to"))).alias("hi"))
-    return spans.join(found, ["video_id", "cluster"])
+    found = found.groupBy("video_id", F.col("_span.cluster").alias("cluster")).agg(
+        F.max(F.when(F.col("_kind") == 1, F.col("_from"))).alias("lo"), F.max(F.when(F.col("_kind") == 2, F.col("_to"))).alias("hi"), F.first("_span").alias("_span")
+    )
+    return found.select("_span.*", "lo", "hi")
 
 
 def extent(spans: DataFrame, curves: DataFrame | None, threshold: float, config: Config, duration: bool = False) -> DataFrame:
