@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import kept, shared_dir
+from tidemark.llm.shared import kept, shared_dir, with_text
 from tidemark.llm.wordhash import flat, slices
 
 SEGMENT = 64
@@ -28,7 +28,7 @@ TOGETHER = 4096
 #: Text bytes taken at a time.
 STEP = 2 << 20
 #: Parts of a language among which its sample is chosen first.
-SALTS = 64
+SALTS = 8
 
 
 @dataclass
@@ -212,13 +212,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep, columns, types = kept(docs, keep, ["lang_pred", "score"])
+    columns, words = with_text(docs, keep, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.labels, "und"], object)
         for batch in batches:
-            for part in slices(batch, "text", STEP):
-                text = part.column("text")
+            for part in slices(batch, words, STEP):
+                text = part.column(words)
                 segments, row = cut(*flat(text))
                 pooled = np.zeros((part.num_rows, max(1, len(model.labels))))
                 for a in range(0, len(segments), TOGETHER) if model.labels else ():
@@ -235,6 +236,5 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     [*(part.column(f"k{i}") for i in range(len(keep))), pa.array(names[best], pa.string()), pa.array(score)], [*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"]
                 )
 
-    renamed = docs.select(*columns, F.col("text").cast("string").alias("text"))
     ddl = ", ".join([*([types] if types else []), "lang_pred string, score double"])
-    return renamed.mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return docs.select(*columns).mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
