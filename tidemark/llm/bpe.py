@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import hand_out, kept, shared_dir
+from tidemark.llm.shared import counted_only, hand_out, kept, shared_dir
 from tidemark.llm.wordhash import slices
 
 #: Text bytes taken at a time.
@@ -84,6 +84,8 @@ class Vocabulary:
         Scripts whose Unicode tables differ between versions are left to the library's own normaliser
         and splitter, so that its version of the tables holds.
         """
+        if text.isascii():  # a piece has no white space that normalising would change
+            return self.words(text.lower())
         if _UNSETTLED.search(text) is None:
             return self.words(normalise(text))
         if self._library is None:
@@ -191,9 +193,11 @@ class Vocabulary:
 
     def pretokens(self, chunk: str) -> list[str]:
         """The pre-tokens of a piece without white space and special tokens."""
-        word, end = (chunk[:-1], [chunk[-1]]) if chunk[-1:] in _STOPS else (chunk, [])
-        if word.isalpha() and max(word) < _PLAIN:
-            return [word.lower(), *end]
+        if chunk.isalpha():
+            return [chunk.lower()] if chunk.isascii() or max(chunk) < _PLAIN else self._split(chunk)
+        word = chunk[:-1]
+        if chunk[-1:] in _STOPS and word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+            return [word.lower(), chunk[-1]]
         return self._split(chunk)
 
     def decode(self, ids: list[int]) -> str:
@@ -382,6 +386,7 @@ def count_words(docs: DataFrame, source: str) -> DataFrame:
     """word, n: the pre-tokens of all whole texts and how often each occurs. Each batch sends every word once."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
+    @counted_only
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared.value)
         for batch in batches:
@@ -441,6 +446,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], *, ids: bool = Fals
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     keep, kept_columns, types = kept(docs, keep, results)
 
+    @counted_only
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lexicon = _vocabulary(shared.value), _lexicon(name)
 
