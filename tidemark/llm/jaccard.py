@@ -37,7 +37,7 @@ from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 
 #: Text bytes taken at a time.
 STEP = 2 << 20
-DIMENSIONS = 64
+DIMENSIONS = 256
 #: The greatest count that a point holds: it stands for this many or more.
 MOST = np.iinfo(np.uint8).max
 #: Places by which two nodes tell whether they also meet at an earlier one.
