@@ -18,7 +18,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, data, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df = queries.queries()[name](spark, data)
     want = c.sql(queries.oracle_sql()[name])
