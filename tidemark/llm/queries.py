@@ -105,6 +105,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, share=0.8)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt behind the first turns of the one whose id is the next lower multiple of 20."""
+    from tidemark.llm.trie import prefix_trie
+
+    heads = F.pmod(F.crc32(F.encode(F.col("conv").cast("string"), "utf-8")), F.lit(4))
+    return prefix_trie(table(spark, sf_dir, "conversations"), F.col("conv") - F.col("conv") % 20, heads, most=3)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives for the five best positives of every vector whose id is divisible by 100; every seventh label is another one."""
     from tidemark.llm.negatives import mine
@@ -129,6 +137,34 @@ _ORACLES: dict[str, str] = {
         FROM d JOIN i USING (s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
     """,
+    "op11_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id, role, text, md5(strlen(role) || ':' || role || text) AS h,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS p
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+        ), c AS (
+          SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+                   lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+          FROM t GROUP BY conv_id
+        ), e AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        r AS (
+          SELECT e.conv_id, t.p AS d, t.h, t.text FROM e JOIN t ON t.conv_id = e.base AND t.p <= e.h
+          UNION ALL SELECT e.conv_id, e.head + t.p - e.h, t.h, t.text FROM e JOIN t ON t.conv_id = e.conv_id AND t.p > e.h
+        ), k AS (
+          SELECT conv_id, d, text, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS key,
+                 d = max(d) OVER (PARTITION BY conv_id) AS last FROM r
+          UNION ALL SELECT conv_id, 0, '', '', NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = e.conv_id) FROM e
+        ), n AS (
+          SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS words,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends
+          FROM k GROUP BY key, d
+        ), m AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND left(x.key, length(n.key)) = n.key) AS n_children FROM n)
+        SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+               count(*) FILTER (WHERE s.n_children = 0) AS n_leaves, sum((s.n_convs - 1) * s.words)::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+        FROM m JOIN m s ON starts_with(s.key, m.key) LEFT JOIN n q ON q.d = m.d - 1 AND q.key = left(m.key, length(m.key) - 32)
+        GROUP BY ALL
+    """,
     "op13_hard_negatives": r"""
         WITH v AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
