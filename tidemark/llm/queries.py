@@ -113,6 +113,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), F.col("conv") - F.col("conv") % 20, heads, most=3)
 
 
+def op12_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the hidden Markov model of those outside the held-out fold, beside single-word probabilities."""
+    from tidemark.llm.hmm import score
+
+    scored = score(table(spark, sf_dir, "documents"), _fold(10) != 0, ["doc_id"])
+    return scored.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives for the five best positives of every vector whose id is divisible by 100; every seventh label is another one."""
     from tidemark.llm.negatives import mine
@@ -156,7 +164,8 @@ _ORACLES: dict[str, str] = {
                  d = max(d) OVER (PARTITION BY conv_id) AS last FROM r
           UNION ALL SELECT conv_id, 0, '', '', NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = e.conv_id) FROM e
         ), n AS (
-          SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS words,
+          SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^ 	-
+]+')) AS words,
                  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends
           FROM k GROUP BY key, d
         ), m AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND left(x.key, length(n.key)) = n.key) AS n_children FROM n)
