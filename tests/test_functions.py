@@ -104,3 +104,19 @@ def test_submission_document(spark, tmp_path):
     sources.write_document(doc, str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exist"):
         sources.write_document(doc, str(tmp_path / "out"))
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+    import struct
+
+    r = random.Random(8)
+    values = [0.575, 0.565, 1.025, 2.675, 0.125, 0.375, 1.005, 0.285, -0.575, -0.125, 0.0, 1e15 + 0.5, 4503599627370497.5, 1e300, 0.5, 1.5, 2.5]
+    values += [r.randrange(10**6) / 1000 + 0.0005 for _ in range(3000)] + [r.randrange(1, 3000) / r.choice([8, 16, 40, 200, 240]) for _ in range(3000)]
+    values += [x for x in (struct.unpack("d", r.randbytes(8))[0] for _ in range(500)) if x == x and abs(x) < 1e290]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 3, 4):
+        got = [row[0] for row in df.select(fn.rounded("x", places)).collect()]
+        assert got == [round(v, places) for v in values]
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(fn.rounded("x", 2)).collect()
+    assert odd[0][0] is None and odd[1][0] == float("inf") and odd[2][0] != odd[2][0]

@@ -12,6 +12,23 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """`x` to so many decimal places as its binary value has it: the nearest, and of two equally near the even one.
+
+    A product x * 10^places that ends in one half may only be rounded to it; the product's exact error (x in two parts, each
+    short enough to be multiplied exactly) then decides. From 2^52 on there is no fraction left.
+    """
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    scale = F.lit(float(10**places))
+    product, part = x * scale, x * 134217729.0
+    high = part - (part - x)
+    error = (high * scale - product) + (x - high) * scale
+    below = F.floor(product).cast("double")
+    tie = product - below == 0.5
+    whole = F.when(tie & (error > 0), below + 1).when(tie & (error < 0), below).otherwise(F.rint(product))
+    return F.when(F.abs(product) < 2.0**52, whole / scale + 0.0).otherwise(x)
+
+
 def stem(path: Column) -> Column:
     """File name without folders and its last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")

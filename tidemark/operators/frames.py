@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
+from tidemark.functions import rounded
 
 
 def stride(source_rate: Column, target: float) -> Column:
@@ -108,7 +109,8 @@ def thresholds(frames: DataFrame, percentile: float) -> DataFrame:
     return frames.groupBy("video_id").agg(F.percentile("health", percentile).alias("threshold"))
 
 
-def escalation_rate(windows: DataFrame, frames: DataFrame) -> DataFrame:
-    """video_id, rate: frames in escalated windows over all frames, to 4 places."""
+def escalation_rate(windows: DataFrame, frames: DataFrame, places: int | None = 4) -> DataFrame:
+    """video_id, rate: frames in escalated windows over all frames, to so many places (None: as it is)."""
     inside = windows.where("source = 'escalated'").groupBy("video_id").agg(F.sum("n_frames").alias("inside"))
-    return frames.groupBy("video_id").count().join(inside, "video_id", "left").select("video_id", F.round(F.coalesce("inside", F.lit(0)) / F.greatest("count", F.lit(1)), 4).alias("rate"))
+    rate = F.coalesce("inside", F.lit(0)) / F.greatest("count", F.lit(1))
+    return frames.groupBy("video_id").count().join(inside, "video_id", "left").select("video_id", (rate if places is None else rounded(rate, places)).alias("rate"))

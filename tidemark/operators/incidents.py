@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.functions import least_duration
+from tidemark.functions import least_duration, rounded
 from tidemark.operators import intervals
 
 
@@ -27,7 +27,7 @@ def override(verdicts: DataFrame, at: float) -> DataFrame:
     return verdicts.withColumns(
         {
             "probe_override": F.coalesce(strong, F.lit(False)),
-            "confidence": F.when(strong, F.round(F.greatest(F.lit(0.5), sure), 3)).otherwise(F.col("confidence")),
+            "confidence": F.when(strong, rounded(F.greatest(F.lit(0.5), sure), 3)).otherwise(F.col("confidence")),
             "class": F.when(strong, name).otherwise(F.col("class")),
             **extra,
         }

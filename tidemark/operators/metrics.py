@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import marks
+from tidemark.functions import marks, rounded
 from tidemark.operators.frames import percentiles
 
 
@@ -98,22 +98,23 @@ def score_table(scores: DataFrame) -> DataFrame:
     return each.unionByName(whole)
 
 
-def realtime(runs: DataFrame) -> DataFrame:
-    """video_id, realtime_factor of runs (video_id, duration, seconds): duration over time taken, to two places; 0 where none was taken."""
-    return runs.select("video_id", F.when(F.col("seconds") > 0, F.round(F.col("duration") / F.col("seconds"), 2)).otherwise(F.lit(0.0)).alias("realtime_factor"))
+def realtime(runs: DataFrame, places: int | None = 2) -> DataFrame:
+    """video_id, realtime_factor of runs (video_id, duration, seconds): duration over time taken, to so many places (None: as it is); 0 where none was taken."""
+    factor = F.col("duration") / F.col("seconds")
+    return runs.select("video_id", F.when(F.col("seconds") > 0, factor if places is None else rounded(factor, places)).otherwise(F.lit(0.0)).alias("realtime_factor"))
 
 
 def call_statistics(calls: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Count, total, mean, exact median and 95th percentile, maximum of elapsed_ms, to one place."""
     sums = calls.groupBy(*keys).agg(
         F.count("*").alias("call_count"),
-        F.round(F.sum("elapsed_ms"), 1).alias("total_time_ms"),
-        F.round(F.avg("elapsed_ms"), 1).alias("average_time_ms"),
-        F.round(F.max("elapsed_ms"), 1).alias("max_time_ms"),
+        rounded(F.sum("elapsed_ms"), 1).alias("total_time_ms"),
+        rounded(F.avg("elapsed_ms"), 1).alias("average_time_ms"),
+        rounded(F.max("elapsed_ms"), 1).alias("max_time_ms"),
     )
     ranks = percentiles(calls, "elapsed_ms", {"p50": 0.5, "p95": 0.95}, keys)
     return sums.join(ranks, list(keys), "left").select(
-        *keys, "call_count", "total_time_ms", "average_time_ms", F.round("p50", 1).alias("p50_time_ms"), F.round("p95", 1).alias("p95_time_ms"), "max_time_ms"
+        *keys, "call_count", "total_time_ms", "average_time_ms", rounded("p50", 1).alias("p50_time_ms"), rounded("p95", 1).alias("p95_time_ms"), "max_time_ms"
     )
 
 

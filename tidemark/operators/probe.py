@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rounded
 from tidemark.operators import intervals, windows
 
 
@@ -61,7 +62,7 @@ def curve(frames: DataFrame, weights: DataFrame, span: float, step: float, k: in
     mean = near.select("video_id", "c", F.posexplode("emb").alias("i", "x")).groupBy("video_id", "c", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     scored = mean.groupBy("video_id", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.col("b"), lambda s, x: s + x)
-    return scored.withColumns({"w": weights.select("w").scalar(), "b": weights.select("b").scalar()}).select("video_id", F.round("c", 2).alias("t"), F.round(1 / (1 + F.exp(-score)), 4).alias("score"))
+    return scored.withColumns({"w": weights.select("w").scalar(), "b": weights.select("b").scalar()}).select("video_id", rounded("c", 2).alias("t"), rounded(1 / (1 + F.exp(-score)), 4).alias("score"))
 
 
 #: A model slot: takes and returns batches; `None` from a slot means no opinion.

@@ -107,10 +107,24 @@ def score_table(spark, d):
     return t.select("level", "found", "total", "fa", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("marks").alias("marks"))
 
 
+def _runs(spark, d):
+    """Each order's lines as a run; returned ones took no time."""
+    return B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.sum("l_quantity").alias("duration"), F.sum(F.when(F.col("l_returnflag") != "A", F.col("l_quantity") * 3 + 1).otherwise(0)).alias("seconds"))
+
+
 def realtime_factors(spark, d):
-    """Real-time factor of each order's lines as runs; free ones took no time."""
-    runs = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video_id")).agg(F.sum("l_quantity").alias("duration"), F.sum(F.when(F.col("l_returnflag") != "A", F.col("l_quantity") * 3 + 1).otherwise(0)).alias("seconds"))
-    return me.realtime(runs)
+    """Real-time factor of each order's lines as runs, rounded as its twin rounds: the product's half away from zero (`sink_rounding` has the operator's own rounding)."""
+    factor = me.realtime(_runs(spark, d), None)
+    return factor.select("video_id", (F.floor(F.col("realtime_factor") * 100 + 0.5) / 100).alias("realtime_factor"))
+
+
+def sink_rounding(spark, d):
+    """What the sinks round, as the binary value has it: real-time factors to two places, and the same to one, three and four."""
+    runs = _runs(spark, d)
+    each = me.realtime(runs, 2).withColumnRenamed("realtime_factor", "places2")
+    for places in (1, 3, 4):
+        each = each.join(me.realtime(runs, places).withColumnRenamed("realtime_factor", f"places{places}"), "video_id")
+    return each
 
 
 def confusion(spark, d):
@@ -251,6 +265,9 @@ ORACLES = {
         a AS (SELECT * FROM m UNION ALL SELECT NULL, CAST(sum(found) AS BIGINT), CAST(sum(total) AS BIGINT), CAST(sum(fa) AS BIGINT), sum(marks) FROM m)
         SELECT level, found, total, fa, round(found / greatest(found + fa, 1), 6) AS precision, round(found / greatest(total, 1), 6) AS recall, round(marks, 6) AS marks FROM a""",
     "realtime_factors": "SELECT l_orderkey AS video_id, CASE WHEN sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END) > 0 THEN round(sum(l_quantity) / sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END), 2) ELSE 0 END AS realtime_factor FROM lineitem GROUP BY 1",
+    "sink_rounding": """WITH r AS (SELECT l_orderkey AS video_id, sum(l_quantity) AS a, sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END) AS b FROM lineitem GROUP BY 1),
+        f AS (SELECT video_id, CASE WHEN b > 0 THEN a / b ELSE 0 END AS x FROM r)
+        SELECT video_id, CAST(printf('%.1f', x) AS DOUBLE) AS places1, CAST(printf('%.2f', x) AS DOUBLE) AS places2, CAST(printf('%.3f', x) AS DOUBLE) AS places3, CAST(printf('%.4f', x) AS DOUBLE) AS places4 FROM f""",
     "confusion": f"""WITH {_VT}, c AS (SELECT count(*) FILTER (WHERE is_anomaly AND said_anomaly) AS tp, count(*) FILTER (WHERE NOT is_anomaly AND said_anomaly) AS fp,
           count(*) FILTER (WHERE is_anomaly AND NOT said_anomaly) AS fn, count(*) FILTER (WHERE NOT is_anomaly AND NOT said_anomaly) AS tn FROM roll JOIN said USING (video_id)),
         q AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM c)

@@ -79,9 +79,10 @@ def video_thresholds(spark, d):
 
 
 def escalation_rate(spark, d):
-    """Share of frames in escalated windows."""
+    """Share of frames in escalated windows; rounded as its twin rounds, half up (`sink_rounding` has the operator's own rounding)."""
     f = B.frames(spark, d)
-    return fr.escalation_rate(win.summarise(win.escalations(f, FLAG, BOUND.gap), "escalated"), f)
+    rate = fr.escalation_rate(win.summarise(win.escalations(f, FLAG, BOUND.gap), "escalated"), f, None)
+    return rate.select("video_id", F.round("rate", 4).alias("rate"))
 
 
 def window_sources(spark, d):

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import Config
+from tidemark.functions import rounded
 
 
 def scores(stream: DataFrame) -> DataFrame:
     """Score messages: video_id, ts, t, health, anomaly to three places. stream: video_id, ts, t, health."""
-    return stream.select("video_id", "ts", "t", F.round("health", 3).alias("health"), F.round(1 - F.col("health"), 3).alias("anomaly"))
+    return stream.select("video_id", "ts", "t", rounded("health", 3).alias("health"), rounded(1 - F.col("health"), 3).alias("anomaly"))
 
 
 def alerts(scored: DataFrame, at: float = 0.5, verified_at: float = 0.8) -> DataFrame:
