@@ -219,3 +219,50 @@ def test_override_by_a_second_call(spark):
     v = spark.createDataFrame(rows, "id long, class string, confidence double, description string, probe_top string, probe_anomaly double, second_class string, second_confidence double, second_description string")
     got = {g["id"]: (g["class"], g["confidence"], g["description"], g["probe_override"]) for g in incidents.override(v, 0.9).collect()}
     assert got == {1: ("smoke", 0.7, "seen", True), 2: ("fire", 0.95, "first", True), 3: ("fire", 0.92, "Probe: fire", True), 4: ("smoke", 0.4, "s", False), 5: ("normal", 0.1, "s", False)}
+
+
+@pytest.mark.parametrize("kind", ["outlier", "constant", "few", "nan", "steps", "plain"])
+def test_percentiles_are_exact_wherever_values_lie(spark, kind):
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    values = {
+        "outlier": [r.random() for _ in range(4000)] + [1e15, -1e15],
+        "constant": [3.5] * 3000,
+        "few": [2.0, 1.0],
+        "nan": [r.gauss(0, 1) for _ in range(500)],
+        "steps": [float(r.choice([1, 1, 1, 2, 7])) for _ in range(3000)],
+        "plain": [r.lognormvariate(0, 3) for _ in range(5000)],
+    }[kind]
+    shares = {"a": 0.12, "b": 0.01, "c": 0.5, "d": 0.99, "e": 0.0, "f": 1.0}
+    want = {name: float(np.percentile(values, 100 * s)) for name, s in shares.items()}
+    rows = spark.createDataFrame([("k", v) for v in values] + [("k", None), ("none", None), ("one", 4.0)], "key string, x double").repartition(3)
+    got = {row["key"]: row.asDict() for row in frames.percentiles(rows, "x", shares, ("key",)).collect()}
+    assert set(got) == {"k", "one"} and set(got["one"].values()) == {"one", 4.0}
+    assert all(got["k"][name] == pytest.approx(want[name], rel=1e-12, abs=1e-12) for name in shares)
+    single = frames.percentiles(rows.where("key = 'k'"), "x", shares).first()
+    assert all(single[name] == pytest.approx(want[name], rel=1e-12, abs=1e-12) for name in shares)
+
+
+def test_percentiles_order_few_of_the_values(spark):
+    """One value of 10^15 among many leaves the cells narrow: what is ordered is a small part."""
+    rows = spark.range(200_000).select((F.when(F.col("id") == 7, 1e15).otherwise(F.xxhash64("id") / 2.0**63)).alias("x"))
+    df = frames.percentiles(rows, "x", {"m": 0.5, "p": 0.12})
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and df.first()["m"] == rows.agg(F.percentile("x", 0.5)).first()[0]
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "x double")
+    assert frames.percentiles(nan, "x", {"m": 0.5, "low": 0.0}).first().asDict() == {"m": 2.0, "low": 1.0}
+    assert frames.percentiles(nan.limit(0), "x", {"m": 0.5}).collect() == []
+
+
+def test_calibration_takes_the_first_normal_videos(spark):
+    truth = spark.createDataFrame([(5, "normal", "p"), (3, "normal", "p"), (3, "normal", "q"), (1, "fire", "p"), (2, "normal", None), (9, "normal", "p")], "video_id long, class_name string, path string")
+    chosen = frames.normal_videos(truth, 2)
+    assert sorted(r["video_id"] for r in chosen.collect()) == [3, 5]
+    rows = spark.createDataFrame([(3, 1.0), (5, 3.0), (9, 100.0), (1, -5.0)], "video_id long, health double")
+    c = frames.calibrate(rows, 0.5, chosen).first()
+    assert (c["threshold"], c["mean"]) == (2.0, 2.0)
+    assert frames.calibrate(rows, 0.5, frames.normal_videos(truth.limit(0))).collect() == []

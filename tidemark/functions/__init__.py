@@ -66,6 +66,19 @@ def parse_reply(text: Column) -> Column:
     return F.when(good, read).otherwise(rescued)
 
 
+def parse_choice(text: Column) -> Column:
+    """struct(primary, confidence, reason) of an adjudicator's reply, its outermost {...} as JSON; null where that is not an object or names no anomaly class.
+
+    confidence is 0.5 where none is given, and the whole reply is void where it is no number.
+    """
+    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    got = F.from_json(body, "primary STRING, confidence STRING, reason STRING, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    whole = (body != "") & F.try_parse_json(F.concat(F.lit('{"v": '), body, F.lit("}"))).isNotNull() & got["_bad"].isNull()
+    named, number = F.trim(got["primary"]), F.coalesce(got["confidence"], F.lit("0.5")).try_cast("double")
+    choice = F.struct(named.alias("primary"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).alias("confidence"), F.substring(F.coalesce(got["reason"], F.lit("")), 1, 200).alias("reason"))
+    return F.when(whole & named.isin(CLASSES[1:]) & number.isNotNull(), choice)
+
+
 def interval_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Overlap over hull of two intervals; 0 where the hull is empty."""
     hull = F.greatest(a1, b1) - F.least(a0, b0)

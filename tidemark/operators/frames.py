@@ -66,39 +66,58 @@ def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:
     return frames.select("video_id", "event_id", "t", "motion").groupBy("video_id").applyInPandas(run, "video_id long, event_id long, t double, motion double, why string")
 
 
-def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = (), cells: int = 4096) -> DataFrame:
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = (), cells: int = 256) -> DataFrame:
     """One row for each of `keys` with the exact percentiles (linear between ranks) of `column` under the names of `shares`.
 
-    The values are counted in `cells` equal cells of their range; only the values of the cells that hold a wanted rank
-    are put in order. No task holds a group's values. Nulls do not count.
+    A quantile sketch of each group, summed up from partial ones, gives two borders around each wanted rank, one part in `cells` of the
+    ranks below and above it. The cells between borders are counted exactly, and equal values are counted, not ranked; only the different
+    values of cells that hold a wanted rank are put in order: a part in cells / 2 of a group's, wherever they lie. If a border were wrong, the next
+    cell would hold the rank and be ordered: the result is exact in any case. Nulls do not count, NaN comes last.
     """
     rows = rows.select(*keys, F.col(column).cast("double").alias("x")).where("x is not null")
-    if not keys:
-        rows, keys, single = rows.withColumn("_all", F.lit(0)), ("_all",), True
-    else:
-        single = False
-    range_ = rows.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n"))
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(cells - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * cells))).otherwise(F.lit(0)).cast("long")
-    celled = rows.join(F.broadcast(range_) if single else range_, list(keys)).select(*keys, "x", "n", cell.alias("cell"))
-    upto = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    held = celled.groupBy(*keys, "n", "cell").agg(F.count("*").alias("m")).withColumn("end", F.sum("m").over(upto)).withColumn("begin", F.col("end") - F.col("m"))
-    at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.floor(x).cast("long").alias("rank"), (x - F.floor(x)).alias("part")) for name, x in at.items()))
-    ranks = held.select(*keys, "cell", "begin", "end", F.explode(wanted).alias("w")).select(*keys, "cell", "begin", "end", "w.*")
+    single = not keys
+    if single:
+        rows, keys = rows.withColumn("_all", F.lit(0)), ("_all",)
+    around = sorted({min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-1 / cells, 1 / cells)})
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan("x"), F.col("x")), F.lit(4096))
+    borders = rows.groupBy(*keys).agg(sketch.alias("_s"), F.count("*").alias("n"), F.count_if(~F.isnan("x")).alias("_m"))
+    borders = borders.select(*keys, "n", F.when(F.col("_m") > 0, F.kll_sketch_get_quantile_double("_s", F.array(*map(F.lit, around)))).alias("_b"))
+    # the number of borders below a value is its cell; a cell is known by its borders from here on, as another sketch has others
+    below = [F.coalesce((F.col("x") > F.get("_b", F.lit(i))).cast("int"), F.lit(0)) for i in range(len(around))]
+    celled = rows.join(F.broadcast(borders) if single else borders, list(keys)).withColumn("cell", sum(below[1:], below[0]))
+    cell = [*keys, "n", "cell", F.get("_b", F.col("cell") - 1).alias("lo"), F.get("_b", F.col("cell")).alias("hi")]
+    sofar = (Window.unboundedPreceding, 0)
+    held = celled.select(*cell).groupBy(*keys, "n", "cell", "lo", "hi").agg(F.count("*").alias("m"))
+    held = held.withColumn("end", F.sum("m").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(*sofar))).withColumn("begin", F.col("end") - F.col("m"))
     # a value between two ranks needs both; they may lie in two cells
-    ends = ranks.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.col("rank") + F.col("turn"))
-    hit = ends.where((F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("end"))).select(*keys, "cell", "name", "part", "turn", (F.col("rank") - F.col("begin") + 1).alias("place"))
-    inside = celled.join(hit.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
-    ordered = inside.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("x")).cast("long"))
-    found = hit.join(ordered.select(*keys, "cell", "place", "x"), [*keys, "cell", "place"])
-    values = found.groupBy(*keys, "name", "part").agg(F.max(F.when(F.col("turn") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("x"))).alias("b"))
+    at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
+    wanted = [F.struct(F.lit(name).alias("name"), (x - F.floor(x)).alias("part"), F.lit(turn).alias("turn"), (F.floor(x).cast("long") + turn).alias("rank")) for name, x in at.items() for turn in (0, 1)]
+    held = held.withColumn("wanted", F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("begin")) & (w["rank"] < F.col("end")))).where(F.size("wanted") > 0)
+    asked = held.select(*keys, "cell", "lo", "hi", "begin", "wanted")
+    inside = rows.join(F.broadcast(asked) if single else asked, list(keys)).where((F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
+    counted = inside.groupBy(*keys, "cell", "x").agg(F.count("*").alias("m"), F.max("begin").alias("begin"), F.first("wanted").alias("wanted"))
+    upto = F.col("begin") + F.sum("m").over(Window.partitionBy(*keys, "cell").orderBy("x").rowsBetween(*sofar))
+    ordered = counted.withColumn("to", upto).withColumn("from", F.col("to") - F.col("m"))
+    found = ordered.select(*keys, "x", "from", "to", F.explode("wanted").alias("w")).where((F.col("w.rank") >= F.col("from")) & (F.col("w.rank") < F.col("to")))
+    values = found.groupBy(*keys, F.col("w.name").alias("name"), F.col("w.part").alias("part")).agg(F.max(F.when(F.col("w.turn") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("w.turn") == 1, F.col("x"))).alias("b"))
     value = F.when((F.col("part") == 0) | F.col("b").isNull(), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
     out = values.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares))
     return out.drop("_all") if single else out
 
 
-def calibrate(frames: DataFrame, percentile: float) -> DataFrame:
-    """One row: exact threshold at `percentile` (linear), mean, 1st and 50th and 99th percentile of health."""
+def normal_videos(truth: DataFrame, n: int = 12, order: str = "video_id") -> DataFrame:
+    """video_id: the first n different videos, by `order`, that have a label normal and a path; truth: video_id, class_name, path."""
+    normal = truth.where("class_name = 'normal' AND path IS NOT NULL AND video_id IS NOT NULL")
+    return normal.groupBy("video_id").agg(F.min(order).alias("_first")).orderBy("_first", "video_id").limit(n).select("video_id")
+
+
+def calibrate(frames: DataFrame, percentile: float, videos: DataFrame | None = None) -> DataFrame:
+    """One row: exact threshold at `percentile` (linear), mean, 1st and 50th and 99th percentile of health; of the frames of `videos` only, where given.
+
+    Without frames there is no row, and the threshold stays as it was.
+    """
+    if videos is not None:
+        frames = frames.join(videos.select("video_id"), "video_id", "left_semi")
     ranks = percentiles(frames, "health", {"threshold": percentile, "p1": 0.01, "p50": 0.5, "p99": 0.99})
     mean = frames.agg(F.avg("health").alias("mean"))
     return ranks.withColumn("_one", F.lit(1)).join(F.broadcast(mean.withColumn("_one", F.lit(1))), "_one").select("threshold", "mean", "p1", "p50", "p99")

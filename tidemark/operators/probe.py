@@ -77,7 +77,7 @@ def embed(rows: DataFrame, encoder: Encoder, column: str = "payload") -> DataFra
         for batch in batches:
             yield encoder(batch)
 
-    return rows.withColumn("emb", run(F.col(column)))
+    return rows.withColumn("emb", run.asNondeterministic()(F.col(column)))  # so that no later filter calls the model again
 
 
 def verify(windows: DataFrame, verifier: Callable[[pd.DataFrame], pd.Series], columns: list[str]) -> DataFrame:
@@ -87,4 +87,4 @@ def verify(windows: DataFrame, verifier: Callable[[pd.DataFrame], pd.Series], co
     def run(rows: pd.DataFrame) -> pd.Series:
         return verifier(rows)
 
-    return windows.withColumn("reply", run(F.struct(*columns))).where("reply is not null")
+    return windows.withColumn("reply", run.asNondeterministic()(F.struct(*columns))).where("reply is not null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import bindings as B
@@ -59,6 +60,34 @@ def capped_sample(spark, d):
     return probe.capped_sample(B.table(spark, d, "embeddings"), "label", "vec_id", 30).select("label", "vec_id")
 
 
+def training_rows(spark, d):
+    """Clips of five vectors, labelled by their smallest class; those of documents of low quality are disputed; at most twelve of each class, pooled."""
+    from tidemark.operators import training
+
+    e = B.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("video_id"), F.col("vec_id").alias("event_id"), F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("emb"), "label")
+    clips = e.groupBy("video_id").agg(F.concat(F.lit("class"), F.min("label").cast("string")).alias("class_name"), F.when(F.max("label") < 9, F.lit("clip")).alias("path"))
+    disputed = B.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("video_id"))
+    rows = training.training_rows(clips, disputed, e.drop("label"), 12, 3)
+    return rows.select("video_id", "class_name", "n_frames", F.posexplode("emb").alias("pos", "x")).select("video_id", "class_name", "n_frames", "pos", r6("x").alias("x"))
+
+
+def resident_encoder(spark, d):
+    """M8, M1: an encoder loaded once in each worker, from a file made of its content: a projection of every vector to eight places."""
+    import numpy as np
+
+    from tidemark.operators import slots
+
+    weights = np.array([[(i * 7 + j * 3) % 5 - 2 for j in range(8)] for i in range(64)], "<f8")
+
+    def load(content: bytes):
+        matrix = np.frombuffer(content, "<f8").reshape(64, 8)
+        return lambda vectors: pd.Series(list(np.stack(vectors.to_list()).astype(np.float64) @ matrix))
+
+    encoder = slots.Resident(spark, weights.tobytes(), load, "encoder")
+    e = probe.embed(B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("payload")), encoder)
+    return e.select("vec_id", F.posexplode(F.col("emb").cast("array<double>")).alias("pos", "x")).select("vec_id", "pos", F.round("x", 3).alias("x"))
+
+
 def stratified_split(spark, d):
     """A 75 / 25 split of each label, by hash."""
     return probe.split(B.table(spark, d, "embeddings"), "label", "vec_id").select("label", "vec_id", "train")
@@ -201,6 +230,17 @@ def stream_gate(spark, d):
     return g.select("video_id", "event_id", r6("t").alias("t"), r6("motion").alias("motion"), "why")
 
 
+def moving_region(spark, d):
+    """The largest moving region between neighbouring vectors of a label, read as frames of 8 x 8 cells."""
+    from tidemark.operators import regions
+
+    e = B.table(spark, d, "embeddings")
+    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    frames = e.select("vec_id", "embedding", before.alias("before")).where("before IS NOT NULL")
+    frames = frames.select("vec_id", F.zip_with("embedding", "before", lambda a, b: F.abs(a.cast("double") - b.cast("double"))).alias("diff"))
+    return regions.moving_regions(frames, 8, 8, threshold=0.28, reach=1, least=12).select("vec_id", "box.*")
+
+
 _SIM = "list_sum(list_transform(list_zip(f.embedding::DOUBLE[], r.embedding::DOUBLE[]), lambda p: p[1] * p[2]))"
 
 ORACLES = {
@@ -217,6 +257,13 @@ ORACLES = {
         SELECT video_id, round(c, 2) AS t, round(1 / (1 + exp(-(0.25 + sum(x * (i % 5 - 2))))), 4) AS score FROM m GROUP BY video_id, c""",
     "probe_anomaly": "SELECT event_id, CASE WHEN value >= 5 THEN round(1 - 50.0 / (value + 60), 6) ELSE 0 END AS anomaly, CASE WHEN value >= 10 THEN 1 WHEN value >= 5 THEN 2 END AS top FROM events",
     "capped_sample": "SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':0'), vec_id) <= 30",
+    "training_rows": """WITH e AS (SELECT CAST(floor(vec_id / 5) AS BIGINT) AS video_id, vec_id, embedding, label FROM embeddings),
+        c AS (SELECT video_id, 'class' || min(label) AS class_name FROM e WHERE video_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY 1 HAVING max(label) < 9),
+        k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY md5(video_id || ':0'), video_id) <= 12),
+        f AS (SELECT e.*, k.class_name, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY vec_id) - 1 AS i FROM e JOIN k USING (video_id)),
+        p AS (SELECT * FROM f WHERE n <= 3 OR i IN (0, CAST(round_even((n - 1) / 2.0, 0) AS BIGINT), n - 1))
+        SELECT video_id, class_name, least(any_value(n), 3) AS n_frames, CAST(j AS INT) AS pos, round(avg(embedding[j + 1]::DOUBLE), 6) AS x FROM p, range(0, 64) r(j) GROUP BY video_id, class_name, j""",
+    "resident_encoder": "SELECT vec_id, CAST(j AS INT) AS pos, round(sum(embedding[i + 1]::DOUBLE * ((i * 7 + j * 3) % 5 - 2)), 3) AS x FROM embeddings, range(0, 64) a(i), range(0, 8) b(j) GROUP BY 1, 2",
     "stratified_split": "SELECT label, vec_id, percent_rank() OVER (PARTITION BY label ORDER BY md5(vec_id || ':0'), vec_id) < 0.75 AS train FROM embeddings",
     "verified_windows": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'traffic_accident' WHEN 1 THEN 'fire' WHEN 2 THEN 'traffic_congestion' ELSE 'normal' END AS class_name FROM events WHERE event_id % 10 <> 9",
     "encoded_frames": "SELECT p_partkey, CAST(i AS INT) AS pos, CAST(len(p_name) - len(replace(p_name, substr('aeiou', i + 1, 1), '')) AS DOUBLE) AS x FROM part, range(0, 5) r(i)",
@@ -245,6 +292,21 @@ ORACLES = {
         SELECT video_id, win, round(t0, 6) AS t0, round(t1, 6) AS t1, n_frames, picked, round(health, 6) AS health, CASE WHEN o AND e % 3 = 0 THEN 'smoke' WHEN o THEN 'fire' ELSE c END AS class_name,
           round(CASE WHEN o THEN round(greatest(0.5, CASE WHEN e % 3 = 0 THEN least(0.95, (e % 100) / 100.0) ELSE (e % 100) / 100.0 END), 3) ELSE CASE e % 4 WHEN 0 THEN round(conf, 3) WHEN 1 THEN 1.0 WHEN 2 THEN 0.4 ELSE 0.0 END END, 6) AS confidence,
           CASE WHEN o AND e % 3 = 0 THEN 'second look' ELSE d END AS description, o AS probe_override FROM o""",
+    "moving_region": """WITH RECURSIVE d AS (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+        hot AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM d, range(0, 64) r(i) WHERE before IS NOT NULL AND abs(embedding[i + 1]::DOUBLE - before[i + 1]::DOUBLE) > 0.28),
+        cell AS (SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM hot, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7),
+        reach AS (SELECT vec_id, y * 8 + x AS root, y, x FROM cell UNION SELECT r.vec_id, r.root, c.y, c.x FROM reach r JOIN cell c ON c.vec_id = r.vec_id AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1),
+        region AS (SELECT vec_id, y, x, min(root) AS id FROM reach GROUP BY 1, 2, 3),
+        box AS (SELECT vec_id, id, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM region GROUP BY 1, 2),
+        air AS (SELECT vec_id, id, -1 AS y, -1 AS x FROM box
+          UNION SELECT a.vec_id, a.id, a.y + s.dy, a.x + s.dx FROM air a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx)
+          WHERE a.y + s.dy BETWEEN -1 AND 8 AND a.x + s.dx BETWEEN -1 AND 8
+            AND NOT EXISTS (SELECT 1 FROM region g WHERE g.vec_id = a.vec_id AND g.id = a.id AND g.y = a.y + s.dy AND g.x = a.x + s.dx)),
+        filled AS (SELECT vec_id, id, y, x FROM box, range(0, 8) p(y), range(0, 8) q(x) WHERE NOT EXISTS (SELECT 1 FROM air a WHERE a.vec_id = box.vec_id AND a.id = box.id AND a.y = p.y AND a.x = q.x)),
+        corner AS (SELECT vec_id, id, y - dy AS sy, x - dx AS sx, count(*) AS n FROM filled, range(0, 2) a(dy), range(0, 2) b(dx) GROUP BY 1, 2, 3, 4),
+        area AS (SELECT vec_id, id, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END) AS area FROM corner GROUP BY 1, 2),
+        best AS (SELECT * FROM box JOIN area USING (vec_id, id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, y0, x0, w, h) = 1)
+        SELECT d.vec_id, CAST(x0 AS INT) AS x, CAST(y0 AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h FROM d LEFT JOIN best b ON b.vec_id = d.vec_id AND b.w * b.h >= 12 WHERE before IS NOT NULL""",
     "stream_centred": """WITH w AS (SELECT user_id AS video_id, value, time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(24 * CAST(j AS INT)) AS s FROM events, range(0, 4) r(j))
         SELECT video_id, strftime(s + INTERVAL 48 HOURS, '%Y-%m-%d %H') AS centre, round(avg(1 - value / 50), 6) AS health FROM w GROUP BY 1, 2""",
     "stream_alerts": f"WITH {B.ctes('frames')} SELECT video_id, round(t, 6) AS t, round(1 - health, 3) AS anomaly, CASE WHEN round(1 - health, 3) > 0.8 THEN 'vlm' ELSE 'filter' END AS stage FROM frames WHERE round(1 - round(health, 15), 3) > 0.5",

@@ -73,6 +73,13 @@ def calibration(spark, d):
     return c.select(*(r6(x).alias(x) for x in c.columns))
 
 
+def calibration_normal(spark, d):
+    """The same over the first twelve users with a normal event of more than 100 as their normal videos."""
+    truth = B.verdicts(spark, d).select("video_id", F.col("class").alias("class_name"), F.when(F.col("health") < -1, F.col("description")).alias("path"))
+    c = fr.calibrate(B.frames(spark, d), BOUND.health_percentile, fr.normal_videos(truth))
+    return c.select(*(r6(x).alias(x) for x in c.columns))
+
+
 def video_thresholds(spark, d):
     """A10: each video's own percentile."""
     return fr.thresholds(B.frames(spark, d), BOUND.health_percentile).select("video_id", r6("threshold").alias("threshold"))
@@ -104,6 +111,33 @@ def incidents(spark, d):
     )
 
 
+def adjudicated_incidents(spark, d):
+    """Incidents whose primary class a slot decides where there are several; it names the last by letters, and fails on every fifth number of windows."""
+    from tidemark.operators import slots
+
+    def slot(items):
+        if any(sum(i["n"]) % 5 == 0 for i in items):
+            raise RuntimeError("no answer")
+        return [f'I say {{"primary": "{max(i["class"])}", "confidence": 0.75, "reason": "{len(i["class"])} seen"}}' for i in items]
+
+    v = B.verdicts(spark, d)
+    i = inc.incidents(v, BOUND, adjudicated=slots.adjudicate(v, slot))
+    return i.select("video_id", "cluster", "class_name", r6("start").alias("start_t"), r6("end").alias("end_t"), r6("confidence").alias("confidence"), r6("peak").alias("peak"), "n_windows", "reason", F.size("sub_tags").alias("n_tags"))
+
+
+def picked_overrides(spark, d):
+    """The probe's overrides, each with a second call that picks among its likeliest classes, or has no opinion."""
+    from tidemark.operators import slots
+
+    def slot(items):
+        return [None if i["event_id"] % 3 == 0 else f'{{"class": "{sorted(i["options"])[0]}", "confidence": 0.8, "description": "picked"}}' for i in items]
+
+    e = F.col("event_id")
+    options = F.when(e % 4 == 0, F.array(F.lit("normal"))).when(e % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("smoke"), F.lit("road_spill_or_debris")))
+    v = B.verdicts(spark, d).withColumns({"probe_top": F.when(e % 5 != 0, "fire"), "probe_anomaly": (e % 100) / 100.0, "options": options})
+    return inc.override(slots.pick(v, slot, 0.5), 0.5).select("event_id", F.col("class").alias("class_name"), r6("confidence").alias("confidence"), "description", "probe_override")
+
+
 def incidents_measured(spark, d):
     """Extents along the health curve, clamped to the video."""
     i = plans.measured_incidents(B.frames(spark, d), B.verdicts(spark, d), BOUND)
@@ -218,6 +252,9 @@ ORACLES = {
         SELECT video_id, centre_id, event_id FROM near WHERE n >= 2 AND (n <= 8 OR list_contains(list_transform(range(0, 8), lambda j: CAST(round_even(j * (n - 1) / 7.0, 0) AS BIGINT)), i))""",
     "calibration": f"""WITH {B.ctes('frames')} SELECT round(quantile_cont(health, 0.12), 6) AS threshold, round(avg(health), 6) AS mean, round(quantile_cont(health, 0.01), 6) AS p1,
         round(quantile_cont(health, 0.5), 6) AS p50, round(quantile_cont(health, 0.99), 6) AS p99 FROM frames""",
+    "calibration_normal": f"""WITH {B.ctes('frames', 'verdicts')}, v AS (SELECT DISTINCT video_id FROM verdicts WHERE class = 'normal' AND health < -1 ORDER BY video_id LIMIT 12)
+        SELECT round(quantile_cont(health, 0.12), 6) AS threshold, round(avg(health), 6) AS mean, round(quantile_cont(health, 0.01), 6) AS p1,
+        round(quantile_cont(health, 0.5), 6) AS p50, round(quantile_cont(health, 0.99), 6) AS p99 FROM frames JOIN v USING (video_id)""",
     "video_thresholds": f"WITH {B.ctes('frames')} SELECT video_id, round(quantile_cont(health, 0.12), 6) AS threshold FROM frames GROUP BY video_id",
     "escalation_rate": f"""WITH {B.ctes('frames')} SELECT video_id, round(count(*) FILTER (WHERE health < 0) / count(*), 4) AS rate FROM frames GROUP BY video_id""",
     "clusters": f"WITH {B.ctes('verdicts')}{_CLUSTERS.format(v='verdicts')} SELECT video_id, event_id, class AS class_name, cluster FROM clustered",
@@ -225,6 +262,17 @@ ORACLES = {
         SELECT video_id, cluster, class_name, round(greatest(0.0, s0 - 2), 6) AS start_t, round(e0 + 2, 6) AS end_t, round(confidence, 6) AS confidence, round(peak, 6) AS peak, n_windows,
           'windows' AS source, 'highest confidence' AS reason, description, CAST(classes - 1 AS INT) AS n_tags
         FROM tops WHERE e0 + 2 - greatest(0.0, s0 - 2) + 1e-6 >= {_LEAST}""",
+    "adjudicated_incidents": f"""WITH {B.ctes('verdicts')}{_CLUSTERS.format(v='verdicts')},
+        asked AS (SELECT video_id, cluster, max(class) AS said FROM clustered GROUP BY 1, 2 HAVING count(DISTINCT class) > 1 AND count(*) % 5 <> 0),
+        d AS (SELECT t.* EXCLUDE (class_name, peak), coalesce(a.said, t.class_name) AS class_name, CASE WHEN a.said IS NULL THEN peak ELSE greatest(peak, 0.75) END AS peak,
+          CASE WHEN a.said IS NULL THEN 'highest confidence' ELSE classes || ' seen' END AS reason FROM tops t LEFT JOIN asked a USING (video_id, cluster))
+        SELECT video_id, cluster, class_name, round(greatest(0.0, s0 - 2), 6) AS start_t, round(e0 + 2, 6) AS end_t, round(confidence, 6) AS confidence, round(peak, 6) AS peak, n_windows, reason, CAST(classes - 1 AS INT) AS n_tags
+        FROM d WHERE e0 + 2 - greatest(0.0, s0 - 2) + 1e-6 >= {_LEAST}""",
+    "picked_overrides": f"""WITH {B.ctes('verdicts')}, p AS (SELECT *, class = 'normal' AND event_id % 5 <> 0 AND (event_id % 100) / 100.0 >= 0.5 AS o FROM verdicts),
+        q AS (SELECT *, o AND event_id % 3 <> 0 AND event_id % 4 >= 2 AS again FROM p)
+        SELECT event_id, CASE WHEN again THEN 'road_spill_or_debris' WHEN o THEN 'fire' ELSE class END AS class_name,
+          round(CASE WHEN o THEN round(greatest(0.5, CASE WHEN again THEN least(0.8, (event_id % 100) / 100.0) ELSE (event_id % 100) / 100.0 END), 3) ELSE confidence END, 6) AS confidence,
+          CASE WHEN again THEN 'picked' ELSE description END AS description, o AS probe_override FROM q""",
     "incidents_measured": f"""WITH {B.ctes('verdicts', 'frames')}{_CLUSTERS.format(v='verdicts')}, curve AS (
           SELECT video_id, t, health, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n, max(t) OVER (PARTITION BY video_id) + 1 AS duration FROM frames
         ), ends AS (
