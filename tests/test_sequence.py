@@ -266,3 +266,63 @@ def test_calibration_takes_the_first_normal_videos(spark):
     c = frames.calibrate(rows, 0.5, chosen).first()
     assert (c["threshold"], c["mean"]) == (2.0, 2.0)
     assert frames.calibrate(rows, 0.5, frames.normal_videos(truth.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("rounds", [8, 0, 1])
+def test_matching_by_rounds_and_by_reading_are_the_sequential_rule(spark, rounds):
+    r = random.Random(11)
+    truth, pred, want = [], [], set()
+    for video in range(12):
+        n, span = r.randint(1, 40), r.choice([5, 40, 400])
+        t = sorted((round(r.uniform(0, span), 1), i) for i in range(n))
+        t = [(1000 * video + i, s, s + r.choice([2.0, 3.0, 5.0])) for s, i in t]
+        p = [(1000 * video + i, s + r.choice([0, 0.2, -0.4, 1.0]), e + r.choice([0, 0.2, 1.0])) for i, (_, s, e) in enumerate(t) for _ in range(r.randint(0, 2))]
+        p = [(1000 * video + j, s, e) for j, (_, s, e) in enumerate(sorted(p, key=lambda x: x[1]))]
+        t.sort(key=lambda x: (x[1], x[0]))
+        want |= {(video, a, b) for a, b in reference.greedy(t, p)}
+        truth += [(video, i, "fire", s, e) for i, s, e in t]
+        pred += [(video, i, "fire", s, e) for i, s, e in p]
+    a = spark.createDataFrame(truth, "video_id long, truth_id long, class string, s double, e double").repartition(3)
+    b = spark.createDataFrame(pred, "video_id long, pred_id long, class string, s double, e double").repartition(3)
+    got = matching.match_greedy(a, b, rounds=rounds)
+    assert {(g["video_id"], g["truth_id"], g["pred_id"]) for g in got.collect()} == want and got.count() == len(want) > 60
+
+
+def test_a_long_chain_of_displaced_truths_ends(spark):
+    """Each truth likes best the prediction that the one before it will take: rounds would be as many as truths."""
+    n = 3000
+    truth = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("truth_id"), F.lit("fire").alias("class"), F.col("id").cast("double").alias("s"), (F.col("id") + 10.0).alias("e"))
+    pred = truth.select("video_id", F.col("truth_id").alias("pred_id"), "class", (F.col("s") + 0.6).alias("s"), (F.col("e") + 0.6).alias("e"))
+    got = {r["truth_id"]: r["pred_id"] for r in matching.match_greedy(truth, pred).collect()}
+    want = dict(reference.greedy([(i, float(i), i + 10.0) for i in range(150)], [(i, i + 0.6, i + 10.6) for i in range(150)]))
+    assert len(got) == n and all(got[i] == want[i] for i in range(100))
+
+
+def test_quiet_stretches_of_a_million_frames(spark):
+    import time
+
+    n = 1_000_000
+    frames_ = spark.range(n).select((F.col("id") % 2).alias("video_id"), F.col("id").alias("event_id"), (F.col("id") * 0.25).alias("t"), F.lit(0.0).alias("motion"))
+    began = time.time()
+    got = {(r["video_id"], r["why"]): r["count"] for r in frames.gate(frames_, Config(gate_signal=1.0, gate_keepalive=4.0)).groupBy("video_id", "why").count().collect()}
+    assert time.time() - began < 60
+    passes = (n // 2 - 1) // 8  # every eighth frame of a video is four seconds after the last that passed
+    assert got == {(v, k): m for v in (0, 1) for k, m in (("first", 1), ("keepalive", passes), ("skipped", n // 2 - 1 - passes))}
+
+
+def test_gate_across_batches(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for video in range(4):
+        t, mine = 0.0, []
+        for _ in range(900):
+            t += r.choice([0.1, 0.3, 0.7, 1.0, 4.0]) if r.random() < 0.2 else 0.1
+            mine.append((t, 5.0 if r.random() < 0.01 else 0.0))
+        rows += [(video, len(rows) + i, a, m) for i, (a, m) in enumerate(mine)]
+        want[video] = reference.gate(mine, 4.2, 1.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = frames.gate(spark.createDataFrame(rows, "video_id long, event_id long, t double, motion double"), Config(gate_keepalive=1.0)).orderBy("event_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {v: [g["why"] for g in got if g["video_id"] == v] for v in range(4)} == want

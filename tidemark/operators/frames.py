@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,22 +37,49 @@ def gate(frames: DataFrame, config: Config) -> DataFrame:
 
     A frame passes if it moves enough or if the last *passed* frame is long ago, which is a recursion. But a frame that
     moves enough, or that comes so long after the frame before it, passes whatever was before. So a video is cut at
-    those, and each quiet stretch between them is one fold; `gate_grouped` suits videos with very long ones.
+    those, its stretches are dealt out, and each is read once in order of time, in jumps from one passed frame to the first
+    that is late enough: a stretch may be of any length, and a task holds one Arrow batch of it.
     """
     by_time = Window.partitionBy("video_id").orderBy("t", "event_id")
     before = F.lag("t").over(by_time)
     why = F.when(before.isNull(), "first").when(F.col("motion") >= config.gate_signal, "motion").when(F.col("t") - before >= config.gate_keepalive, "keepalive")
-    cut = frames.select("video_id", "event_id", "t", "motion", why.alias("sure"))
-    cut = cut.withColumn("part", F.count("sure").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = cut.groupBy("video_id", "part").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "motion", "sure"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<string>").alias("why"))
-
-    def step(state: Column, row: Column) -> Column:
-        why = F.coalesce(row["sure"], F.when(row["t"] - state["last"] >= config.gate_keepalive, "keepalive").otherwise("skipped"))
-        return F.struct(F.when(why == "skipped", state["last"]).otherwise(row["t"]).alias("last"), F.array_append(state["why"], why).alias("why"))
-
-    folded = ordered.select("video_id", "rows", F.aggregate("rows", start, step)["why"].alias("why"))
-    return folded.select("video_id", F.explode(F.arrays_zip("rows", "why")).alias("z")).select("video_id", "z.rows.event_id", "z.rows.t", "z.rows.motion", "z.why")
+    cut = frames.select("video_id", "event_id", "t", "motion", why.alias("why"))
+    cut = cut.withColumn("part", F.count("why").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    keepalive = config.gate_keepalive
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            video, part, t = (batch.column(c).to_numpy() for c in ("video_id", "part", "t"))
+            start = np.flatnonzero(np.append(True, (video[1:] != video[:-1]) | (part[1:] != part[:-1])))
+            end = np.append(start[1:], len(t))
+            why = np.array(["skipped" if w is None else w for w in batch.column("why").to_pylist()], object)
+            goes_on = held == (video[0], part[0])
+            # a stretch is new but for the first of a batch; a new one that is short has no further frame to pass
+            for a, b in zip(*(x[(t[end - 1] - t[start] >= keepalive) | (goes_on & (start == 0))].tolist() for x in (start, end)), strict=True):
+                now = last if goes_on and a == 0 else t[a]
+                i = a if goes_on and a == 0 else a + 1
+                while True:
+                    i += int(np.searchsorted(t[i:b], now + keepalive))
+                    while i > a and t[i - 1] - now >= keepalive:  # the difference decides, not the rounded sum
+                        i -= 1
+                    while i < b and t[i] - now < keepalive:
+                        i += 1
+                    if i >= b:
+                        break
+                    why[i], now = "keepalive", t[i]
+                    i += 1
+                if b == len(t):
+                    held, last = (video[a], part[a]), now
+            if held != (video[-1], part[-1]):
+                held, last = (video[-1], part[-1]), t[start[-1]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("video_id", "event_id", "t", "motion")), pa.array(why, pa.string())], ["video_id", "event_id", "t", "motion", "why"])
+
+    dealt = cut.repartition("video_id", "part").sortWithinPartitions("video_id", "part", "t", "event_id")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select("video_id", "event_id", "t", "motion").schema)
+    return dealt.mapInArrow(run, f"{types}, why string")
 
 
 def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:

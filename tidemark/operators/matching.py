@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import interval_iou
 from tidemark.operators import intervals
+from tidemark.sources import shared_folder
 
 
 def overlapping(truth: DataFrame, predicted: DataFrame, same_class: bool = True, width: float = 8.0) -> DataFrame:
@@ -28,26 +32,58 @@ def match_disjoint(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -
     return once.select("video_id", "truth_id", "pred_id", "iou")
 
 
-def match_greedy(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+def match_greedy(truth: DataFrame, predicted: DataFrame, least: float = 0.5, rounds: int = 8) -> DataFrame:
     """The exact sequential rule: in order of truths, the free prediction of greatest overlap, if that reaches `least`.
 
-    Only pairs that reach `least` can match, and pairs far apart in time do not touch each other. So the pairs of a
-    class are cut where a pair begins after all earlier ones have ended, and each such run is one fold.
+    All predictions would rather have the earlier truth, so there is one stable matching, and it is that of the rule. It is found by deferred
+    acceptance: every truth asks its best prediction left, a prediction holds the earliest that asks and will never have a later one,
+    whose pairs with it go. A round is a few sums over pairs, whatever overlaps; it is over when nobody is refused. A chain in which each
+    truth displaces the next takes as many rounds as it has links: what is open after `rounds` rounds is read in order instead.
+    """
+    by = ["video_id", "class"]
+    pairs = overlapping(truth, predicted).where(F.col("iou") >= least)
+    wish, turn = F.struct((-F.col("iou")).alias("d"), "ps", "pred_id", "iou"), F.struct("s", "truth_id")
+    pairs = pairs.select(*by, "truth_id", "pred_id", F.least("s", "ps").alias("lo"), F.greatest("e", "pe").alias("hi"), wish.alias("wish"), turn.alias("turn"))
+    shared_folder(truth.sparkSession)
+    for _ in range(rounds):
+        pairs = pairs.checkpoint()
+        asked = pairs.groupBy(*by, "truth_id").agg(F.min("wish").alias("wish"), F.min("turn").alias("turn"))
+        asked = asked.select(*by, "truth_id", "turn", F.col("wish.pred_id").alias("pred_id"), F.col("wish.iou").alias("iou"))
+        held = asked.groupBy(*by, "pred_id").agg(F.min("turn").alias("first"), F.count("*").alias("n"))
+        if not held.where("n > 1").limit(1).count():
+            return asked.select("video_id", "truth_id", "pred_id", "iou")
+        pairs = pairs.join(held.drop("n"), [*by, "pred_id"], "left").where(F.col("first").isNull() | (F.col("turn") <= F.col("first"))).drop("first")
+    return _in_order(pairs)
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """The sequential rule over pairs (video_id, class, truth_id, pred_id, lo, hi, wish, turn) by reading them.
+
+    The pairs of a class are cut where one begins after all earlier ones have ended, the runs are dealt out, and each is read once in order; what a task
+    holds is one Arrow batch, and the predictions taken so far of one run.
     """
-    pairs = overlapping(truth, predicted).where(F.col("iou") >= least).withColumns({"_lo": F.least("s", "ps"), "_hi": F.greatest("e", "pe")})
-    by_time = Window.partitionBy("video_id", "class").orderBy("_lo", "_hi", "truth_id", "pred_id")
-    reached = F.max("_hi").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.coalesce((F.col("_lo") > reached).cast("int"), F.lit(0))
-    runs = pairs.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    turn = F.struct("s", "truth_id", (-F.col("iou")).alias("d"), "ps", "pred_id", "iou")
-    rows = runs.groupBy("video_id", "class", "_run").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-
-    def take(chosen: Column, row: Column) -> Column:
-        spent = F.exists(chosen, lambda c: (c["truth_id"] == row["truth_id"]) | (c["pred_id"] == row["pred_id"]))
-        return F.when(spent, chosen).otherwise(F.array_append(chosen, F.struct(row["truth_id"].alias("truth_id"), row["pred_id"].alias("pred_id"), row["iou"].alias("iou"))))
-
-    none = F.array().cast("array<struct<truth_id:bigint,pred_id:bigint,iou:double>>")
-    return rows.select("video_id", F.inline(F.aggregate("rows", none, take)))
+    by_time = Window.partitionBy("video_id", "class").orderBy("lo", "hi", "truth_id", "pred_id")
+    reached = F.max("hi").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    cut = pairs.withColumn("_cut", F.coalesce((F.col("lo") > reached).cast("int"), F.lit(0)))
+    runs = cut.withColumn("run", F.sum("_cut").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["video_id", "class", "run"]
+    dealt = runs.repartition(*keys).sortWithinPartitions(*keys, "turn", "wish").select(*keys, "truth_id", "pred_id", F.col("wish.iou").alias("iou"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, truth, taken = None, None, set()
+        for batch in batches:
+            rows = []
+            for i, (*key, t, p) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*keys, "truth_id", "pred_id")), strict=True)):
+                if key != run:
+                    run, truth, taken = key, None, set()
+                if t != truth and p not in taken:
+                    truth = t
+                    taken.add(p)
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64())).select(["video_id", "truth_id", "pred_id", "iou"])
+
+    types = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    return dealt.mapInArrow(take, ", ".join(f"{c} {types[c]}" for c in ("video_id", "truth_id", "pred_id", "iou")))
 
 
 def per_video(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

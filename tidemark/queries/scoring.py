@@ -58,7 +58,7 @@ def match_greedy(spark, d):
 
 
 def match_greedy_overlapping(spark, d):
-    """D8 on truths that overlap, where only the sequential rule is right (tested against a plain loop)."""
+    """D8 on truths that overlap, where only the sequential rule is right."""
     return ma.match_greedy(B.truth(spark, d, clip=False), B.predicted(spark, d, clip=False)).select("video_id", "truth_id", "pred_id", r6("iou").alias("iou"))
 
 
@@ -265,6 +265,15 @@ ORACLES = {
         a AS (SELECT * FROM m UNION ALL SELECT NULL, CAST(sum(found) AS BIGINT), CAST(sum(total) AS BIGINT), CAST(sum(fa) AS BIGINT), sum(marks) FROM m)
         SELECT level, found, total, fa, round(found / greatest(found + fa, 1), 6) AS precision, round(found / greatest(total, 1), 6) AS recall, round(marks, 6) AS marks FROM a""",
     "realtime_factors": "SELECT l_orderkey AS video_id, CASE WHEN sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END) > 0 THEN round(sum(l_quantity) / sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END), 2) ELSE 0 END AS realtime_factor FROM lineitem GROUP BY 1",
+    "match_greedy_overlapping": f"""WITH RECURSIVE {B.ctes('frames')}, truth AS (SELECT f.video_id, f.event_id AS truth_id, f.t AS s, f.t + f.signal / 10 AS e, row_number() OVER (PARTITION BY f.video_id ORDER BY f.t, f.event_id) AS k
+          FROM frames f JOIN events ev ON ev.event_id = f.event_id AND ev.event_type = 'error'),
+        pred AS (SELECT video_id, truth_id AS pred_id, s + (truth_id % 5 - 2) AS ps, e + (truth_id % 5 - 2) AS pe FROM truth WHERE truth_id % 7 <> 0),
+        pairs AS (SELECT video_id, truth_id, pred_id, ps, (least(e, pe) - greatest(s, ps)) / (greatest(e, pe) - least(s, ps)) AS iou FROM truth JOIN pred USING (video_id) WHERE least(e, pe) > greatest(s, ps)),
+        turns AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS truth_id, CAST(NULL AS BIGINT) AS pred_id, CAST(NULL AS DOUBLE) AS iou, CAST([] AS BIGINT[]) AS taken FROM truth
+          UNION ALL SELECT video_id, k, truth_id, best.p, best.iou, CASE WHEN best.p IS NULL THEN taken ELSE list_append(taken, best.p) END FROM (
+            SELECT r.video_id, t.k, t.truth_id, r.taken, (SELECT min({{'d': -q.iou, 'ps': q.ps, 'p': q.pred_id, 'iou': q.iou}}) FROM pairs q WHERE q.truth_id = t.truth_id AND q.iou >= 0.5 AND NOT list_contains(r.taken, q.pred_id)) AS best
+            FROM turns r JOIN truth t ON t.video_id = r.video_id AND t.k = r.k + 1))
+        SELECT video_id, truth_id, pred_id, round(iou, 6) AS iou FROM turns WHERE pred_id IS NOT NULL""",
     "sink_rounding": """WITH r AS (SELECT l_orderkey AS video_id, sum(l_quantity) AS a, sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity * 3 + 1 ELSE 0 END) AS b FROM lineitem GROUP BY 1),
         f AS (SELECT video_id, CASE WHEN b > 0 THEN a / b ELSE 0 END AS x FROM r)
         SELECT video_id, CAST(printf('%.1f', x) AS DOUBLE) AS places1, CAST(printf('%.2f', x) AS DOUBLE) AS places2, CAST(printf('%.3f', x) AS DOUBLE) AS places3, CAST(printf('%.4f', x) AS DOUBLE) AS places4 FROM f""",
@@ -309,4 +318,4 @@ ORACLES = {
         SELECT video_id, problem, count(*) AS n FROM p GROUP BY 1, 2""",
 }
 
-QUERIES = {name: globals()[name] for name in [*ORACLES, "match_greedy_overlapping"]}
+QUERIES = {name: globals()[name] for name in ORACLES}
