@@ -26,11 +26,12 @@ from tidemark.llm.urlfilter import split_url
 
 # Names from HTML and the usual names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select object canvas audio video".split())
-DROPPED = frozenset("nav footer aside form button menu dialog head fieldset".split())
+RAW = frozenset("script style template textarea title iframe svg select canvas audio video annotation annotation-xml".split())
+DROPPED = frozenset("nav footer aside form button menu dialog head".split())
 CONTAINER = frozenset("html body main article section div td table tbody tr center content layout".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded merror".split()
 )
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 WITHIN = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
@@ -39,15 +40,16 @@ FURNITURE = frozenset(
     "comment comments disqus replies cookie cookies consent notice notices popup modal newsletter subscribe subscription share sharing social related recommended "
     "widget toolbar login signup search skip pagination pager".split()
 )
-#: Words that go with a furniture word in one class, such as sidebar-left; those before one that only tell of it, such as has-sidebar; furniture that may well be longer than the article.
+#: Words that go with a furniture word in one class, such as sidebar-left; those before one that only tell of it, such as has-sidebar.
 PARTS = frozenset("area articles bar block bottom box buttons container icons inner item items left links list outer posts right section slot stories top unit widgets wrap wrapper".split())
 STATES = frozenset("has have hide hides no non not show shows with without".split())
-READERS = frozenset("comment comments disqus replies".split())
 HEADERS = frozenset("header masthead topbar".split())
+BOX = frozenset(["box"])
+READERS = frozenset("comment comments disqus replies".split())
+#: Whole classes that say that an element is the article, whatever else it is called.
+CONTENT = frozenset("content article main post entry story body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
-#: Bare text of a box behind the main text, without a paragraph, is a label up to this length.
-LABEL = 25
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -71,6 +73,9 @@ def _named(tokens: set[str], names: frozenset[str]) -> set[str]:
 class Page:
     """The elements and text pieces of one page.
 
+    A header outside the page's article elements is dropped like other furniture, but comes back where a container that
+    is taken as the main text holds it with a heading and without a menu: then it is the article's own.
+
     nodes: (parent, tag, path, dropped); pieces: (node, text, in a link) in page order, with
     (node, None, False) where a block begins or ends.
     """
@@ -78,6 +83,8 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
         self._names: dict[int, set[str]] = {}  # elements that are furniture by their names only
+        self._content: set[int] = set()  # of these, those with a class that says the opposite
+        self._why = [""]  # why an element is dropped, whatever it stands in: header, or another reason
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._stack = [0]
         # of the open elements: their depths by tag, the depths of those that are not inline, links, articles
@@ -101,7 +108,7 @@ class Page:
             name = name.lower()
             if m[1] or m[4]:
                 self._close(name)
-            elif name in RAW:
+            elif name in RAW or (name == "noscript" and not self._articles):
                 closing = None if name in self._never else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 if closing is None:
                     self._never.add(name)
@@ -164,11 +171,16 @@ class Page:
                 tokens |= set(value.split())
                 if key.lower() == "class":
                     classes = ".".join(sorted(re.sub(r"\d+", "#", value).split()))
-        if name not in ("html", "body", "main", "article") and not dropped:
+        why = ""
+        if name not in ("html", "body", "main", "article"):
             inside = self._articles > 0
-            dropped = name in DROPPED or role in ROLES or (not inside and name == "header")
-            if tokens and not dropped and name not in INLINE and (names := _named(tokens, FURNITURE if inside else FURNITURE | HEADERS)):
+            why = "tag" if name in DROPPED or role in ROLES else "header" if not inside and name == "header" else ""
+            if tokens and not why and name not in INLINE and (names := _named(tokens, FURNITURE if inside else FURNITURE | HEADERS) or (BOX if not inside and _named(tokens, BOX) else None)):
                 self._names[len(nodes)] = names
+                if not CONTENT.isdisjoint(tokens) and READERS.isdisjoint(names):
+                    self._content.add(len(nodes))
+        self._why.append(why)
+        dropped = dropped or bool(why)
         step = f"{path}>{name}.{classes}" if classes else f"{path}>{name}"
         if len(step) > 400:  # deep or long: the rest stands as a checksum
             step = f"~{zlib.crc32(step.encode()):08x}"
@@ -183,11 +195,17 @@ class Page:
             self._pop(depth)
 
     def _drop_named(self) -> None:
-        """Drop what is furniture by name, but not what holds the page's only article, or most of its running text.
+        """Drop what is furniture by name, however long it is, but not what holds the page's only article.
 
-        Where an article is left, the latter counts inside articles only; reader comments must be all the text.
+        A side box by name (class box and the like) goes if it has neither paragraph nor heading, and what is also called content stays if it has one. Where no running text would be left, furniture with
+        a paragraph or heading comes back: then a name only sounds like furniture.
         """
         nodes, names = self.nodes, self._names
+        prose = [tag == "p" or tag in HEADINGS for _, tag, _, _ in nodes]
+        for i in range(len(nodes) - 1, 0, -1):
+            prose[nodes[i][0]] |= prose[i]
+        for i in [i for i, found in names.items() if prose[i] and (found == BOX or i in self._content)]:
+            del names[i]
         own, article, inside = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
         gone = [False] * len(nodes)
         for i, (parent, tag, _, dropped) in enumerate(nodes):
@@ -198,15 +216,32 @@ class Page:
                 own[node] += len(text.strip())
                 article[node] += len(text.strip()) if inside[node] else 0
         left = any(n and not gone[i] for i, n in enumerate(article))
-        own, article = self._sums(own), self._sums(article)
+        something = any(n and not gone[i] for i, n in enumerate(own))
+        article = self._sums(article)
         for i, (parent, tag, path, dropped) in enumerate(nodes):
-            by_name = i in names
-            if by_name and own[i]:
-                most = own[i] == own[0] or (2 * own[i] > own[0] and READERS.isdisjoint(names[i]))
-                by_name = not ((article[i] and not inside[i] and not left) or (most and (inside[i] or not left)))
+            by_name = i in names and not (article[i] and not inside[i] and not left) and (something or not prose[i])
+            if by_name:
+                self._why[i] = "header" if names[i] <= HEADERS else "name"
             if i and not dropped and (by_name or nodes[parent][3]):
                 nodes[i] = (parent, tag, path, True)
 
+    def _own_headers(self, roots: set[int]) -> set[int]:
+        """Dropped headers that belong to the article: inside one of `roots`, other than the whole page, with a heading and without a menu or form."""
+        nodes, why = self.nodes, self._why
+        within, header = [False] * len(nodes), [0] * len(nodes)
+        titled, busy = set(), set()
+        for i, (parent, tag, _, dropped) in enumerate(nodes):
+            if i == 0:
+                continue
+            within[i] = (within[parent] or (i in roots and tag not in ("html", "body"))) and (not dropped or header[parent] > 0 or why[i] == "header")
+            if within[parent] and why[i] == "header" and not header[parent] and not nodes[parent][3]:
+                header[i] = i
+            else:
+                header[i] = header[parent] if within[i] else 0
+            if header[i]:
+                (titled if tag in HEADINGS else busy if tag in ("nav", "form", "menu") else set()).add(header[i])
+        return titled - busy
+
     def scores(self) -> list[float]:
         """Of every element: the characters of running text in and below it, links counting against it."""
         if self._scores is None:
@@ -249,21 +284,19 @@ class Page:
         """The innermost container that leaves no running text of the article outside.
 
         It holds `share` of the text of the one around it, and what is outside is page furniture, link
-        text, a label in a box behind it, or lies outside the page's own main or article elements. An
-        article element is never cut.
+        text, or lies outside the page's own main or article elements. An article element is never cut.
         """
         score = self.scores()
-        up, bare, inside = self._layout()
+        up, _, inside = self._layout()
         kids: dict[int, list[int]] = {}
         for i in range(1, len(self.nodes)):
             if up[i] == i:
                 kids.setdefault(up[self.nodes[i][0]], []).append(i)
-        text, prose, article = ([0] * len(self.nodes) for _ in range(3))
+        text, article = ([0] * len(self.nodes) for _ in range(2))
         for node, n in self.running():
             text[node] += n
-            prose[node] += 0 if bare[node] else n
             article[node] += n if inside[node] else 0
-        text, prose, article = self._sums(text), self._sums(prose), self._sums(article)
+        text, article = self._sums(text), self._sums(article)
         at = 0
         while at in kids and self.nodes[at][1] != "article":
             child = max(kids[at], key=lambda i: (score[i], -i))
@@ -274,8 +307,7 @@ class Page:
             elif article[child]:
                 left = article[at] - article[child]
             else:
-                labels = sum(text[i] for i in kids[at] if i > child and not prose[i] and text[i] <= LABEL) if prose[child] else 0
-                left = text[at] - text[child] - labels
+                left = text[at] - text[child]
             if left > 0:
                 break
             at = child
@@ -301,10 +333,12 @@ class Page:
         return path, text
 
     def text(self, roots: set[int]) -> str:
-        """The text of the elements `roots` without dropped elements: blocks joined by one space."""
-        inside = [False] * len(self.nodes)
+        """The text of the elements `roots` without dropped elements, but with headers of their own: blocks joined by one space."""
+        inside, back = [False] * len(self.nodes), self._own_headers(roots)
+        own = [False] * len(self.nodes)  # in such a header
         for i, (parent, _, _, dropped) in enumerate(self.nodes):
-            inside[i] = (i in roots or (parent >= 0 and inside[parent])) and not dropped
+            own[i] = i in back or (parent >= 0 and own[parent])
+            inside[i] = (i in roots or (parent >= 0 and inside[parent])) and (i in back or not (self._why[i] if own[i] else dropped))
         return " ".join("".join(" " if text is None else text for node, text, _ in self.pieces if inside[node] or text is None).split())
 
     def at(self, path: str) -> set[int]:
