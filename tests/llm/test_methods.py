@@ -439,3 +439,27 @@ def test_one_more_shard_moves_little(spark):
     before, after = ({r["doc_id"]: r["shard"] for r in _placed(rows, n, 1.25)} for n in (20, 21))
     moved = [(a, after[i]) for i, a in before.items() if a != after[i]]
     assert len(moved) <= 2 / 21 * 20_000 and sum(b != 20 for _, b in moved) <= 0.03 * 20_000
+
+
+# nearest vectors, scale
+
+
+def test_graph_in_tasks_is_the_graph(spark, monkeypatch):
+    c = np.random.default_rng(6).normal(size=(700, 9)).astype(np.float32)
+    want = ann.neighbour_graph(c, 12)
+    monkeypatch.setattr(ann, "HELD", 5000)
+    got = ann._graph_in_tasks(spark, c, 12)
+    assert [set(x) for x in got.tolist()] == [set(x) for x in want.tolist()]
+    assert ann._graph_in_tasks(spark, c[:1], 12).shape == (1, 2)
+
+
+def test_leaves_are_sampled_without_putting_them_in_order(spark, monkeypatch):
+    """No window over leaves, whose first round would put all points into one task."""
+    from pyspark.sql import functions as F
+
+    points = spark.range(3000).select(F.xxhash64("id").alias("p"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.hash("id", i) / 2.0**31).alias("v"))
+    plans, kind, plain = [], type(points), type(points).toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or plain(self))
+    tree, held = ann.grow(points, 3.0, 8, 24, 400, 16)
+    assert plans and not any("Window" in p for p in plans)
+    assert held.sum() == 3000 and held[tree.count == 0].max() <= 48

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import shared_dir
@@ -72,12 +72,13 @@ class Index:
     graph: np.ndarray
 
     @classmethod
-    def of(cls, tree: Tree, degree: int = 24) -> Index:
+    def of(cls, tree: Tree, degree: int = 24, spark: SparkSession | None = None) -> Index:
+        """The index of a tree's leaves; with a session the neighbour graph is made in tasks."""
         leaves = np.flatnonzero(tree.count == 0)
         number = np.zeros(len(tree.count), np.int64)
         number[leaves] = np.arange(len(leaves))
         c = tree.centre[leaves]
-        return cls(tree, c, number, neighbour_graph(c, degree))
+        return cls(tree, c, number, neighbour_graph(c, degree) if spark is None else _graph_in_tasks(spark, c, degree))
 
 
 def lift(v: np.ndarray, most: float) -> np.ndarray:
@@ -115,17 +116,48 @@ def balanced_centroids(points: np.ndarray, groups: int, seed: int = 0) -> np.nda
     return c
 
 
+#: Distances between centroids that are held at a time.
+HELD = 1 << 23
+
+
+def _nearest(c: np.ndarray, rows: np.ndarray, degree: int) -> np.ndarray:
+    """The `degree` nearest other centroids of the centroids `rows`."""
+    near, step, norm = np.zeros((len(rows), degree), np.int32), max(1, HELD // len(c)), (c * c).sum(axis=1)
+    for a in range(0, len(rows) if degree else 0, step):
+        some = rows[a : a + step]
+        d = -2 * c[some] @ c.T + norm
+        d[np.arange(len(some)), some] = np.inf
+        near[a : a + step] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+    return near
+
+
+def _ringed(near: np.ndarray) -> np.ndarray:
+    """Neighbours, plus links that keep the graph in one piece."""
+    n = len(near)
+    ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1).astype(np.int32)
+    return np.concatenate([near, ring], axis=1)
+
+
 def neighbour_graph(c: np.ndarray, degree: int) -> np.ndarray:
     """The `degree` nearest other centroids of each, plus links that keep the graph in one piece."""
-    n = len(c)
-    degree = min(degree, n - 1)
+    return _ringed(_nearest(c, np.arange(len(c)), min(degree, len(c) - 1)))
+
+
+def _graph_in_tasks(spark: SparkSession, c: np.ndarray, degree: int) -> np.ndarray:
+    """The same graph, its rows found in tasks; the driver gathers `degree` numbers for each list."""
+    n, degree = len(c), min(degree, len(c) - 1)
+    shared = spark.sparkContext.broadcast(c)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("id").to_numpy()
+            near = _nearest(shared.value, rows, degree)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in near], pa.binary())], ["id", "near"])
+
+    found = spark.range(0, n, 1, max(1, min(4096, n // 256))).mapInArrow(find, "id long, near binary").toArrow()
     near = np.zeros((n, degree), np.int32)
-    for a in range(0, n, 1024):
-        d = -2 * c[a : a + 1024] @ c.T + (c * c).sum(axis=1)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        near[a : a + 1024] = np.argpartition(d, max(0, degree - 1), axis=1)[:, :degree] if degree else 0
-    ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1).astype(np.int32)
-    return np.concatenate([near, ring], axis=1)
+    near[found.column("id").to_numpy()] = np.frombuffer(b"".join(found.column("near").to_pylist()), np.int32).reshape(n, degree)
+    return _ringed(near)
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -188,8 +220,9 @@ def lists_of_queries(index: Index, x: np.ndarray, ratio: float, rank: int = 1) -
 def grow(points: DataFrame, scale: float, dim: int, list_size: int, sample_rows: int, fan: int, rounds: int = 12) -> tuple[Tree, np.ndarray]:
     """The tree over `points` (p, v), and the number of points of every node that is a leaf.
 
-    In each round Spark counts the points of the leaves and takes at most `sample_rows` points, those of the
-    smallest p, of each leaf that is too full; its children are fitted in the task that gets them.
+    In each round Spark counts the points of the leaves and takes about `sample_rows` points of each leaf that is too
+    full, chosen by their hash p where they lie; its children are fitted in the task that gets them. A leaf that is still
+    too full after the last round stays so: its list is longer, and the search reads all of it.
     """
     spark = points.sparkSession
     tree = Tree.root(dim + 1)
@@ -217,9 +250,9 @@ def grow(points: DataFrame, scale: float, dim: int, list_size: int, sample_rows:
             c = balanced_centroids(lift(_matrix(group.column("v").combine_chunks()) / scale, 1.0), min(fan, -(-int(wanted.value[leaf]) // list_size)))
             return pa.table({"leaf": pa.array([leaf] * len(c), pa.int64()), "c": pa.array(list(c), pa.list_(pa.float32()))})
 
-        crowded = spark.createDataFrame([(leaf,) for leaf in full.tolist()], "leaf long")
-        first = Window.partitionBy("leaf").orderBy("p")
-        sample = placed.join(F.broadcast(crowded), "leaf").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).drop("n")
+        share = [(leaf, int(min(1.0, sample_rows / held[leaf]) * (1 << 30))) for leaf in full.tolist()]
+        crowded = spark.createDataFrame(share, "leaf long, share long")  # a row for each list at most
+        sample = placed.join(F.broadcast(crowded), "leaf").where(F.pmod("p", F.lit(1 << 30)) < F.col("share")).drop("share")
         fitted = sample.groupBy("leaf").applyInArrow(fit, "leaf long, c array<float>").toArrow()  # as many rows as new lists
         of, c = fitted.column("leaf").to_numpy(), _matrix(fitted.column("c").combine_chunks())
         tree = tree.split({int(leaf): c[of == leaf] for leaf in np.unique(of)})
@@ -252,8 +285,8 @@ def search(
     all candidates found, if fewer than k. Vectors that are null, empty, zero, of another length than
     most rows have, or that hold null or non-finite components take no part on either side; a repeated
     (id, vector) row counts once; other columns do not matter. Centroids are fitted on bounded samples
-    (`sample_rows` points of each part of the tree); every row is indexed. `most_lists` bounds the centroids
-    that workers hold: beyond list_size * most_lists points, lists get longer.
+    (about `sample_rows` points of each part of the tree); every row is indexed. `most_lists` bounds the centroids
+    that driver and workers hold (400,000 of 65 floats are 104 MB, and 42 MB of graph): beyond list_size * most_lists points, lists get longer.
     """
     spark = vectors.sparkSession
 
@@ -285,7 +318,7 @@ def search(
     size = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).collect()[0]
     scale = size["most"] or 1.0
     tree, held = grow(points, scale, dim, max(list_size, -(-size["n"] // most_lists)), sample_rows, 128)
-    index = Index.of(tree)
+    index = Index.of(tree, spark=spark)
     # shards: runs of neighbouring lists with about `block` points
     shard = np.cumsum(held[tree.count == 0]) // block
     shared, shards = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(shard)
