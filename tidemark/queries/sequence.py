@@ -42,6 +42,18 @@ def stride_sample(spark, d):
     return fr.sample(f, 2.0).select("video_id", "event_id")
 
 
+def sampled_source(spark, d):
+    """Each user's events written as a container of frames at 10 a second, and every fifth frame read back, with the duration of its video."""
+    from tidemark import sources
+    from tidemark.sources import frame_source
+
+    with sources.scratch(spark, "frames") as folder:
+        frame_source.write_containers(B.frames(spark, d).select("video_id", "t", "event_id", F.col("signal").alias("value")), folder)
+        with sources.setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+            f = frame_source.read_frames(spark, folder).where("sampled").join(frame_source.video_durations(spark, folder), "video_id")
+            return f.select(F.col("video_id").cast("long").alias("video_id"), "frame", "t", F.element_at("payload", 1).alias("value"), "duration").checkpoint()
+
+
 def escalations(spark, d):
     """Gap sessions of flagged frames."""
     w = win.summarise(win.escalations(B.frames(spark, d), FLAG, BOUND.gap), "escalated")
@@ -241,6 +253,8 @@ ORACLES = {
     "gate_reasons": f"WITH RECURSIVE {B.ctes('frames')}{_GATE} SELECT why, count(*) AS n FROM gated GROUP BY why",
     "stride_sample": f"""WITH {B.ctes('frames')}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS i FROM frames)
         SELECT video_id, event_id FROM n WHERE i % (CASE WHEN video_id % 3 = 2 THEN 5 ELSE 12 END) = 0""",
+    "sampled_source": f"""WITH {B.ctes('frames')}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM frames)
+        SELECT video_id, i AS frame, i / 10.0 AS t, signal AS value, n / 10.0 AS duration FROM n WHERE i % 5 = 0""",
     "escalations": f"WITH {B.ctes('frames')}{_SESSION} SELECT video_id, win, round(t0, 6) AS t0, round(t1, 6) AS t1, n_frames, round(health, 6) AS health FROM escalated",
     "scan_floor": f"WITH {B.ctes('frames')}{_FLOOR} SELECT video_id, source, win, round(t0, 6) AS t0, round(t1, 6) AS t1, n_frames, round(health, 6) AS health FROM floor_windows",
     "window_sources": f"WITH {B.ctes('frames')}{_FLOOR} SELECT source, count(*) AS windows, CAST(sum(n_frames) AS BIGINT) AS frames FROM floor_windows GROUP BY source",
