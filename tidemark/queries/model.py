@@ -183,14 +183,13 @@ def _stream(spark, d):
 
 def _drain(spark, stream, name, mode="append"):
     """What the stream gives, written batch by batch to the shared folder and read again; of a complete result the last batch."""
-    import uuid
-
-    base = f"{sources.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = stream.schema
-    streaming.store(stream, f"{base}/rows", f"{base}/state", mode).awaitTermination()
-    spark.createDataFrame([], schema).write.parquet(f"{base}/rows/batch=-1")  # also of a stream without rows
-    rows = spark.read.schema(f"{schema.toDDL()}, batch int").parquet(f"{base}/rows")
-    return (rows if mode == "append" else rows.where(F.col("batch") == rows.select(F.max("batch")).scalar())).drop("batch")
+    with sources.scratch(spark, name) as base:
+        streaming.store(stream, f"{base}/rows", f"{base}/state", mode).awaitTermination()
+        spark.createDataFrame([], schema).write.parquet(f"{base}/rows/batch=-1")  # also of a stream without rows
+        rows = spark.read.schema(f"{schema.toDDL()}, batch int").parquet(f"{base}/rows")
+        rows = (rows if mode == "append" else rows.where(F.col("batch") == rows.select(F.max("batch")).scalar())).drop("batch")
+        return rows.checkpoint()  # the folder goes
 
 
 def stream_alerts(spark, d):
@@ -225,8 +224,8 @@ def stream_centred(spark, d):
 
 def stream_gate(spark, d):
     """The stateful gate on the stream."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    g = _drain(spark, streaming.gate(_stream(spark, d), BOUND), "gate")
+    with sources.setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        g = _drain(spark, streaming.gate(_stream(spark, d), BOUND), "gate")
     return g.select("video_id", "event_id", r6("t").alias("t"), r6("motion").alias("motion"), "why")
 
 
@@ -241,6 +240,33 @@ def moving_region(spark, d):
     return regions.moving_regions(frames, 8, 8, threshold=0.28, reach=1, least=12).select("vec_id", "box.*")
 
 
+def live_progress(spark, d):
+    """Running figures of the stream as its micro-batches observe them, after the last one."""
+    from tidemark.streaming import progress
+
+    with sources.scratch(spark, "live") as base:
+        scored = progress.observed(streaming.scores(_stream(spark, d)))
+        progress.watched(spark, f"{base}/progress", lambda: streaming.store(scored, f"{base}/rows", f"{base}/state").awaitTermination())
+        t = progress.totals(spark, f"{base}/progress").orderBy(F.desc("batch")).limit(1)
+        return t.select("frames_seen", "frames_escalated", "escalation_rate", r6("footage").alias("footage"), "due").checkpoint()
+
+
+def fan_out(spark, d):
+    """Alerts as messages of a log, as they are committed, after two subscribers have had them and one has died."""
+    from tidemark.streaming import fanout
+
+    def dead(messages):
+        raise ConnectionError
+
+    with sources.scratch(spark, "fanout") as base:
+        fanout.log(streaming.alerts(streaming.scores(_stream(spark, d))).drop("ts"), f"{base}/log", f"{base}/state", "alert").awaitTermination()
+        took = fanout.FanOut(f"{base}/log").deliver({"first": lambda messages: None, "dead": dead, "last": lambda messages: None})
+        m = fanout.messages(spark, f"{base}/log")
+        data = F.from_json("message", "type string, data struct<video_id: long, t: double, anomaly: double, stage: string>")
+        rows = m.select("batch", "place", data.alias("m")).select("m.type", "m.data.*")
+        return rows.select("video_id", r6("t").alias("t"), "anomaly", "stage", "type", F.lit(took["first"]).cast("long").alias("first_took"), F.lit(took["dead"]).cast("long").alias("dead_took"), F.lit(took["last"]).cast("long").alias("last_took")).checkpoint()
+
+
 _SIM = "list_sum(list_transform(list_zip(f.embedding::DOUBLE[], r.embedding::DOUBLE[]), lambda p: p[1] * p[2]))"
 
 ORACLES = {
@@ -310,6 +336,8 @@ ORACLES = {
     "stream_centred": """WITH w AS (SELECT user_id AS video_id, value, time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(24 * CAST(j AS INT)) AS s FROM events, range(0, 4) r(j))
         SELECT video_id, strftime(s + INTERVAL 48 HOURS, '%Y-%m-%d %H') AS centre, round(avg(1 - value / 50), 6) AS health FROM w GROUP BY 1, 2""",
     "stream_alerts": f"WITH {B.ctes('frames')} SELECT video_id, round(t, 6) AS t, round(1 - health, 3) AS anomaly, CASE WHEN round(1 - health, 3) > 0.8 THEN 'vlm' ELSE 'filter' END AS stage FROM frames WHERE round(1 - round(health, 15), 3) > 0.5",
+    "fan_out": f"WITH {B.ctes('frames')} SELECT video_id, round(t, 6) AS t, round(1 - health, 3) AS anomaly, CASE WHEN round(1 - health, 3) > 0.8 THEN 'vlm' ELSE 'filter' END AS stage, 'alert' AS type, count(*) OVER () AS first_took, CAST(0 AS BIGINT) AS dead_took, count(*) OVER () AS last_took FROM frames WHERE round(1 - round(health, 15), 3) > 0.5",
+    "live_progress": f"WITH {B.ctes('frames')}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE round(1 - health, 3) > 0.5) AS e, max(t) - min(t) AS f FROM frames) SELECT n AS frames_seen, e AS frames_escalated, CAST(printf('%.4f', e / n) AS DOUBLE) AS escalation_rate, round(f, 6) AS footage, n >= 10 AS due FROM s",
     "stream_totals": f"WITH {B.ctes('frames')} SELECT count(*) AS frames_seen, count(*) FILTER (WHERE round(1 - health, 3) > 0.5) AS frames_escalated, round(count(*) FILTER (WHERE round(1 - health, 3) > 0.5) / greatest(count(*), 1), 6) AS escalation_rate FROM frames",
     "stream_slots": "SELECT user_id AS video_id, strftime(time_bucket(INTERVAL 120 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS slot_start, count(*) AS n_frames, round(avg(1 - value / 50), 6) AS health FROM events GROUP BY 1, 2",
     "stream_sessions": f"""WITH {B.ctes('frames')}, f AS (SELECT *, coalesce(CAST(t - lag(t) OVER (PARTITION BY video_id ORDER BY t, event_id) > 12 AS INT), 0) AS new FROM frames WHERE health < 0),
