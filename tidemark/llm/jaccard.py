@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import batches_of, release, shared_dir
+from tidemark.llm.shared import batches_of, counted_only, release, shared_dir, slim
 from tidemark.llm.substring import LEAST_MESSAGE, _bucket, _expand, _squeeze
 from tidemark.llm.wordhash import LOWER, SPACE, Words, flat, mix, slices
 
@@ -342,7 +342,7 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
                     [part.column("doc_id"), pa.array(sets.n.astype(np.int64)), pa.array(sets.node()), pa.array([p.tobytes() for p in points], pa.binary())], ["doc_id", "n", "node", "point"]
                 )
 
-    described = rows.mapInArrow(describe, "doc_id long, n long, node long, point binary").checkpoint()
+    described = rows.mapInArrow(counted_only(describe), "doc_id long, n long, node long, point binary").checkpoint()
     nodes = described.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("point").alias("point"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +419,7 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
         new[1:] = (place[1:] != place[:-1]) | (who[1:] != who[:-1])
         return pa.table({"place": pa.array(place[new], pa.int64()), "node": pa.array(who[new], pa.int64())})
 
-    met = rows.mapInArrow(send, "bucket int, keys binary, who binary, place long").groupBy("bucket").applyInArrow(gather, "place long, node long").distinct()
+    met = rows.mapInArrow(counted_only(send), "bucket int, keys binary, who binary, place long").groupBy("bucket").applyInArrow(slim(gather), "place long, node long").distinct()
     parts = F.ceil(F.col("members") / PART).cast("int")
     members = met.join(met.groupBy("place").agg(F.count("*").alias("members")), "place").checkpoint()
     del met
@@ -468,7 +468,7 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
 
         columns = ["task", "node", "n", "point", "side", "place", "firsts", *(["label"] if labelled else []), *(["anchor"] if best_only else [])]
         spread = where.select(*columns).repartition("task").sortWithinPartitions("task", "place", "n", "node")
-        return spread.mapInArrow(run, "a long, b long").distinct()
+        return spread.mapInArrow(counted_only(run), "a long, b long").distinct()
 
     def verified(candidates: DataFrame) -> DataFrame:
         """Of the candidate pairs those that really link."""
@@ -505,10 +505,10 @@ def _link(docs: DataFrame, k: int, percent: int, bucket_bytes: int, degrees: boo
                 chosen = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
 
-        sets = rows.mapInArrow(pick, "node long, body binary").dropDuplicates(["node"])
+        sets = rows.mapInArrow(counted_only(pick), "node long, body binary").dropDuplicates(["node"])
         left = candidates.join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        linked = both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long").checkpoint()
+        linked = both.select("a", "b", "x", "y").mapInArrow(counted_only(decide), "a long, b long").checkpoint()
         del sets, left, both
         release(spark)
         return linked

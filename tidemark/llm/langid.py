@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import kept, shared_dir, with_text
+from tidemark.llm.shared import counted_only, kept, shared_dir, with_text
 from tidemark.llm.wordhash import flat, slices
 
 SEGMENT = 64
@@ -237,4 +237,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 )
 
     ddl = ", ".join([*([types] if types else []), "lang_pred string, score double"])
-    return docs.select(*columns).mapInArrow(run, ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return docs.select(*columns).mapInArrow(counted_only(run), ddl).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")

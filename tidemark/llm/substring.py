@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import dealt, kept, release, shared_dir
+from tidemark.llm.shared import counted_only, dealt, kept, release, shared_dir, slim
 from tidemark.llm.wordhash import Words, flat, slices
 
 #: Text bytes of a chunk; numpy needs about fifty times as much for a moment.
@@ -303,15 +303,15 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, bucket_by
     sent_ddl = "block long, bucket int, values binary, marks binary, several binary"
     answer_ddl = "block long, kind int, bucket int, body binary"
     # chunks get their names and blocks here, once, and are read from the shared folder ever after
-    named = rows.mapInArrow(pack, "body binary").select(F.monotonically_increasing_id().alias("chunk"), "body")
+    named = rows.mapInArrow(counted_only(pack), "body binary").select(F.monotonically_increasing_id().alias("chunk"), "body")
     # the first chunks of all partitions, then their second ones, and so on, in turn to the blocks
     turn = F.col("chunk").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright("chunk", 33)
     chunks = dealt(named, F.pmod(turn, F.lit(blocks)), blocks, "block")
     release(spark)
     by_block = chunks.groupBy("block")
-    anchors = by_block.applyInArrow(probe, sent_ddl).groupBy("bucket").applyInArrow(answer(1), answer_ddl).checkpoint()
-    candidates = by_block.cogroup(anchors.groupBy("block")).applyInArrow(extend, sent_ddl)
-    repeats = candidates.groupBy("bucket").applyInArrow(answer(2), answer_ddl).checkpoint()
+    anchors = by_block.applyInArrow(slim(probe), sent_ddl).groupBy("bucket").applyInArrow(slim(answer(1)), answer_ddl).checkpoint()
+    candidates = by_block.cogroup(anchors.groupBy("block")).applyInArrow(slim(extend), sent_ddl)
+    repeats = candidates.groupBy("bucket").applyInArrow(slim(answer(2)), answer_ddl).checkpoint()
     ddl = ", ".join([*([types] if types else []), "kept string, n_words long, n_removed long, spans array<struct<first:int,words:int>>"])
-    done = by_block.cogroup(anchors.unionByName(repeats).groupBy("block")).applyInArrow(cut_out, ddl)
+    done = by_block.cogroup(anchors.unionByName(repeats).groupBy("block")).applyInArrow(slim(cut_out), ddl)
     return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), "kept", "n_words", "n_removed", "spans")
