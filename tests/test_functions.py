@@ -120,3 +120,37 @@ def test_rounding_is_that_of_the_binary_value(spark):
         assert got == [round(v, places) for v in values]
     odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(fn.rounded("x", 2)).collect()
     assert odd[0][0] is None and odd[1][0] == float("inf") and odd[2][0] != odd[2][0]
+
+
+def test_a_document_from_parts_is_the_document(spark, tmp_path):
+    manifest = spark.range(500).select(F.concat(F.lit("vidéo-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("video_id"), F.lit(2).alias("level"))
+    i = F.substring("video_id", -4, 4).cast("int")
+    meta = "struct<frames_processed:bigint,chunks_processed:bigint,end_to_end_internal_time_ms:double>"
+    answers = manifest.where(i % 7 != 0).select("video_id", F.when(i % 2 == 0, F.struct(i.cast("long").alias("frames_processed"), F.lit(1).cast("long").alias("chunks_processed"), F.lit(2.5).alias("end_to_end_internal_time_ms"))).cast(meta).alias("runtime_metadata"))
+    events = manifest.where(i % 3 == 0).select("video_id", F.lit(None).cast("double").alias("start_time_sec"), F.lit(2.0).alias("end_time_sec"), F.lit("fire").alias("class_name"), (i / 500).alias("confidence"), F.lit('quote " and é').alias("explanation"))
+    path = str(tmp_path / "s.json")
+    with sources.setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        parts = submission.write(manifest, answers.repartition(7), events, "s1", "mödel", path)
+    with open(path, encoding="utf-8") as f:
+        assert f.read() == submission.build(manifest, answers, events, "s1", "mödel").first()["document"]
+    assert parts["rows"] == 428 and len(parts["parts"]) > 1 and sum(p["rows"] for p in parts["parts"]) == 428
+    assert [p.name for p in tmp_path.iterdir()] == ["s.json"]
+    with pytest.raises(FileExistsError):
+        submission.write(manifest, answers, events, "s1", "m", path)
+    submission.write(manifest.limit(0), answers, events, "s1", "m", str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["predictions"] == []
+
+
+def test_truth_of_many_files_is_one_scan_for_their_heads(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text("video_id,class_name\na,fire\n" + f"v{i},smoke\n" if i % 2 else "class_name, video_id,level\nfire,a,3\n" + f"smoke,w{i},x\n")
+    (tmp_path / "z.csv").write_text("")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("heads", "heads")
+    df = sources.read_truth(spark, [str(tmp_path / f"{i}.csv") for i in (1, 0, 2, 3, 4, 5)] + [str(tmp_path / "z.csv")])
+    assert len(jobs.getJobIdsForGroup("heads")) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r["video_id"], r["class_name"], r["level"], r["source_csv"][-5:]) for r in df.collect()}
+    assert got == {("a", "fire", None, "1.csv")} | {(f"v{i}", "smoke", None, f"{i}.csv") for i in (1, 3, 5)} | {(f"w{i}", "smoke", None, f"{i}.csv") for i in (0, 2, 4)}
+    assert sources.read_truth(spark, [str(tmp_path / "z.csv")]).count() == 0
+    assert sources.stamped("out", "predictions", "r7") == "out/predictions_r7.json"

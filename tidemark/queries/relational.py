@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -277,40 +276,38 @@ def gallery_time(spark, d):
 
 def truth_from_csv(spark, d):
     """Labelled intervals written as CSV with some repeated rows, read again as truth."""
-    at = _scratch(spark, "truth")
     t = B.predicted(spark, d)
     rows = t.select(F.col("video_id").cast("string").alias("video_id"), F.lit("2").alias("level"), F.upper((F.col("class") != "normal").cast("string")).alias("is_anomaly"), F.col("class").alias("class_name"), F.round("s", 3).cast("string").alias("start_time_sec"), F.when(F.col("class") == "fire", "later").otherwise(F.round("e", 3).cast("string")).alias("end_time_sec"))
-    rows.unionByName(rows.where("class_name = 'fire'")).write.csv(at, header=True)
-    return sources.read_truth(spark, [at]).select("video_id", "level", "is_anomaly", "class_name", r6("start_time_sec").alias("start_time_sec"), r6("end_time_sec").alias("end_time_sec"))
+    with sources.scratch(spark, "truth") as at:
+        rows.unionByName(rows.where("class_name = 'fire'")).write.csv(at, header=True)
+        read = sources.read_truth(spark, [at]).select("video_id", "level", "is_anomaly", "class_name", r6("start_time_sec").alias("start_time_sec"), r6("end_time_sec").alias("end_time_sec"))
+        return read.checkpoint()  # the folder goes
 
 
 def manifest_round_trip(spark, d):
     """Users as one manifest document, written and read again."""
-    at = _scratch(spark, "manifest")
     u = plans.durations(B.frames(spark, d)).where("duration is not null")
     video = F.struct(F.col("video_id").cast("string").alias("video_id"), F.when(F.col("duration") > 700, 1).cast("int").alias("level"), F.when(F.col("duration") <= 700, 2).cast("int").alias("difficulty"), F.when(F.col("duration") > 710, 0.0).otherwise(F.col("duration")).alias("duration_sec"))
-    sources.write_document(u.agg(F.to_json(F.struct(F.lit("1").alias("schema_version"), F.collect_list(video).alias("videos"))).alias("document")), at)
-    return sources.read_manifest(spark, at).select("video_id", "level", r6("duration_sec").alias("duration_sec"))
+    with sources.scratch(spark, "manifest") as at:
+        sources.write_document(u.agg(F.to_json(F.struct(F.lit("1").alias("schema_version"), F.collect_list(video).alias("videos"))).alias("document")), at)
+        return sources.read_manifest(spark, at).select("video_id", "level", r6("duration_sec").alias("duration_sec")).checkpoint()
 
 
 def predictions_as_json(spark, d):
     """Predictions as JSON lines with nulls kept, and vectors as a cache, both written and read again."""
-    at = _scratch(spark, "json")
     p = B.predicted(spark, d).select("video_id", "pred_id", F.when(F.col("class") == "fire", F.col("class")).alias("class_name"))
-    sources.write_json(p, at)
-    lines = spark.read.text(at).select(F.contains("value", F.lit('"class_name":null')).alias("kept"), F.from_json("value", p.schema).alias("r"))
-    return lines.select("r.*", "kept")
+    with sources.scratch(spark, "json") as folder:
+        at = sources.stamped(folder, "predictions", "run-1")
+        sources.write_json(p, at)
+        lines = spark.read.text(at).select(F.contains("value", F.lit('"class_name":null')).alias("kept"), F.from_json("value", p.schema).alias("r"))
+        return lines.select("r.*", "kept").checkpoint()
 
 
 def cache_round_trip(spark, d):
     """Vectors written as a cache, read again and checked."""
-    at = _scratch(spark, "cache")
-    sources.write_cache(B.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.when(F.col("label") == 0, "normal").otherwise("fire").alias("label"), F.col("embedding").alias("emb")), at)
-    return sources.check_cache(spark.read.parquet(at))
-
-
-def _scratch(spark, name):
-    return f"{sources.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with sources.scratch(spark, "cache") as at:
+        sources.write_cache(B.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.when(F.col("label") == 0, "normal").otherwise("fire").alias("label"), F.col("embedding").alias("emb")), at)
+        return sources.check_cache(spark.read.parquet(at)).checkpoint()
 
 
 def seek_time(spark, d):

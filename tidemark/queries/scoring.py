@@ -212,6 +212,23 @@ def submission_rows(spark, d):
     return s.select("video_id", "level", "class_name", r6("start_time_sec").alias("start_time_sec"), r6("end_time_sec").alias("end_time_sec"), r6("confidence").alias("confidence"), "explanation")
 
 
+def submission_document(spark, d):
+    """The whole submission written as one JSON document from ordered partitions, read back and taken apart; videos without answers are not there."""
+    from tidemark import sources
+
+    manifest = _manifest(spark, d)
+    events = su.project(_events(spark, d), manifest).select("video_id", "start_time_sec", "end_time_sec", "class_name", "confidence", "explanation")
+    answers = B.predicted(spark, d).where("e - s >= 6").groupBy("video_id").agg(F.count("*").alias("n"))
+    meta = F.when(F.col("n") > 3, F.struct(F.col("n").alias("frames_processed"), F.lit(1).cast("long").alias("chunks_processed"), F.lit(0.5).alias("end_to_end_internal_time_ms")))
+    with sources.scratch(spark, "submission") as folder:
+        su.write(manifest, answers.select("video_id", meta.alias("runtime_metadata")), events, "run-1", "tidemark", f"{folder}/submission.json")
+        kind = "schema_version string, submission_id string, model_name string, predictions array<struct<video_id: long, events: array<struct<start_time_sec: double, end_time_sec: double, class_name: string, confidence: double, explanation: string>>, runtime_metadata: struct<frames_processed: long>>>"
+        whole = spark.read.text(f"{folder}/submission.json", wholetext=True).select(F.from_json("value", kind).alias("d"))
+        each = whole.select("d.submission_id", "d.model_name", F.posexplode("d.predictions").alias("place", "p"))
+        each = each.select("submission_id", "model_name", "place", "p.video_id", F.col("p.runtime_metadata.frames_processed").alias("frames_processed"), F.explode_outer("p.events").alias("e"))
+        return each.select("submission_id", "model_name", "place", "video_id", "frames_processed", "e.class_name", r6("e.start_time_sec").alias("start_time_sec"), r6("e.confidence").alias("confidence"), "e.explanation").checkpoint()
+
+
 def submission_problems(spark, d):
     """Every broken rule."""
     e = B.predicted(spark, d)
@@ -303,6 +320,10 @@ ORACLES = {
     "submission_rows": f"""WITH {_BASE}, {_MANIFEST}, x AS (SELECT p.*, level, row_number() OVER (PARTITION BY p.video_id ORDER BY p.e - p.s DESC, p.s, pred_id) AS rn FROM pred p JOIN man USING (video_id))
         SELECT video_id, level, class AS class_name, CASE WHEN level > 1 THEN round(s, 6) END AS start_time_sec, CASE WHEN level > 1 THEN round(e, 6) END AS end_time_sec, round(e - s, 6) AS confidence,
           'prediction ' || pred_id || CASE WHEN pred_id % 3 = 0 THEN ' Also observed: smoke.' ELSE '' END AS explanation FROM x WHERE level > 1 OR rn = 1""",
+    "submission_document": f"""WITH {_BASE}, {_MANIFEST}, x AS (SELECT p.*, level, row_number() OVER (PARTITION BY p.video_id ORDER BY p.e - p.s DESC, p.s, pred_id) AS rn FROM pred p JOIN man USING (video_id)),
+        a AS (SELECT video_id, count(*) AS n FROM pred WHERE e - s >= 6 GROUP BY 1), v AS (SELECT video_id, n, row_number() OVER (ORDER BY video_id) - 1 AS place FROM a JOIN man USING (video_id))
+        SELECT 'run-1' AS submission_id, 'tidemark' AS model_name, CAST(place AS INT) AS place, v.video_id, CASE WHEN n > 3 THEN n ELSE 0 END AS frames_processed, class AS class_name, CASE WHEN level > 1 THEN round(s, 6) END AS start_time_sec,
+          round(e - s, 6) AS confidence, 'prediction ' || pred_id || CASE WHEN pred_id % 3 = 0 THEN ' Also observed: smoke.' ELSE '' END AS explanation FROM v JOIN x ON x.video_id = v.video_id AND (level > 1 OR rn = 1)""",
     "submission_problems": f"""WITH {_BASE}, {_MANIFEST}, ans AS (SELECT DISTINCT video_id, class <> 'fire' AS has_metadata FROM pred WHERE e - s >= 6),
         ev AS (SELECT video_id, CASE WHEN pred_id % 10 = 0 THEN 'normal' ELSE class END AS class_name, CASE WHEN pred_id % 6 <> 0 THEN s END AS st, CASE WHEN pred_id % 6 <> 0 THEN CASE WHEN pred_id % 9 = 0 THEN s - 1 ELSE e END END AS en FROM pred),
         j AS (SELECT ev.*, level, duration FROM ev JOIN man USING (video_id)),

@@ -119,17 +119,24 @@ def stem_path(path: str) -> str:
 
 def read_truth(spark: SparkSession, paths: list[str], index: DataFrame | None = None) -> DataFrame:
     """Labelled intervals from CSV files: union by name, source_csv, first row of equal keys, times or null, path if an index is given."""
+    # one scan finds the first line of all files; then there is a plan for each header, not for each file
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    found = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head")).collect()
     heads: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:  # a plan for each header, not for each file
-        head = spark.read.text(path).limit(1).collect()
-        heads.setdefault(tuple(c.strip() for c in head[0][0].split(",")) if head else (), []).append(path)
-    order = F.create_map(*(F.lit(x) for i, path in enumerate(paths) for x in (stem_path(path), i)))
+    for r in sorted(found, key=lambda r: r["file"]):
+        heads.setdefault(tuple(c.strip() for c in r["head"].split(",")), []).append(r["file"])
+    given = {stem_path(path).rstrip("/"): i for i, path in reversed(list(enumerate(paths)))}
+    files = [re.sub("^file:/+", "/", r["file"]) for r in found]
+    places = {f: next((given[g] for g in (f, os.path.dirname(f)) if g in given), len(paths)) for f in files}
+    order = F.create_map(*(F.lit(x) for f, i in places.items() for x in (f, i))) if places else F.create_map(F.lit(""), F.lit(0))
     rows = None
     for head, files in heads.items():
         one = spark.read.csv(files, header=True, schema=", ".join(f"`{c}` string" for c in head) if head else "video_id string", enforceSchema=True)
         where = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
         one = one.withColumns({"source_csv": where, "_line": F.monotonically_increasing_id(), "_file": F.coalesce(F.element_at(order, where), F.lit(len(paths)))})
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    if rows is None:  # no file has a line
+        rows = spark.createDataFrame([], "video_id string, source_csv string, _line long, _file int")
     for c in ("start_time_sec", "end_time_sec", "level", "is_anomaly", "class_name", "description_summary"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
