@@ -298,19 +298,21 @@ def test_a_long_chain_of_displaced_truths_ends(spark):
     assert len(got) == n and all(got[i] == want[i] for i in range(100))
 
 
-def test_quiet_stretches_of_a_million_frames(spark):
+@pytest.mark.parametrize("form", ["gate", "gate_grouped"])
+def test_quiet_stretches_of_a_million_frames(spark, form):
     import time
 
     n = 1_000_000
     frames_ = spark.range(n).select((F.col("id") % 2).alias("video_id"), F.col("id").alias("event_id"), (F.col("id") * 0.25).alias("t"), F.lit(0.0).alias("motion"))
     began = time.time()
-    got = {(r["video_id"], r["why"]): r["count"] for r in frames.gate(frames_, Config(gate_signal=1.0, gate_keepalive=4.0)).groupBy("video_id", "why").count().collect()}
+    got = {(r["video_id"], r["why"]): r["count"] for r in getattr(frames, form)(frames_, Config(gate_signal=1.0, gate_keepalive=4.0)).groupBy("video_id", "why").count().collect()}
     assert time.time() - began < 60
     passes = (n // 2 - 1) // 8  # every eighth frame of a video is four seconds after the last that passed
     assert got == {(v, k): m for v in (0, 1) for k, m in (("first", 1), ("keepalive", passes), ("skipped", n // 2 - 1 - passes))}
 
 
-def test_gate_across_batches(spark):
+@pytest.mark.parametrize("form", ["gate", "gate_grouped"])
+def test_gate_across_batches_and_pieces(spark, form):
     r = random.Random(5)
     rows, want = [], {}
     for video in range(4):
@@ -322,7 +324,7 @@ def test_gate_across_batches(spark):
         want[video] = reference.gate(mine, 4.2, 1.0)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = frames.gate(spark.createDataFrame(rows, "video_id long, event_id long, t double, motion double"), Config(gate_keepalive=1.0)).orderBy("event_id").collect()
+        got = getattr(frames, form)(spark.createDataFrame(rows, "video_id long, event_id long, t double, motion double"), Config(gate_keepalive=1.0)).orderBy("event_id").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {v: [g["why"] for g in got if g["video_id"] == v] for v in range(4)} == want

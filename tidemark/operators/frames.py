@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,19 +31,46 @@ def motion(frames: DataFrame) -> DataFrame:
     return frames.withColumn("motion", F.coalesce(F.abs(F.col("signal") - before), F.lit(0.0)))
 
 
+def _cut(frames: DataFrame, config: Config) -> DataFrame:
+    """`frames` with sure, the reason where a frame passes whatever was before, and part, the number of its stretch: a video is cut at such frames."""
+    by_time = Window.partitionBy("video_id").orderBy("t", "event_id")
+    before = F.lag("t").over(by_time)
+    why = F.when(before.isNull(), "first").when(F.col("motion") >= config.gate_signal, "motion").when(F.col("t") - before >= config.gate_keepalive, "keepalive")
+    cut = frames.select("video_id", "event_id", "t", "motion", why.alias("sure"))
+    return cut.withColumn("part", F.count("sure").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def gate(frames: DataFrame, config: Config) -> DataFrame:
     """`frames` (video_id, event_id, t, motion) with why: first, motion, keepalive, or skipped.
 
     A frame passes if it moves enough or if the last *passed* frame is long ago, which is a recursion. But a frame that
     moves enough, or that comes so long after the frame before it, passes whatever was before. So a video is cut at
-    those, its stretches are dealt out, and each is read once in order of time, in jumps from one passed frame to the first
-    that is late enough: a stretch may be of any length, and a task holds one Arrow batch of it.
+    those, and each quiet stretch between them is a fold: over pieces of about the root of its length, each a fold of its own, so that no
+    array grows step by step over the whole stretch. `gate_grouped` suits stretches that are too long for one row.
     """
-    by_time = Window.partitionBy("video_id").orderBy("t", "event_id")
-    before = F.lag("t").over(by_time)
-    why = F.when(before.isNull(), "first").when(F.col("motion") >= config.gate_signal, "motion").when(F.col("t") - before >= config.gate_keepalive, "keepalive")
-    cut = frames.select("video_id", "event_id", "t", "motion", why.alias("why"))
-    cut = cut.withColumn("part", F.count("why").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = _cut(frames, config).groupBy("video_id", "part").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "motion", "sure"))).alias("rows"))
+
+    def step(state: Column, row: Column) -> Column:
+        why = F.coalesce(row["sure"], F.when(row["t"] - state["last"] >= config.gate_keepalive, "keepalive").otherwise("skipped"))
+        return F.struct(F.when(why == "skipped", state["last"]).otherwise(row["t"]).alias("last"), F.array_append(state["why"], why).alias("why"))
+
+    def piece(done: Column, rows: Column) -> Column:
+        start = F.struct(F.get(done, F.size(done) - 1)["last"].alias("last"), F.array().cast("array<string>").alias("why"))
+        return F.array_append(done, F.aggregate(rows, start, step))
+
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size("rows"))).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / F.col("size")).cast("int")), lambda k: F.slice("rows", k * F.col("size") + 1, F.col("size")))
+    none = F.array().cast("array<struct<last:double,why:array<string>>>")
+    folded = ordered.withColumn("size", size).select("video_id", "rows", F.flatten(F.aggregate(pieces, none, piece)["why"]).alias("why"))
+    return folded.select("video_id", F.explode(F.arrays_zip("rows", "why")).alias("z")).select("video_id", "z.rows.event_id", "z.rows.t", "z.rows.motion", "z.why")
+
+
+def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:
+    """The same gate, its stretches dealt out and each read once in order of time.
+
+    From one passed frame it jumps to the first that is late enough. A stretch may be of any length: a task holds one Arrow batch of it.
+    """
+    cut = _cut(frames, config).withColumnRenamed("sure", "why")
     keepalive = config.gate_keepalive
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +108,6 @@ def gate(frames: DataFrame, config: Config) -> DataFrame:
     return dealt.mapInArrow(run, f"{types}, why string")
 
 
-def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:
-    """The same gate as one pandas call for each video: linear for very long videos."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        last, why = None, []
-        for t, m in zip(pdf["t"], pdf["motion"], strict=True):
-            now = "first" if last is None else "motion" if m >= config.gate_signal else "keepalive" if t - last >= config.gate_keepalive else "skipped"
-            last = last if now == "skipped" else t
-            why.append(now)
-        return pdf.assign(why=why)
-
-    return frames.select("video_id", "event_id", "t", "motion").groupBy("video_id").applyInPandas(run, "video_id long, event_id long, t double, motion double, why string")
-
-
 def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = (), cells: int = 256) -> DataFrame:
     """One row for each of `keys` with the exact percentiles (linear between ranks) of `column` under the names of `shares`.
 

@@ -104,17 +104,15 @@ def realtime(runs: DataFrame, places: int | None = 2) -> DataFrame:
     return runs.select("video_id", F.when(F.col("seconds") > 0, factor if places is None else rounded(factor, places)).otherwise(F.lit(0.0)).alias("realtime_factor"))
 
 
-def call_statistics(calls: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
-    """Count, total, mean, exact median and 95th percentile, maximum of elapsed_ms, to one place."""
+def call_statistics(calls: DataFrame, keys: tuple[str, ...] = ("model_name",), places: int | None = 1) -> DataFrame:
+    """Count, total, mean, exact median and 95th percentile, maximum of elapsed_ms, to so many places (None: as they are)."""
+    shown = (lambda c: c) if places is None else (lambda c: rounded(c, places))
     sums = calls.groupBy(*keys).agg(
-        F.count("*").alias("call_count"),
-        rounded(F.sum("elapsed_ms"), 1).alias("total_time_ms"),
-        rounded(F.avg("elapsed_ms"), 1).alias("average_time_ms"),
-        rounded(F.max("elapsed_ms"), 1).alias("max_time_ms"),
+        F.count("*").alias("call_count"), shown(F.sum("elapsed_ms")).alias("total_time_ms"), shown(F.avg("elapsed_ms")).alias("average_time_ms"), shown(F.max("elapsed_ms")).alias("max_time_ms")
     )
     ranks = percentiles(calls, "elapsed_ms", {"p50": 0.5, "p95": 0.95}, keys)
     return sums.join(ranks, list(keys), "left").select(
-        *keys, "call_count", "total_time_ms", "average_time_ms", rounded("p50", 1).alias("p50_time_ms"), rounded("p95", 1).alias("p95_time_ms"), "max_time_ms"
+        *keys, "call_count", "total_time_ms", "average_time_ms", shown(F.col("p50")).alias("p50_time_ms"), shown(F.col("p95")).alias("p95_time_ms"), "max_time_ms"
     )
 
 

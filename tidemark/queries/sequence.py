@@ -31,7 +31,7 @@ def gate_reasons(spark, d):
 
 
 def gate_grouped(spark, d):
-    """P1 in its pandas form."""
+    """P1 in its form for stretches of any length."""
     out = fr.gate_grouped(fr.motion(B.frames(spark, d)), BOUND)
     return out.select("video_id", "event_id", r6("t").alias("t"), r6("motion").alias("motion"), "why")
 
