@@ -32,7 +32,7 @@ from tidemark.llm.shared import counted_only, hand_out, kept, shared_dir
 from tidemark.llm.wordhash import slices
 
 #: Text bytes taken at a time.
-STEP = 6 << 20
+STEP = 3 << 20
 #: Words, and pieces of text, that a worker remembers from one part of its rows to the next.
 REMEMBERED = 200_000
 
