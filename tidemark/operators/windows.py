@@ -39,7 +39,9 @@ def scan_floor(frames: DataFrame, durations: DataFrame, threshold: float, config
     slots = durations.where(F.col("duration") > config.floor_least).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("slot"))
     covered = marked.select("video_id", F.explode(F.sequence(intervals.bucket("t0", step), intervals.bucket("t1", step))).alias("slot")).distinct()
     open_slots = slots.join(covered, ["video_id", "slot"], "left_anti").withColumn("centre", F.col("slot") * F.lit(step) + step / 2)
-    near = intervals.nearest(frames.select("video_id", "t", "event_id", "health"), open_slots, k, ["health"])
+    # frames of videos without open slots are not numbered
+    asked = frames.select("video_id", "t", "event_id", "health").join(open_slots.select("video_id").distinct(), "video_id", "left_semi")
+    near = intervals.nearest(asked, open_slots, k, ["health"])
     scans = summarise(near.withColumnRenamed("slot", "win"), "scan")
     scans = scans.where(F.abs(F.col("t0") - (F.col("win") * F.lit(step) + step / 2)) <= step)
     found = marked.unionByName(scans)

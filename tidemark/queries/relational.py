@@ -310,6 +310,47 @@ def cache_round_trip(spark, d):
         return sources.check_cache(spark.read.parquet(at)).checkpoint()
 
 
+def zip_ingest(spark, d):
+    """Parts packed into ten archives, some with paths that lead outside, unpacked below a folder, twice, and read back."""
+    from tidemark.sources import zips
+
+    p = B.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    with sources.scratch(spark, "zips") as base:
+        name = F.concat(F.when(F.col("p_partkey") % 7 == 0, "../").otherwise("Pack/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".txt"))
+        _pack(p.select((F.col("p_partkey") % 10).alias("zip"), name.alias("name"), F.col("p_name").alias("content")), f"{base}/in")
+        archives = [f"{base}/in/{i}.zip" for i in range(10)]
+        first = zips.ingest(spark, archives, f"{base}/out", "Pack/").groupBy("outcome").count().collect()
+        again = {r["outcome"]: r["count"] for r in zips.ingest(spark, archives, f"{base}/out", "Pack/").groupBy("outcome").count().collect()}
+        first = {r["outcome"]: r["count"] for r in first}
+        read = spark.read.option("recursiveFileLookup", "true").text(f"{base}/out", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+        key = F.regexp_extract("path", r"([0-9]+)/([0-9]+)\.txt$", 2).cast("long")
+        counts = [F.lit(n).cast("long").alias(c) for n, c in ((first.get("written", 0), "written"), (first.get("outside", 0), "outside"), (again.get("present", 0), "present"))]
+        return read.select(key.alias("p_partkey"), F.regexp_extract("path", r"([0-9]+)/([0-9]+)\.txt$", 1).cast("int").alias("folder"), F.col("value").alias("content"), *counts).checkpoint()
+
+
+def _pack(rows, folder):
+    """rows (zip, name, content) as archives {zip}.zip in a folder, each by one task."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from tidemark.sources import zips
+
+    def pack(group: pa.Table) -> pa.Table:
+        store, base = zips._store(folder)
+        store.create_dir(base, recursive=True)
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in zip(group.column("name").to_pylist(), group.column("content").to_pylist(), strict=True):
+                archive.writestr(name, content)
+        with store.open_output_stream(f"{base}/{group.column('zip')[0].as_py()}.zip") as out:
+            out.write(data.getvalue())
+        return group.select(["zip"]).slice(0, 0)
+
+    rows.groupBy("zip").applyInArrow(pack, "zip long").write.format("noop").mode("overwrite").save()
+
+
 def seek_time(spark, d):
     """Seeking goes two units before an event, not below 0."""
     return B.predicted(spark, d).select("pred_id", r6(F.greatest(F.lit(0.0), F.col("s") - 2)).alias("seek"))
@@ -380,6 +421,8 @@ ORACLES = {
     "manifest_round_trip": f"WITH {_TFP}, u AS (SELECT video_id, max(t) + 1 AS duration FROM frames GROUP BY 1) SELECT CAST(video_id AS VARCHAR) AS video_id, CASE WHEN duration > 700 THEN 1 ELSE 2 END AS level, CASE WHEN duration <= 710 THEN round(duration, 6) END AS duration_sec FROM u",
     "predictions_as_json": f"WITH {_TFP} SELECT video_id, pred_id, CASE WHEN class = 'fire' THEN class END AS class_name, class <> 'fire' AS kept FROM pred",
     "cache_round_trip": "SELECT count(*) AS rows, 0 AS bad_vectors, 0 AS unknown_labels, count(*) >= 200 AS usable FROM embeddings",
+    "zip_ingest": """SELECT p_partkey, CAST(p_size AS INT) AS folder, p_name AS content, (SELECT count(*) FROM part WHERE p_partkey % 7 <> 0) AS written, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS outside,
+        (SELECT count(*) FROM part WHERE p_partkey % 7 <> 0) AS present FROM part WHERE p_partkey % 7 <> 0""",
     "seek_time": f"WITH {_TFP} SELECT pred_id, round(greatest(0.0, s - 2), 6) AS seek FROM pred",
     "timeline_rows": f"""WITH {_TFP} SELECT video_id, 'predicted' AS kind, class AS class_name, round(s, 6) AS start_t, round(e - s, 6) AS length FROM pred UNION ALL SELECT video_id, 'truth', class, round(s, 6), round(e - s, 6) FROM truth""",
 }
