@@ -88,7 +88,8 @@ def fit(
     # first by counts of hash buckets, so that the rare features are gone before anything is sorted
     bucket = np.zeros(1 << 24, np.uint16)
     for ids in docs:
-        np.add.at(bucket, np.unique(ids >> np.uint32(8)), 1)
+        seen = np.unique(ids >> np.uint32(8))
+        bucket[seen[bucket[seen] < 0xFFFF]] += 1  # full counts stay full
     docs = [ids[bucket[ids >> np.uint32(8)] >= least_rows] for ids in docs]
     del bucket
     if not docs:
