@@ -59,6 +59,19 @@ def test_states_beat_single_words_on_unseen_texts(spark):
     assert gain > 0.2  # two vocabularies: up to log10(2) for each token
 
 
+def test_every_pass_runs_over_all_training_texts(spark, monkeypatch):
+    seen, plain = [], hmm.baum_welch
+
+    def watched(texts, *more):
+        seen.append(texts.count())
+        return plain(texts, *more)
+
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    rows = [(i, f"w{i % 7} w{i % 3}", "x", None, 1) for i in range(6000)]  # more than the start was once made from
+    assert scored(spark, rows, states=2, start_passes=2, passes=1).count() == 6000
+    assert seen == [5400] * 3
+
+
 def model(symbols, states, seed):
     r = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)

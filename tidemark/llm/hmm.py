@@ -5,8 +5,8 @@
   (c + 0.1) / (all of the symbol + 0.1), which no state changes; a word never seen counts as c = 0. So the model covers
   every word, but its tables have a fixed size and are broadcast.
 * Texts become symbols once. In a pass of Baum-Welch each task runs the scaled forward and backward recursions over
-  its texts, cut into segments, and sends expected counts on; Spark sums them by symbol. Passes over a
-  bounded sample find a starting point, the last passes run over all training texts.
+  its texts, cut into segments, and sends expected counts on; Spark sums them by symbol. Every pass, from the first
+  on, runs over all training texts.
 * A score is the exact likelihood of the whole text by the scaled forward recursion. A very long text is cut into
   blocks whose transfer matrices are found side by side and multiplied in order; that changes nothing in the result.
 * Counts of rarer words, which grow with the corpus, are not broadcast: they are joined by hash.
@@ -267,12 +267,14 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model) -> tuple[Model
             work(waiting)
         at = np.flatnonzero(emitted.any(axis=1))
         if len(at):
-            values = np.vstack([moved, emitted[at]])
+            values = np.vstack([moved, emitted[at]]).astype(np.float32)  # as precise as the recursions; the sums are doubles
             keys = np.concatenate([-1 - np.arange(len(moved)), at])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(v) for v in values.T.copy())], ["key", *(f"g{j}" for j in range(states))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(v) for v in values.T.copy())], ["key", *(f"g{j}" for j in range(states))])
 
     names = [f"g{j}" for j in range(states)]
-    total = texts.select("seq").mapInArrow(counted_only(sums), "key long, " + ", ".join(f"{c} double" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each symbol
+    sent = texts.select("seq").mapInArrow(counted_only(sums), "key int, " + ", ".join(f"{c} float" for c in names))
+    # a row for each symbol; keys differ within a task, so there is nothing to sum up before the exchange
+    total = sent.repartition("key").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     emitted, moved = np.zeros(model.emit.shape), np.zeros((states + 3, states))
     key, values = total.column("key").to_numpy(), np.stack([total.column(c).to_numpy() for c in names], axis=1)
     emitted[key[key >= 0]], moved[-1 - key[key < 0]] = values[key >= 0], values[key < 0]
@@ -321,14 +323,10 @@ def likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def fit(texts: DataFrame, vocab: Vocabulary, rows: int, states: int, start_rows: int, start_passes: int, passes: int) -> Model:
-    """The model of `texts` (row, seq), of which there are `rows`: passes over about `start_rows` of them, chosen by a hash of the row, then over all."""
+def fit(texts: DataFrame, vocab: Vocabulary, states: int, passes: int) -> Model:
+    """The model of `texts` (seq) after so many passes over all of them; without a training text the untrained one."""
     model = first_guess(vocab, states)
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(min(1.0, start_rows / max(1, rows)) * (1 << 20))).select("seq")
-    sample = sample.repartition(4).checkpoint()
-    for _ in range(start_passes if rows else 0):
-        model, _ = baum_welch(sample, vocab, model)
-    for _ in range(passes if rows else 0):
+    for _ in range(passes if vocab.texts else 0):
         model, _ = baum_welch(texts, vocab, model)
     return model
 
@@ -342,7 +340,6 @@ def score(
     own: int = 32_768,
     known: int = 262_144,
     endings: int = 4_096,
-    start_rows: int = 4_000,
     start_passes: int = 12,
     passes: int = 2,
 ) -> DataFrame:
@@ -353,8 +350,7 @@ def score(
     tokens that occur in the training texts. score: log10 of the probability of the whole text under the hidden Markov model of the training texts,
     where a word never seen has the share 0.1 of its ending's symbol. Null texts are empty: one token, the end. Without training texts c, N and V are 0 and
     the model is the untrained one. Repeated rows are scored each. Columns of `keep` named like a result are replaced by it.
-    `own`, `known` and `endings` bound what is broadcast (own + endings < 65,536); the starting point comes from about `start_rows` training texts, the
-    last `passes` passes run over all of them.
+    `own`, `known` and `endings` bound what is broadcast (own + endings < 65,536). All `start_passes` + `passes` passes of Baum-Welch run over all training texts.
     """
     spark: SparkSession = docs.sparkSession
     shared_dir(spark)
@@ -367,7 +363,7 @@ def score(
         shared = spark.sparkContext.broadcast(vocab)
         kept_types = f"{types}, train boolean, row long" if types else "train boolean, row long"
         done = encoded(rows.select(*(f"k{i}" for i in range(len(names))), "train", "row", "text"), kept_types, "text", shared).checkpoint()
-    model = spark.sparkContext.broadcast(fit(done.where("train").select("row", "seq"), vocab, texts, states, start_rows, start_passes, passes))
+    model = spark.sparkContext.broadcast(fit(done.where("train").select("seq"), vocab, states, start_passes + passes))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
