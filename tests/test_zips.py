@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from tidemark.sources import zips
+from tidemark.sources import folders, zips
 
 
 @pytest.mark.parametrize(
@@ -46,3 +46,33 @@ def test_ingest_is_like_one_archive_after_the_other(spark, tmp_path):
     forced = {r["outcome"] for r in zips.ingest(spark, [b], str(out), "P/", force=True).collect()}
     assert forced == {"written"} and (out / "x.txt").read_text() == "two"
     assert zips.ingest(spark, [], str(out)).count() == 0
+
+
+def test_entries_are_unpacked_by_place_without_the_directory(tmp_path):
+    """Entries of every packing, found where their row says; a damaged one is noticed."""
+    path, want = tmp_path / "a.zip", {}
+    with zipfile.ZipFile(path, "w") as z:
+        for i, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)):
+            want[f"é{i}"] = f"text {i} " * 5000
+            z.writestr(f"é{i}", want[f"é{i}"], method)
+    with zipfile.ZipFile(path) as z:
+        rows = [(i.filename, i.file_size, i.header_offset, i.compress_size, i.compress_type, i.CRC, i.flag_bits) for i in z.infolist()]
+    with folders.store_of(str(path))[0].open_input_file(str(path)) as file:
+        assert {r[0]: zips._opened(file, *r).read().decode() for r in reversed(rows)} == want
+        with pytest.raises(zipfile.BadZipFile):
+            zips._opened(file, *rows[1][:5], rows[1][5] ^ 1, rows[1][6]).read()
+        with pytest.raises(zipfile.BadZipFile):
+            zips._opened(file, *rows[1][:2], 7, *rows[1][3:])
+
+
+def test_folders_are_listed_and_read_in_tasks(spark, tmp_path):
+    out = tmp_path / "out"
+    assert folders.below(spark, str(out)).count() == 0
+    want = {}
+    for i in range(300):
+        at = out / str(i % 5) / "deep" / f"{i}.txt"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(want.setdefault(f"{i % 5}/deep/{i}.txt", f"é{i}" * (i % 3)))
+    found = folders.below(spark, str(out))
+    assert {r["rel"]: r["size"] for r in found.collect()} == {k: len(v.encode()) for k, v in want.items()}
+    assert {r["rel"]: bytes(r["content"]).decode() for r in folders.contents(found, str(out)).collect()} == want

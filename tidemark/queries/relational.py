@@ -312,7 +312,7 @@ def cache_round_trip(spark, d):
 
 def zip_ingest(spark, d):
     """Parts packed into ten archives, some with paths that lead outside, unpacked below a folder, twice, and read back."""
-    from tidemark.sources import zips
+    from tidemark.sources import folders, zips
 
     p = B.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     with sources.scratch(spark, "zips") as base:
@@ -322,33 +322,40 @@ def zip_ingest(spark, d):
         first = zips.ingest(spark, archives, f"{base}/out", "Pack/").groupBy("outcome").count().collect()
         again = {r["outcome"]: r["count"] for r in zips.ingest(spark, archives, f"{base}/out", "Pack/").groupBy("outcome").count().collect()}
         first = {r["outcome"]: r["count"] for r in first}
-        read = spark.read.option("recursiveFileLookup", "true").text(f"{base}/out", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-        key = F.regexp_extract("path", r"([0-9]+)/([0-9]+)\.txt$", 2).cast("long")
+        read = folders.contents(folders.below(spark, f"{base}/out"), f"{base}/out")
+        part = lambda i: F.regexp_extract("rel", r"([0-9]+)/([0-9]+)\.txt$", i)
         counts = [F.lit(n).cast("long").alias(c) for n, c in ((first.get("written", 0), "written"), (first.get("outside", 0), "outside"), (again.get("present", 0), "present"))]
-        return read.select(key.alias("p_partkey"), F.regexp_extract("path", r"([0-9]+)/([0-9]+)\.txt$", 1).cast("int").alias("folder"), F.col("value").alias("content"), *counts).checkpoint()
+        return read.select(part(2).cast("long").alias("p_partkey"), part(1).cast("int").alias("folder"), F.col("content").cast("string").alias("content"), *counts).checkpoint()
 
 
 def _pack(rows, folder):
-    """rows (zip, name, content) as archives {zip}.zip in a folder, each by one task."""
-    import io
+    """rows (zip, name, content) as archives {zip}.zip in a folder, each streamed to its file by one task."""
     import zipfile
 
     import pyarrow as pa
 
-    from tidemark.sources import zips
+    from tidemark.sources.folders import store_of
 
-    def pack(group: pa.Table) -> pa.Table:
-        store, base = zips._store(folder)
+    def pack(batches):
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
-            for name, content in zip(group.column("name").to_pylist(), group.column("content").to_pylist(), strict=True):
+        open_, archive, out = None, None, None
+        for batch in batches:
+            for to, name, content in zip(*(batch.column(c).to_pylist() for c in ("zip", "name", "content")), strict=True):
+                if to != open_:
+                    if archive:
+                        archive.close()
+                        out.close()
+                    open_, out = to, store.open_output_stream(f"{base}/{to}.zip")
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
                 archive.writestr(name, content)
-        with store.open_output_stream(f"{base}/{group.column('zip')[0].as_py()}.zip") as out:
-            out.write(data.getvalue())
-        return group.select(["zip"]).slice(0, 0)
+        if archive:
+            archive.close()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["zip"])
 
-    rows.groupBy("zip").applyInArrow(pack, "zip long").write.format("noop").mode("overwrite").save()
+    dealt = rows.repartition(10, "zip").sortWithinPartitions("zip")
+    dealt.mapInArrow(pack, "zip long").write.format("noop").mode("overwrite").save()
 
 
 def seek_time(spark, d):
