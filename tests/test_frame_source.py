@@ -101,3 +101,20 @@ def test_equals_the_sampling_operator(spark, data, tmp_path):
     got = fs.read_frames(spark, str(tmp_path)).where("sampled").select(F.col("video_id").cast("long"), F.element_at("payload", 1).alias("value"))
     want = fr.sample(f.withColumn("source_rate", F.lit(10.0)), 2.0).select("video_id", F.col("signal").alias("value"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_small_containers_share_partitions(spark, tmp_path):
+    """Before, every container was opened to plan the read and had a partition of its own."""
+    for i in range(200):
+        with open(tmp_path / f"{i}.frames", "wb") as f:
+            f.write(struct.pack(fs.HEADER, fs.MAGIC, 10.0, 1, 2))
+            f.write(struct.pack(f"<{2 * (i % 13)}d", *(i + j / 4 for j in range(2 * (i % 13)))))
+    assert len(fs.FrameReader(str(tmp_path), 2.0, 4096).partitions()) == 7
+    want = [(str(i), j, j % 5 == 0, (i + j / 2, i + j / 2 + 0.25)) for i in range(200) for j in range(i % 13)]
+    for pushed in ("true", "false"):
+        with sources.setting(spark, "spark.sql.python.filterPushdown.enabled", pushed):
+            df = fs.read_frames(spark, str(tmp_path))
+            assert rows(df) == sorted(want)
+            assert rows(df.where("sampled AND frame BETWEEN 3 AND 9")) == sorted(w for w in want if w[2] and 3 <= w[1] <= 9)
+            assert rows(df.where("t > 0.25 AND t < 0.7 AND video_id IN ('12', '25', '13')")) == sorted(w for w in want if w[0] in ("12", "25") and 3 <= w[1] <= 6)
+    assert {r["video_id"]: r["duration"] for r in fs.video_durations(spark, str(tmp_path)).collect()} == {str(i): (i % 13) / 10 for i in range(200)}

@@ -22,8 +22,8 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
     return max(1, min(rows, max(spark.sparkContext.defaultParallelism, rows // STEP)))
 
 
-def below(spark: SparkSession, folder: str) -> DataFrame:
-    """rel, size of the files below a folder; none, if it is not there. A folder is listed by one task, a level of them side by side."""
+def below(spark: SparkSession, folder: str, deep: bool = True) -> DataFrame:
+    """rel, size of the files below a folder, or, if not deep, of those right in it; none, if it is not there. A folder is listed by one task, a level of them side by side."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = store_of(folder)
@@ -40,6 +40,8 @@ def below(spark: SparkSession, folder: str) -> DataFrame:
         level = ahead.repartition(tasks_for(spark, n)).mapInArrow(look, "rel string, size long, file boolean").checkpoint()
         here, ahead = level.where("file").select("rel", "size"), level.where("NOT file").select("rel")
         files = here if files is None else files.unionByName(here)
+        if not deep:
+            break
     return files
 
 

@@ -3,7 +3,8 @@
 A container is one file of one video: a header (magic, rate, height, width, as little-endian numbers), then the frames one after the
 other, each height * width doubles; the file's size tells how many. Rows: video_id, frame, t (frame / rate), sampled (every stride-th frame, from the first), payload.
 
-* A partition is a span of frames of one file. Its reader goes from frame to frame by offset.
+* A partition is a span of frames of one file. Its reader goes from frame to frame by offset. Files that no span could divide, as their size in the
+  folder's listing tells, go together in bundles; they are opened by the tasks alone, and each is read in one piece.
 * Filters on `sampled`, `frame`, `t` and `video_id` are pushed: with `sampled = true` a reader steps by the stride, so that frames in between are
   not read; bounds of frame and time shorten or drop spans; a video that is not asked for is not opened. Spark pushes filters if
   spark.sql.python.filterPushdown.enabled is true; it checks all but `sampled = true` again, and all of them where it doesn't push.
@@ -21,8 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from tidemark.sources import folders
+
 MAGIC, HEADER = b"TDMKFRM1", "<8sdqq"
 HEADER_BYTES = struct.calcsize(HEADER)
 SCHEMA = "video_id string, frame long, t double, sampled boolean, payload array<double>"
@@ -43,11 +47,14 @@ class Header:
 
     @classmethod
     def read(cls, file) -> Header:
-        raw = file.read(HEADER_BYTES)
+        return cls.of(file.read(HEADER_BYTES), file.size())
+
+    @classmethod
+    def of(cls, raw: bytes, size: int) -> Header:
         if len(raw) != HEADER_BYTES or raw[:8] != MAGIC:
             raise ValueError("no container of frames")
         _, rate, height, width = struct.unpack(HEADER, raw)
-        frames = (file.size() - HEADER_BYTES) // (8 * height * width) if height * width > 0 else 0
+        frames = (size - HEADER_BYTES) // (8 * height * width) if height * width > 0 else 0
         return cls(rate if rate == rate and rate > 0 else 25.0, frames, height, width)
 
     @property
@@ -68,15 +75,26 @@ class Span(InputPartition):
         self.path, self.video, self.first, self.end, self.only_sampled = path, video, first, end, only_sampled
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Small files of one folder, by name."""
+
+    names: list[str]
+
+    def __init__(self, names: list[str]):
+        super().__init__(None)
+        self.names = names
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return folders.store_of(folder)
 
 
-def _listed(folder: str) -> tuple[fs.FileSystem, list[tuple[str, str]]]:
-    """The store of a folder and the containers in it, by name."""
+def _listed(folder: str) -> tuple[fs.FileSystem, list[tuple[str, str, int]]]:
+    """The store of a folder and the containers in it: path, video and size, by name."""
     store, base = _store(folder)
     files = store.get_file_info(fs.FileSelector(base))
-    return store, sorted((f.path, f.base_name.rpartition(".")[0]) for f in files if f.is_file and f.extension == "frames")
+    return store, sorted((f.path, f.base_name.rpartition(".")[0], f.size) for f in files if f.is_file and f.extension == "frames")
 
 
 class PlainReader(DataSourceReader):
@@ -89,22 +107,62 @@ class PlainReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, files = _listed(self.folder)
-        out = []
-        for path, video in files:
+        out, small = [], []
+        for path, video, size in files:
             if self.videos is not None and video not in self.videos:
                 continue
+            if size <= HEADER_BYTES + 8 * self.span:  # a frame has a cell of 8 bytes at least
+                small.append(video)
+                continue
             with store.open_input_file(path) as file:
-                header = Header.read(file)
-            first = max(0, self.low["frame"], (self.low["t"] * header.rate) - 1)
-            end = min(header.frames, self.high["frame"] + 1, (self.high["t"] * header.rate) + 2)
-            if first < end:
-                first, end = math.floor(first), math.ceil(end)
-                out += [Span(path, video, a, min(end, a + self.span), self.only_sampled) for a in range(first, end, self.span)]
-        return out
-
-    def read(self, partition: Span | None) -> Iterator[pa.RecordBatch]:
+                first, end = self._bounds(Header.read(file))
+            out += [Span(path, video, a, min(end, a + self.span), self.only_sampled) for a in range(first, end, self.span)]
+        each = max(32, min(1024, len(small) // 64))
+        return out + [Bundle(small[a : a + each]) for a in range(0, len(small), each)]
+
+    def _bounds(self, header: Header) -> tuple[int, int]:
+        """The first frame that the filters leave, and the one after the last; equal, where they leave none."""
+        first = max(0, self.low["frame"], (self.low["t"] * header.rate) - 1)
+        end = min(header.frames, self.high["frame"] + 1, (self.high["t"] * header.rate) + 2)
+        return (math.floor(first), math.ceil(end)) if first < end else (0, 0)
+
+    def _read_bundle(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(self.folder)
+        columns: list[list] = [[], [], [], [], []]
+        rows = 0
+
+        def batch() -> pa.RecordBatch:
+            lengths, values = (np.concatenate([x[i] for x in columns[4]]) for i in (0, 1))
+            payload = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.float64()))
+            video = pa.array(np.repeat(np.array(columns[0], object), [len(x) for x in columns[1]]), pa.string())
+            return pa.RecordBatch.from_arrays([video, *(pa.array(np.concatenate(c)) for c in columns[1:4]), payload], ["video_id", "frame", "t", "sampled", "payload"])
+
+        for video in names:
+            with store.open_input_file(f"{base}/{video}.frames") as file:
+                raw = file.read()
+            header = Header.of(raw[:HEADER_BYTES], len(raw))
+            stride, size = stride_of(header.rate, self.target), header.height * header.width
+            step = stride if self.only_sampled else 1
+            first, end = self._bounds(header)
+            at = np.arange(-(-first // step) * step, end, step)
+            if not len(at):
+                continue
+            cells = np.frombuffer(raw, "<f8", header.frames * size, HEADER_BYTES).reshape(header.frames, size)[at]
+            for column, values in zip(columns, (video, at, at / header.rate, at % stride == 0, (np.full(len(at), size), cells.ravel())), strict=True):
+                column.append(values)
+            rows += len(at)
+            if rows >= 4096:
+                yield batch()
+                columns, rows = [[], [], [], [], []], 0
+        if rows:
+            yield batch()
+
+    def read(self, partition: Span | Bundle | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark reads so where there is no span
             return
+        if isinstance(partition, Bundle):
+            yield from self._read_bundle(partition.names)
+            return
         store, _ = _store(self.folder)
         with store.open_input_file(partition.path) as file:
             header = Header.read(file)
@@ -171,19 +229,19 @@ def read_frames(spark: SparkSession, folder: str, target: float = 2.0, span: int
 
 def video_durations(spark: SparkSession, folder: str) -> DataFrame:
     """video_id, duration of every container, from its header alone."""
-    _, files = _listed(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(folder)
+        store, base = _store(folder)
         for batch in batches:
             found = []
-            for path in batch.column("path").to_pylist():
-                with store.open_input_file(path) as file:
+            for video in batch.column("video_id").to_pylist():
+                with store.open_input_file(f"{base}/{video}.frames") as file:
                     found.append(Header.read(file).duration)
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), pa.array(found)], ["video_id", "duration"])
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), pa.array(found, pa.float64())], ["video_id", "duration"])
 
-    listed = spark.createDataFrame(files, "path string, video_id string")
-    return listed.repartition(max(1, min(64, len(files) // 16))).mapInArrow(run, "video_id string, duration double")
+    listed = folders.below(spark, folder, deep=False).where(F.endswith("rel", F.lit(".frames")))
+    listed = listed.select(F.expr("left(rel, length(rel) - 7)").alias("video_id"))
+    return listed.repartition(folders.tasks_for(spark, listed.count())).mapInArrow(run, "video_id string, duration double")
 
 
 def write_containers(frames: DataFrame, folder: str, rate: float = 10.0) -> None:
@@ -197,7 +255,10 @@ def write_containers(frames: DataFrame, folder: str, rate: float = 10.0) -> None
         store.create_dir(base, recursive=True)
         out, part, last = None, "", None
         for batch in batches:
-            for video, value in zip(batch.column("video_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            names, values = batch.column("video_id").to_numpy(zero_copy_only=False), batch.column("value").to_numpy(zero_copy_only=False).astype("<f8")
+            begin = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, int)
+            for a, b in zip(begin.tolist(), np.append(begin[1:], len(names)).tolist(), strict=True):
+                video = names[a]
                 if video != last:
                     if out is not None:
                         out.close()
@@ -205,7 +266,7 @@ def write_containers(frames: DataFrame, folder: str, rate: float = 10.0) -> None
                     last, part = video, f"{base}/{video}.{uuid.uuid4().hex}.part"
                     out = store.open_output_stream(part)
                     out.write(struct.pack(HEADER, MAGIC, rate, 1, 1))
-                out.write(struct.pack("<d", value))
+                out.write(values[a:b].tobytes())
         if out is not None:
             out.close()
             store.move(part, f"{base}/{last}.frames")
