@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +329,17 @@ def test_gate_across_batches_and_pieces(spark, form):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {v: [g["why"] for g in got if g["video_id"] == v] for v in range(4)} == want
+
+
+def test_large_groups_stay_spread_in_percentiles(spark, monkeypatch):
+    """Before, a join by key put a whole group in one task."""
+    monkeypatch.setattr(frames, "LARGE", 100)
+    r = np.random.default_rng(3)
+    values = {"a": r.normal(size=5000).round(2), "b": r.normal(size=101), "c": r.normal(size=100), "d": np.array([1.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "k string, x double").repartition(8)
+    out = frames.percentiles(df, "x", {"p50": 0.5, "p95": 0.95}, ("k",))
+    got = {row["k"]: (row["p50"], row["p95"]) for row in out.collect()}
+    assert got.keys() == values.keys()
+    assert all(np.allclose(got[k], np.percentile(v, [50, 95]), rtol=1e-12) for k, v in values.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 4

@@ -108,6 +108,10 @@ def gate_grouped(frames: DataFrame, config: Config) -> DataFrame:
     return dealt.mapInArrow(run, f"{types}, why string")
 
 
+#: Rows from which on a group is not put together in one task.
+LARGE = 1 << 20
+
+
 def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = (), cells: int = 256) -> DataFrame:
     """One row for each of `keys` with the exact percentiles (linear between ranks) of `column` under the names of `shares`.
 
@@ -115,18 +119,25 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tu
     ranks below and above it. The cells between borders are counted exactly, and equal values are counted, not ranked; only the different
     values of cells that hold a wanted rank are put in order: a part in cells / 2 of a group's, wherever they lie. If a border were wrong, the next
     cell would hold the rank and be ordered: the result is exact in any case. Nulls do not count, NaN comes last.
+    Groups of more than LARGE rows, of which there are few, have their borders broadcast, so that none is put together in one task.
     """
     rows = rows.select(*keys, F.col(column).cast("double").alias("x")).where("x is not null")
-    single = not keys
-    if single:
-        rows, keys = rows.withColumn("_all", F.lit(0)), ("_all",)
+    if not keys:
+        return _ranked(rows.withColumn("_all", F.lit(0)), shares, ("_all",), cells, True).drop("_all")
+    large = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select(*keys))
+    many, few = rows.join(large, list(keys), "left_semi"), rows.join(large, list(keys), "left_anti")
+    return _ranked(many, shares, keys, cells, True).unionByName(_ranked(few, shares, keys, cells, False))
+
+
+def _ranked(rows: DataFrame, shares: dict[str, float], keys: tuple[str, ...], cells: int, spread: bool) -> DataFrame:
+    """`percentiles` of rows (`keys`, x). spread: rows stay where they are and what is known of their groups is broadcast."""
     around = sorted({min(1.0, max(0.0, s + d)) for s in shares.values() for d in (-1 / cells, 1 / cells)})
     sketch = F.kll_sketch_agg_double(F.when(~F.isnan("x"), F.col("x")), F.lit(4096))
     borders = rows.groupBy(*keys).agg(sketch.alias("_s"), F.count("*").alias("n"), F.count_if(~F.isnan("x")).alias("_m"))
     borders = borders.select(*keys, "n", F.when(F.col("_m") > 0, F.kll_sketch_get_quantile_double("_s", F.array(*map(F.lit, around)))).alias("_b"))
     # the number of borders below a value is its cell; a cell is known by its borders from here on, as another sketch has others
     below = [F.coalesce((F.col("x") > F.get("_b", F.lit(i))).cast("int"), F.lit(0)) for i in range(len(around))]
-    celled = rows.join(F.broadcast(borders) if single else borders, list(keys)).withColumn("cell", sum(below[1:], below[0]))
+    celled = rows.join(F.broadcast(borders) if spread else borders, list(keys)).withColumn("cell", sum(below[1:], below[0]))
     cell = [*keys, "n", "cell", F.get("_b", F.col("cell") - 1).alias("lo"), F.get("_b", F.col("cell")).alias("hi")]
     sofar = (Window.unboundedPreceding, 0)
     held = celled.select(*cell).groupBy(*keys, "n", "cell", "lo", "hi").agg(F.count("*").alias("m"))
@@ -136,15 +147,14 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: tu
     wanted = [F.struct(F.lit(name).alias("name"), (x - F.floor(x)).alias("part"), F.lit(turn).alias("turn"), (F.floor(x).cast("long") + turn).alias("rank")) for name, x in at.items() for turn in (0, 1)]
     held = held.withColumn("wanted", F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("begin")) & (w["rank"] < F.col("end")))).where(F.size("wanted") > 0)
     asked = held.select(*keys, "cell", "lo", "hi", "begin", "wanted")
-    inside = rows.join(F.broadcast(asked) if single else asked, list(keys)).where((F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
+    inside = rows.join(F.broadcast(asked) if spread else asked, list(keys)).where((F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
     counted = inside.groupBy(*keys, "cell", "x").agg(F.count("*").alias("m"), F.max("begin").alias("begin"), F.first("wanted").alias("wanted"))
     upto = F.col("begin") + F.sum("m").over(Window.partitionBy(*keys, "cell").orderBy("x").rowsBetween(*sofar))
     ordered = counted.withColumn("to", upto).withColumn("from", F.col("to") - F.col("m"))
     found = ordered.select(*keys, "x", "from", "to", F.explode("wanted").alias("w")).where((F.col("w.rank") >= F.col("from")) & (F.col("w.rank") < F.col("to")))
     values = found.groupBy(*keys, F.col("w.name").alias("name"), F.col("w.part").alias("part")).agg(F.max(F.when(F.col("w.turn") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("w.turn") == 1, F.col("x"))).alias("b"))
     value = F.when((F.col("part") == 0) | F.col("b").isNull(), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
-    out = values.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares))
-    return out.drop("_all") if single else out
+    return values.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in shares))
 
 
 def normal_videos(truth: DataFrame, n: int = 12, order: str = "video_id") -> DataFrame:
