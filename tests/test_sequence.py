@@ -343,3 +343,14 @@ def test_large_groups_stay_spread_in_percentiles(spark, monkeypatch):
     assert all(np.allclose(got[k], np.percentile(v, [50, 95]), rtol=1e-12) for k, v in values.items())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 4
+
+
+def test_measured_incidents_deal_videos_by_rows(spark, data, monkeypatch):
+    """Before, the number of tasks did not follow the rows of the tables."""
+    from tidemark import bindings as B
+    from tidemark import plans
+
+    monkeypatch.setattr(plans, "ROWS", 100)
+    f = B.frames(spark, data)
+    plan = plans.measured_incidents(f, B.verdicts(spark, data), C)._jdf.queryExecution().executedPlan().toString()
+    assert f", {max(spark.sparkContext.defaultParallelism, f.count() // 100 + 1)}), REPARTITION_BY_NUM" in plan

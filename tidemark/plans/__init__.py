@@ -32,6 +32,12 @@ def timeline(incidents: DataFrame, truth: DataFrame) -> DataFrame:
     return bars.unionByName(tags).unionByName(bands)
 
 
+#: Rows of one input that a task takes, about: videos are dealt out by that, so that its memory does not grow with the tables.
+ROWS = 100_000
+
+
 def measured_incidents(frames: DataFrame, verdicts: DataFrame, config: Config) -> DataFrame:
     """Incidents whose extent follows the health curve and ends with the video."""
+    tasks = max(frames.sparkSession.sparkContext.defaultParallelism, frames.count() // ROWS + 1, verdicts.count() // ROWS + 1)
+    frames, verdicts = frames.repartition(tasks, "video_id"), verdicts.repartition(tasks, "video_id")
     return incidents.incidents(verdicts, config, curves(frames), durations(frames))
