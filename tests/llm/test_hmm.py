@@ -5,6 +5,8 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -121,6 +123,73 @@ def test_expected_counts_are_sums_over_all_paths():
     assert np.allclose(moved, want, rtol=1e-4) and np.allclose(emitted, want_emit, rtol=1e-4)
 
 
+def plainly(m, parts, first, counts):
+    """The recursions one segment after the other, in double precision."""
+    k = len(m.start)
+    begun, moves, log = np.zeros((2, k)), np.zeros((k, k)), 0.0
+    for seq, f in zip(parts, first, strict=True):
+        seen, alpha, one = m.emit[seq].astype(float), np.zeros((len(seq), k)), np.zeros(len(seq))
+        for t in range(len(seq)):
+            alpha[t] = seen[t] * ((m.start if f else m.inside) if t == 0 else alpha[t - 1] @ m.move)
+            one[t] = alpha[t].sum()
+            alpha[t] /= one[t]
+        beta, log = np.ones(k), log + np.log(one).sum()
+        for t in range(len(seq) - 1, -1, -1):
+            np.add.at(counts, seq[t], alpha[t] * beta)
+            if t == 0:
+                begun[0 if f else 1] += alpha[0] * beta
+            else:
+                ahead = seen[t] * beta / one[t]
+                moves += m.move * np.outer(alpha[t - 1], ahead)
+                beta = m.move @ ahead
+    return np.vstack([begun, moves, np.full(k, log / k)])
+
+
+def ragged(symbols, n, seed):
+    r = np.random.default_rng(seed)
+    parts = sorted((r.integers(0, symbols, size=x).astype(np.uint16) for x in r.integers(1, 257, size=n)), key=lambda p: -len(p))
+    return parts, r.random(n) < 0.6
+
+
+def test_expected_counts_of_many_ragged_segments():
+    m, (parts, first) = model(50, 8, 5), ragged(50, 70, 6)
+    emitted, want = np.zeros((50, 8)), np.zeros((50, 8))
+    moved = hmm.expected(m, parts, first, emitted)
+    assert np.allclose(moved, plainly(m, parts, first, want), rtol=1e-4) and np.allclose(emitted, want, rtol=1e-4)
+
+
+def test_a_pass_costs_little_for_each_symbol():
+    # in terms of eight sums by symbol, the least that it does: about 7; with tables of a row for each symbol 17
+    m, (parts, first) = model(30_000, 8, 7), ragged(30_000, 2048, 8)
+    emitted, every = np.zeros((8, 30_000)).T, np.concatenate(parts).astype(np.intp)
+    weights = np.random.default_rng(9).random((8, len(every))).astype(np.float32)
+
+    def cpu(run):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    ratio = cpu(lambda: hmm.expected(m, parts, first, emitted)) / cpu(lambda: [np.bincount(every, weights=w, minlength=30_000) for w in weights])
+    tracemalloc.start()
+    hmm.expected(m, parts, first, emitted)
+    held = tracemalloc.get_traced_memory()[1] / len(every)
+    tracemalloc.stop()
+    assert held < 120  # bytes for each symbol; 565 with tables of a row for each symbol
+    assert ratio < 12
+
+
+def test_places_are_those_of_searchsorted():
+    r = np.random.default_rng(3)
+    for n, shift in ((0, 0), (1, 0), (3000, 0), (3000, 50)):  # with 50 all words begin with the same bits
+        word = np.unique(r.integers(0, 1 << 64, size=n, dtype=np.uint64) >> np.uint64(shift))
+        asked = np.concatenate([word, word + np.uint64(1), r.integers(0, 1 << 64, size=500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        begin = np.searchsorted(word, np.arange(1 << hmm.BITS, dtype=np.uint64) << np.uint64(64 - hmm.BITS))
+        assert (hmm._places(word, begin, asked) == np.searchsorted(word, asked)).all()
+
+
 def test_tables_without_training_texts_or_rows(spark):
     (r,) = scored(spark, [(3, "no text to learn from", "x", None, 1)]).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (6, 0, 0, 0.0) and math.isfinite(r["score"])

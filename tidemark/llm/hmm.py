@@ -32,7 +32,9 @@ ADD = 0.1
 #: The symbol of the end of a text.
 END = 0
 #: Symbols of a training segment, segments side by side, and symbols of a block of a long text.
-SEGMENT, SIDE, BLOCK = 256, 1024, 4096
+SEGMENT, SIDE, BLOCK = 256, 4096, 4096
+#: First bits of hashes that tell where to look among the words at hand.
+BITS = 18
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 1 << 20
 
@@ -142,6 +144,17 @@ def vocabulary(counts: DataFrame, texts: int, own: int, known: int, endings: int
     return Vocabulary(word[order], got.column("n").to_numpy()[order], np.where(has, np.cumsum(has), 0), int(has.sum()), mass, tokens + texts, types + (texts > 0), texts)
 
 
+def _places(word: np.ndarray, begin: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What searchsorted gives for hashes among sorted ones, found from where their first BITS bits begin: a step or two instead of all halvings."""
+    at = begin[(hashes >> np.uint64(64 - BITS)).astype(np.intp)]
+    left = np.arange(len(at)) if len(word) else np.zeros(0, np.intp)
+    while len(left):
+        left = left[at[left] < len(word)]
+        left = left[word[at[left]] < hashes[left]]
+        at[left] += 1
+    return at
+
+
 def encoded(rows: DataFrame, types: str, text: str, vocab) -> DataFrame:
     """The rows with symbols as 16-bit numbers, counts, sums of logarithms, and the words whose counts are not at hand.
 
@@ -153,10 +166,11 @@ def encoded(rows: DataFrame, types: str, text: str, vocab) -> DataFrame:
         v: Vocabulary = vocab.value
         log, mass_log = np.log10(v.count + ADD), np.log10(v.mass + ADD)
         end_log = np.log10(v.texts + ADD)
+        begin = np.searchsorted(v.word, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS))
         for batch in batches:
             for part in slices(batch, text, STEP):
                 words, ending = words_of(part.column(text), len(v.mass))
-                at = np.searchsorted(v.word, words.hash)
+                at = _places(v.word, begin, words.hash)
                 at[at == len(v.word)] = 0
                 there = v.word[at] == words.hash if len(v.word) else np.zeros(len(at), bool)
                 symbol = np.where(there, v.symbol[at], 0) if len(v.word) else np.zeros(len(at), np.int64)
@@ -187,42 +201,47 @@ def encoded(rows: DataFrame, types: str, text: str, vocab) -> DataFrame:
     return rows.mapInArrow(counted_only(encode), f"{types}, tokens long, known long, known_log double, share_log double, seq binary, rare array<bigint>, times array<int>")
 
 
-def _side_by_side(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of falling length as the columns of one table, and how many of them reach each row."""
+def _side_by_side(parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """The symbols of sequences of falling length, all first ones, then all second ones and so on, and where each of these runs begins; last, where the last ends."""
     length = np.array([len(p) for p in parts])
-    table = np.zeros((length[0], len(parts)), np.uint16)
-    for i, p in enumerate(parts):
-        table[: len(p), i] = p
-    return table, np.searchsorted(-length, -np.arange(length[0]) - 1, side="right")
+    begin, every = np.cumsum(length) - length, np.concatenate(parts)
+    at = np.append(0, np.cumsum(np.searchsorted(-length, -np.arange(length[0]) - 1, side="right"))).tolist()
+    run = np.empty(len(every), np.uint16)
+    for t, (a, b) in enumerate(zip(at, at[1:])):
+        run[a:b] = every[begin[: b - a] + t]
+    return run, at
 
 
 def expected(model: Model, parts: list[np.ndarray], first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Adds the expected emissions of segments of falling length to `counts`; their expected starts (of texts, of later segments), moves, and log likelihood."""
-    table, wide = _side_by_side(parts)
-    t_max, k = len(table), len(model.start)
-    move, back = model.move.astype(np.float32), model.move.T.astype(np.float32)
-    seen = model.emit[table]
-    alpha, ahead = np.zeros(seen.shape, np.float32), np.zeros(seen.shape, np.float32)
-    scale = np.ones(table.shape, np.float32)
-    now = np.where(first[:, None], model.start, model.inside).astype(np.float32)
-    for t in range(t_max):
-        w = wide[t]
-        now = (now if t == 0 else alpha[t - 1, :w] @ move) * seen[t, :w]
-        scale[t, :w] = now.sum(axis=1)
-        alpha[t, :w] = now / scale[t, :w, None]
-    beta = np.ones((len(parts), k), np.float32)
-    gamma = alpha.copy()
-    for t in range(t_max - 1, 0, -1):
-        w = wide[t]
-        ahead[t, :w] = seen[t, :w] * beta[:w] / scale[t, :w, None]
-        beta[:w] = ahead[t, :w] @ back
-        gamma[t - 1, :w] *= beta[:w]
-    there = np.arange(len(parts))[None, :] < wide[:, None]
-    symbols, gamma_there = table[there], gamma[there]
+    """Adds the expected emissions of segments of falling length to `counts`; their expected starts (of texts, of later segments), moves, and log likelihood.
+
+    Tables have a row for each state, so that sums over states and products run along many segments, not along a few states.
+    """
+    run, at = _side_by_side(parts)
+    symbols, k = run.astype(np.intp), len(model.start)
+    move, into, emit = model.move.astype(np.float32), model.move.T.astype(np.float32), np.ascontiguousarray(model.emit.T)
+    seen, alpha, scale = np.empty((k, len(run)), np.float32), np.empty((k, len(run)), np.float32), np.empty(len(run), np.float32)
+    for j in range(k):
+        np.take(emit[j], symbols, out=seen[j], mode="clip")
+    now = np.where(first, model.start[:, None], model.inside[:, None]).astype(np.float32)
+    for a, b in zip(at, at[1:]):
+        now = np.multiply(now[:, : b - a], seen[:, a:b], out=alpha[:, a:b])
+        one = np.reciprocal(now.sum(axis=0, out=scale[a:b]))
+        now *= one
+        seen[:, a:b] *= one
+        now = into @ now
+    beta, moves = np.ones((k, len(parts)), np.float32), np.zeros((k, k))
+    for t in range(len(at) - 2, 0, -1):
+        z, a, b = at[t - 1 : t + 2]
+        ahead = seen[:, a:b]
+        ahead *= beta[:, : b - a]
+        moves += alpha[:, z : z + b - a] @ ahead.T
+        np.matmul(move, ahead, out=beta[:, : b - a])
+        alpha[:, z:a] *= beta[:, : a - z]  # now the states' probabilities there
     for j in range(k):
-        counts[:, j] += np.bincount(symbols, weights=gamma_there[:, j], minlength=len(counts))
-    moves = model.move * (alpha[:-1].reshape(-1, k).T.astype(np.float64) @ ahead[1:].reshape(-1, k))
-    return np.vstack([gamma[0][first].sum(axis=0), gamma[0][~first].sum(axis=0), moves, np.full(k, np.log(scale[there], dtype=np.float64).sum() / k)])
+        counts[:, j] += np.bincount(symbols, weights=alpha[j], minlength=len(counts))
+    begun = alpha[:, : len(parts)]
+    return np.vstack([begun[:, first].sum(axis=1), begun[:, ~first].sum(axis=1), model.move * moves, np.full(k, np.log(scale, dtype=np.float64).sum() / k)])
 
 
 def improved(vocab: Vocabulary, moved: np.ndarray, emitted: np.ndarray) -> Model:
@@ -249,7 +268,7 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model) -> tuple[Model
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        emitted, moved, waiting = np.zeros((len(m.emit), states)), np.zeros((states + 3, states)), []
+        emitted, moved, waiting = np.zeros((states, len(m.emit))).T, np.zeros((states + 3, states)), []
 
         def work(some: list) -> None:
             some.sort(key=lambda s: -len(s[0]))
@@ -260,7 +279,7 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model) -> tuple[Model
             for text in batch.column("seq"):
                 seq = np.frombuffer(text.as_buffer(), np.uint16)
                 waiting += [(seq[a : a + SEGMENT], a == 0) for a in range(0, len(seq), SEGMENT)]
-                if len(waiting) >= 8 * SIDE:
+                if len(waiting) >= 4 * SIDE:
                     work(waiting)
                     waiting = []
         if waiting:
@@ -284,17 +303,18 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, model: Model) -> tuple[Model
 def _forward(model: Model, begin: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The state distribution at the end of each sequence and the logarithm of its likelihood, from the distribution that its first symbol is drawn with."""
     order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    now, log = np.array(begin)[order].astype(np.float64), np.zeros(len(parts))
-    move, emit = model.move, model.emit
-    table, wide = _side_by_side([parts[i] for i in order])
-    for t, w in enumerate(wide):
-        now[:w] = (now[:w] if t == 0 else now[:w] @ move) * emit[table[t, :w]]
-        total = now[:w].sum(axis=1)
-        now[:w] /= total[:, None]
+    now, log = np.array(begin)[order].astype(np.float64).T.copy(), np.zeros(len(parts))
+    into, emit = model.move.T.copy(), np.ascontiguousarray(model.emit.T)
+    run, at = _side_by_side([parts[i] for i in order])
+    for a, b in zip(at, at[1:]):
+        w = b - a
+        some = (now[:, :w] if a == 0 else into @ now[:, :w]) * emit.take(run[a:b], axis=1)
+        total = some.sum(axis=0)
+        np.divide(some, total, out=now[:, :w])
         log[:w] += np.log(total)
     back = np.empty(len(parts), np.int64)
     back[order] = np.arange(len(parts))
-    return now[back], log[back]
+    return now.T[back], log[back]
 
 
 def likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -307,8 +327,8 @@ def likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
                 begin.append(from_)
                 of.append(i)
     ends, logs = np.zeros((len(parts), states)), np.zeros(len(parts))
-    for a in range(0, len(parts), 4 * SIDE):
-        ends[a : a + 4 * SIDE], logs[a : a + 4 * SIDE] = _forward(model, begin[a : a + 4 * SIDE], parts[a : a + 4 * SIDE])
+    for a in range(0, len(parts), SIDE):
+        ends[a : a + SIDE], logs[a : a + SIDE] = _forward(model, begin[a : a + SIDE], parts[a : a + SIDE])
     result, at = np.zeros(len(texts)), 0
     for i, seq in enumerate(texts):
         state, log = ends[at], logs[at]
